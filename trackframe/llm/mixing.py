@@ -10,8 +10,9 @@ probabilities along the null space of the two balancing rows until one of them
 reaches 0 or 1; both directions have the chance that keeps expectations.  Blocks
 of bounded size are flown by separate tasks; at most two documents of a block
 stay undecided and meet in the next round's blocks, until one block per source
-is left.  Large documents fly first, so that those left are small.  The last two are landed: of all 0/1 choices the one whose totals miss
-the least is taken.
+is left.  Large documents fly first, so that those left are small.  The last two and a few reserved
+documents are landed: of all their 0/1 choices the one whose sizes miss the
+least is taken.
 
 Randomness is a hash of the document id, so reruns agree.  Null text has size 0;
 null source is a source of its own and sorts last.  Rows with the same id are
@@ -30,6 +31,8 @@ from .storage import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one task flies; two of each block at most go on to the next round.
 BLOCK = 20_000
+#: Documents of a source that take no part in its last flight, so that landing has choices.
+RESERVE = 12
 
 
 def targets(sizes: dict, weights: dict, ceiling: float = 3.0) -> dict:
@@ -83,15 +86,23 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     The flight keeps expected totals exactly, so this is all the imbalance that a source gets.
     """
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    out, best, want = p.copy(), None, float(p[open_] @ size[open_])
-    for choice in range(1 << len(open_)):
-        picked = np.array([choice >> b & 1 for b in range(len(open_))], float)
-        miss = abs(float(picked @ size[open_]) - want)
-        if best is None or miss < best:
-            best, out[open_] = miss, picked
+    choices = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    miss = np.abs(choices @ size[open_] - float(p[open_] @ size[open_]))
+    out = p.copy()
+    out[open_] = choices[np.lexsort((choices.sum(1), miss.round(6)))[0]]
     return out
 
 
+def fly_and_land(p: np.ndarray, size: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The last block of a source, sizes descending: RESERVE smaller documents stay out of the flight and land with its last two."""
+    low = np.arange(len(p) // 3, len(p))
+    kept = low[np.unique(np.linspace(0, len(low) - 1, min(RESERVE, len(low))).astype(int))]
+    flown = np.delete(np.arange(len(p)), kept)
+    out = p.astype(float).copy()
+    out[flown] = fly(p[flown], size[flown], noise[flown])
+    return land(out, size)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling: float = 3.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and the ``keep`` columns of each document.
 
@@ -121,8 +132,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "_hash", "_row"], ascending=[False, True, True])
             sizes, draws = pdf["size"].to_numpy(float), (pdf["_hash"] // 4096 % 1_000_003).to_numpy() / 1_000_003
-            after = fly(pdf["p"].to_numpy(float), sizes, draws)
-            return pdf.drop(columns="_block").assign(p=land(after, sizes) if last else after, blocks=(pdf["blocks"] + 9999) // 10000)
+            after = (fly_and_land if last else fly)(pdf["p"].to_numpy(float), sizes, draws)
+            return pdf.drop(columns="_block").assign(p=after, blocks=(pdf["blocks"] + 9999) // 10000)
 
         return run
 
