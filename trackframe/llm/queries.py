@@ -27,6 +27,18 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import drop_repeated_strings
+
+    return drop_repeated_strings(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_dedup import drop_repeated_passages
+
+    return drop_repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -42,6 +54,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_store": op3_token_store,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_chunk_dedup": op7_chunk_dedup,
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
 }

@@ -129,8 +129,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
     compression.  With too few samples for training, their plain bytes serve
     as the dictionary (none: an empty one).
     """
-    sample = docs.where(F.length("text") <= max_chars).orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).limit(sample_docs)
-    texts = [r[0] for r in sample.select(F.col("text").cast("binary")).collect()]
+    ids = [r[0] for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
+    sample = docs.where(F.col("doc_id").isin([i for i in ids if i is not None]) & (F.length("text") <= max_chars))
+    texts = [r[0] for r in sample.orderBy("doc_id").limit(sample_docs).select(F.col("text").cast("binary")).collect()]
     samples = word_encoder(tokenizer_path, end_id).encode([bytes(t) for t in texts])
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
