@@ -27,6 +27,12 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import drop_repeated_strings
 
@@ -54,6 +60,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_store": op3_token_store,
+    "op4_jaccard": op4_jaccard,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chunk_dedup": op7_chunk_dedup,
     "op8_mixing": op8_mixing,
