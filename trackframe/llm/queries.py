@@ -33,6 +33,12 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), held_out_fold=1)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import drop_repeated_strings
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_store": op3_token_store,
     "op4_jaccard": op4_jaccard,
+    "op5_language_model": op5_language_model,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chunk_dedup": op7_chunk_dedup,
     "op8_mixing": op8_mixing,
