@@ -155,5 +155,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling
 
 def mix_repeated(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling: float = 3.0) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``; a document taken k times appears k times."""
-    mixed = mix_sources(docs, weights, ceiling, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__whole"))
+    mixed = mix_sources(packed, weights, ceiling, keep=("__whole",)).where("copies > 0")
+    return mixed.select("__whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__whole.*")

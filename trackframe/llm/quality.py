@@ -158,18 +158,20 @@ def choose_cutoffs(rejected: dict[tuple, list[tuple[int, int]]], good: dict, ris
     return chosen
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05, label_id: str = "doc_id") -> DataFrame:
     """doc_id, lang, base counts, base_failed, kept.
 
     ``risk``: allowed share of good documents that the cutoffs of a stratum
     reject in all; ``error``: chance that any cutoff exceeds its part of it.
-    ``kept`` is false where the base rule or a cutoff rejects.  What is
+    ``label_id`` names
+    the column that labels go by.  ``kept`` is false where the base rule or a cutoff rejects.  What is
     collected is one row of counts for each stratum.
     """
     counts = materialize(base_counts(docs), "quality-counts").withColumn("base_failed", base_failed())
     signal = {s.name: F.expr(s.formula) for s in SIGNALS}
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    seen = counts.where(~F.col("base_failed")).join(truth, "doc_id")
+    truth = truth.withColumnRenamed("doc_id", "__labelled")
+    seen = counts.where(~F.col("base_failed")).join(truth, F.col(label_id) == F.col("__labelled"))
     per = seen.groupBy("lang", "quality").agg(
         F.count("*").alias("n"),
         *(F.array(*(F.count_if(signal[s.name] > c) for c in s.grid)).alias(s.name) for s in SIGNALS),
