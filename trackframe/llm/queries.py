@@ -69,6 +69,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nn_descent import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, top=10)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -79,6 +85,7 @@ QUERIES = {
     "op7_chunk_dedup": op7_chunk_dedup,
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_nn_descent": op10_nn_descent,
 }
 
 ORACLE_SQL: dict[str, str] = {}
