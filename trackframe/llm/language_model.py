@@ -67,6 +67,15 @@ def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(word, at, END), np.insert(suffix, at, 0), first + np.arange(len(first))
 
 
+def small_parts(texts: Texts, size: int = 2 << 20) -> Iterator[Texts]:
+    """Runs of whole texts of about ``size`` bytes, so that arrays over bytes stay small."""
+    at = 0
+    while at < texts.n:
+        to = max(at + 1, int(np.searchsorted(texts.offs, texts.offs[at] + size, "right")) - 1)
+        yield Texts(texts.buf[texts.offs[at] : texts.offs[to]], texts.offs[at : to + 1] - texts.offs[at])
+        at = to
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, suffix, n) of a partition; merged whenever much is held."""
     held: list[tuple] = []
@@ -84,7 +93,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token, suffix, _ = tokens(texts)
             held.append((token, suffix, np.ones(len(token), np.int64)))
             rows += len(token)
-            if rows > 2_000_000:
+            if rows > 1_500_000:
                 held = [merge()]
                 rows = len(held[0][0])
     if held:
@@ -130,14 +139,19 @@ class Lexicon:
     def __post_init__(self):
         self.classes = -(-self.words // CLASS_WIDTH) + SUFFIX_CLASSES
 
-    def look(self, token: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols (words, then suffix classes) and counts of tokens (-1: not held)."""
+    def place(self, token: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word number (-1: none), suffix class, place among held words, and whether held."""
+        kind = self.suffix_class[suffix]
         if not len(self.held):
-            return self.words + self.suffix_class[suffix], np.full(len(token), -1)
+            return np.full(len(token), -1), kind, np.zeros(len(token), int), np.zeros(len(token), bool)
         at = np.minimum(np.searchsorted(self.held, token), len(self.held) - 1)
         known = self.held[at] == token
-        symbol = np.where(known, self.symbol[at], -1)
-        return np.where(symbol < 0, self.words + self.suffix_class[suffix], symbol), np.where(known, self.count[at], -1)
+        return np.where(known, self.symbol[at], -1), kind, at, known
+
+    def symbols(self, token: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """Words by number, others by suffix class."""
+        symbol, kind, _, _ = self.place(token, suffix)
+        return np.where(symbol < 0, self.words + kind, symbol)
 
 
 def lexicon(vocab: DataFrame) -> Lexicon:
@@ -287,7 +301,7 @@ def fit(texts: DataFrame, lex: Lexicon, share: int = 12, rounds: int = 4, tokens
         for batch in batches:
             for a, b, some in slices(batch.column(1)):
                 token, suffix, first = tokens(some)
-                found, _ = held.value.look(token, suffix)
+                found = held.value.symbols(token, suffix)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["h", "symbols"])
 
@@ -376,25 +390,27 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5) ->
         class_log = np.log10(np.maximum(lex.class_total, 1))
         for batch in batches:
             for a, b, some in slices(batch.column(2), SLICE):
-                token, suffix, first = tokens(some)
-                at = np.minimum(np.searchsorted(lex.held, token), max(0, len(lex.held) - 1))
-                known = lex.held[at] == token if len(lex.held) else np.zeros(len(token), bool)
-                symbol = np.where(known, lex.symbol[at], -1) if len(lex.held) else np.full(len(token), -1)
-                kind = lex.suffix_class[suffix]
-                base = np.where(known, count_log[at], 0.0) if len(lex.held) else np.zeros(len(token))
-                inner = np.where(known & (symbol < 0), inner_log[at] - class_log[kind], 0.0) if len(lex.held) else np.zeros(len(token))
-                symbol = np.where(symbol < 0, lex.words + kind, symbol)
-                doc = np.repeat(np.arange(some.n), np.diff(first))
-                model = score_texts(weights, lex, symbol, first) / np.log(10) + np.bincount(doc, inner, some.n)
-                rare = np.flatnonzero(~known)
-                n_rare = np.bincount(doc[rare], minlength=some.n)
+                symbols, lengths, base, inner, rare_token, rare_kind, n_rare = ([] for _ in range(7))
+                for part in small_parts(some):
+                    token, suffix, first = tokens(part)
+                    doc = np.repeat(np.arange(part.n), np.diff(first))
+                    symbol, kind, at, known = lex.place(token, suffix)
+                    lengths.append(np.diff(first))
+                    base.append(np.bincount(doc[known], count_log[at[known]], part.n))
+                    static = known & (symbol < 0)
+                    inner.append(np.bincount(doc[static], inner_log[at[static]] - class_log[kind[static]], part.n))
+                    symbols.append(np.where(symbol < 0, lex.words + kind, symbol).astype(np.int32))
+                    rare_token.append(token[~known])
+                    rare_kind.append(kind[~known].astype(np.int32))
+                    n_rare.append(np.bincount(doc[~known], minlength=part.n))
+                n, n_rare = np.concatenate(lengths), np.concatenate(n_rare)
+                model = score_texts(weights, lex, np.concatenate(symbols), np.concatenate([[0], np.cumsum(n)])) / np.log(10) + np.concatenate(inner)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)),
-                    pa.StructArray.from_arrays([pa.array(token[rare].view(np.int64)), pa.array(kind[rare].astype(np.int32))], names=["token", "kind"]),
+                    pa.StructArray.from_arrays([pa.array(np.concatenate(rare_token).view(np.int64)), pa.array(np.concatenate(rare_kind))], names=["token", "kind"]),
                 )
-                n = np.diff(first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(n - n_rare), pa.array(np.bincount(doc, base, some.n) - n * unit), pa.array(model), lists],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(n - n_rare), pa.array(np.concatenate(base) - n * unit), pa.array(model), lists],
                     names=["doc_id", "held_out", "n_tokens", "n_held", "base", "model", "rare"],
                 )
 
