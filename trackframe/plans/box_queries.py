@@ -486,3 +486,27 @@ def _(f):
     s = tracks.track_summary(d.zone_filter(d.filter_detections(f.det), FilterConfig(near_area=FilterConfig().area, mid_area=FilterConfig().area, near_aspect=FilterConfig().aspect, far_aspect=FilterConfig().aspect)))
     w = Window.partitionBy("video_id").orderBy(F.desc("displacement"), "track_id")
     return rounded(s.withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 8").select("video_id", "track_id", "displacement", "place"), 4)
+
+
+@query("e1_detections_to_tracks")
+def _(f):
+    from ..config import PipelineConfig
+    from .pipelines import detections_to_tracks
+
+    out = detections_to_tracks(f.det, f.matches, f.segments, PipelineConfig(min_track=2), link=False)
+    return out.groupBy("video_id", "track_id").agg(F.count("*").alias("n"))
+
+
+@query("e2_tracks_to_skill", "det", sql=_SKILL + """, sk AS (SELECT * FROM k WHERE reason IN ('route runner', 'backfield near bottom', 'backfield near top')), r AS (SELECT *, displacement >= 50 far, row_number() OVER (PARTITION BY video_id, displacement >= 50 ORDER BY displacement DESC, track_id) p FROM sk)
+  SELECT video_id, track_id, reason, far AND p <= 8 AS kept FROM r""")
+def _(f):
+    from .pipelines import tracks_to_skill
+
+    return tracks_to_skill(f.det, f.videos, "clustering").limited.select("video_id", "track_id", "reason", "kept")
+
+
+@query("e3_skill_routes")
+def _(f):
+    from .pipelines import skill_routes
+
+    return rounded(skill_routes(f.det, f.videos, "clustering").select("video_id", "track_id", "original_num_detections", F.element_at("x_coords", 1).alias("x1"), F.element_at("x_coords", -1).alias("x64")), 4)

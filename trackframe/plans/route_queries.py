@@ -393,3 +393,20 @@ def _(f):
     model = ml.train_classifier(f.routes, "logistic", classes)
     paths = r.normalized_routes(f.det, f.videos).withColumn("route_id", F.col("track_id"))
     return rounded(ml.predict_videos(model, paths, classes))
+
+
+@query("sql_functions", "routes", sql="""WITH e AS (SELECT route_id, list_transform(y_coords[1:5], lambda v: exp(v)) e FROM routes) SELECT route_id, round(e[1]/list_sum(e), 6) AS p1, 8::BIGINT AS n, 1.0::DOUBLE AS clipped FROM e""")
+def _(f):
+    from ..functions.sql_functions import register
+
+    register(f.spark)
+    return rounded(f.spark.sql("SELECT route_id, element_at(tf_softmax(slice(y_coords, 1, 5)), 1) AS p1, CAST(size(tf_pad_edge(slice(y_coords, 1, 5), 8)) AS BIGINT) AS n, tf_clip(2D, 0D, 1D) AS clipped FROM {r}", r=f.routes))
+
+
+@query("udtf_route_points", "routes", sql="SELECT route_id, count(*) AS points, round(list_sum(any_value(y_coords)), 6) AS sum_y FROM (SELECT route_id, y_coords, unnest(x_coords) FROM routes) GROUP BY 1")
+def _(f):
+    from ..functions.sql_functions import register
+
+    register(f.spark)
+    f.routes.createOrReplaceTempView("tf_routes")
+    return rounded(f.spark.sql("SELECT route_id, count(*) AS points, sum(p.y) AS sum_y FROM tf_routes, LATERAL route_points(x_coords, y_coords) p GROUP BY route_id"))
