@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..config import MotionConfig
 
-FRAMES = Window.partitionBy("video_id").orderBy("frame_id")
+def frames():
+    return Window.partitionBy("video_id").orderBy("frame_id")
+
 
 
 def _fit(points: DataFrame, tag: str) -> DataFrame:
@@ -59,7 +61,7 @@ def smooth_motion(motion: DataFrame, cfg: MotionConfig = MotionConfig()) -> Data
     """Mean of the last frames that moved (angles on the circle, scales as logarithms); frames that hardly moved are the identity and are not remembered."""
     still = (F.sqrt(F.expr("dx*dx+dy*dy")) < cfg.still_pixels) & (F.abs(F.exp("log_s") - 1) < cfg.still_scale) & (F.abs("theta") < cfg.still_angle)
     rows = motion.withColumn("_still", still)
-    w = FRAMES.rowsBetween(-(cfg.window - 1), 0)
+    w = frames().rowsBetween(-(cfg.window - 1), 0)
     keys = [c for c in ("video_id", "frame_id")]
     moved = rows.where("not _still").select(*keys, F.avg("dx").over(w).alias("dx"), F.avg("dy").over(w).alias("dy"), F.atan2(F.avg(F.sin("theta")).over(w), F.avg(F.cos("theta")).over(w)).alias("theta"), F.avg("log_s").over(w).alias("log_s"))
     zero = rows.where("_still").select(*keys, *(F.lit(0.0).alias(c) for c in ("dx", "dy", "theta", "log_s")))
@@ -72,7 +74,7 @@ def cumulative_transform(motion: DataFrame) -> DataFrame:
     With L and phi the running sums of log scale and angle, the shift is
     e^L R(phi) S, where S sums e^-L R(-phi) (dx, dy): three running sums.
     """
-    w = FRAMES.rowsBetween(Window.unboundedPreceding, 0)
+    w = frames().rowsBetween(Window.unboundedPreceding, 0)
     run = motion.withColumns({"_l": F.sum("log_s").over(w), "_p": F.sum("theta").over(w)})
     q = run.withColumns({"_qx": F.expr("exp(-_l)*(dx*cos(_p)+dy*sin(_p))"), "_qy": F.expr("exp(-_l)*(dy*cos(_p)-dx*sin(_p))")})
     s = q.withColumns({"_sx": F.sum("_qx").over(w), "_sy": F.sum("_qy").over(w)})

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
-#: One window specification for all operators along a track, so Spark sorts once.
-ALONG = Window.partitionBy("video_id", "track_id").orderBy("frame_id", "det_id")
+
+def along():
+    """One window specification for all operators along a track, so Spark sorts once."""
+    return Window.partitionBy("video_id", "track_id").orderBy("frame_id", "det_id")
+
+
 TRACK = ("video_id", "track_id")
 
 
@@ -21,7 +25,7 @@ def one_per_frame(df: DataFrame) -> DataFrame:
 def with_steps(df: DataFrame) -> DataFrame:
     """Distance of each centre from the one before (null for the first)."""
     cx, cy = g.center_x(), g.center_y()
-    return df.withColumn("step", g.distance(F.lag(cx).over(ALONG), F.lag(cy).over(ALONG), cx, cy))
+    return df.withColumn("step", g.distance(F.lag(cx).over(along()), F.lag(cy).over(along()), cx, cy))
 
 
 def track_summary(df: DataFrame) -> DataFrame:
@@ -83,28 +87,28 @@ def field_position(df: DataFrame, width: float = 1920.0, height: float = 984.0)
 def velocities(df: DataFrame, fps: float = 30.0) -> DataFrame:
     """Velocity and speed between neighbouring rows in pixels a second; the first row of a track is dropped."""
     cx, cy = g.center_x(), g.center_y()
-    dt = (F.col("frame_id") - F.lag("frame_id").over(ALONG)) / F.lit(fps)
-    out = df.withColumns({"_dt": dt, "_dx": cx - F.lag(cx).over(ALONG), "_dy": cy - F.lag(cy).over(ALONG)}).where("_dt > 0")
+    dt = (F.col("frame_id") - F.lag("frame_id").over(along())) / F.lit(fps)
+    out = df.withColumns({"_dt": dt, "_dx": cx - F.lag(cx).over(along()), "_dy": cy - F.lag(cy).over(along())}).where("_dt > 0")
     out = out.select(*df.columns, (F.col("_dx") / F.col("_dt")).alias("vx"), (F.col("_dy") / F.col("_dt")).alias("vy"))
     return out.withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")))
 
 
 def arc_length(df: DataFrame) -> DataFrame:
     """Share of the track's length up to each row (0 for a track that does not move)."""
-    run = F.sum(F.coalesce("step", F.lit(0.0))).over(ALONG.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.coalesce("step", F.lit(0.0))).over(along().rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum(F.coalesce("step", F.lit(0.0))).over(Window.partitionBy(*TRACK))
     return with_steps(df).withColumns({"arc": run, "_whole": whole}).withColumn("arc_share", F.when(F.col("_whole") > 0, F.col("arc") / F.col("_whole")).otherwise(0.0)).drop("_whole", "step")
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of each track."""
-    return df.withColumn("_k", F.row_number().over(ALONG)).where(F.col("_k") <= n).drop("_k")
+    return df.withColumn("_k", F.row_number().over(along())).where(F.col("_k") <= n).drop("_k")
 
 
 def fill_gaps(df: DataFrame, max_gap: int = 10) -> DataFrame:
     """Rows for missing frames of gaps up to ``max_gap``, interpolated, confidence 0, no detection id."""
     box = ("x", "y", "width", "height")
-    nxt = {f"_n_{c}": F.lead(c).over(ALONG) for c in ("frame_id", *box)}
+    nxt = {f"_n_{c}": F.lead(c).over(along()) for c in ("frame_id", *box)}
     gaps = df.withColumns(nxt).withColumn("_gap", F.col("_n_frame_id") - F.col("frame_id"))
     gaps = gaps.where(F.col("_gap").between(2, max_gap)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_gap").cast("int") - 1)))
     t = F.col("_k") / F.col("_gap")
@@ -115,7 +119,7 @@ def fill_gaps(df: DataFrame, max_gap: int = 10) -> DataFrame:
 def track_history(df: DataFrame, n: int = 30) -> DataFrame:
     """Frame where the track was first seen, and its last ``n`` centres at each row."""
     point = F.struct(g.center_x().alias("x"), g.center_y().alias("y"))
-    return df.withColumns({"first_seen": F.min("frame_id").over(Window.partitionBy(*TRACK)), "history": F.collect_list(point).over(ALONG.rowsBetween(-(n - 1), 0))})
+    return df.withColumns({"first_seen": F.min("frame_id").over(Window.partitionBy(*TRACK)), "history": F.collect_list(point).over(along().rowsBetween(-(n - 1), 0))})
 
 
 def drop_short_tracks(df: DataFrame, n: int = 30) -> DataFrame:
