@@ -1,8 +1,8 @@
 """Removing passages that an earlier document holds, by content-defined chunks.
 
 A gear hash rolls over the last 16 bytes of a text.  A chunk ends after a white
-space where the hash has its high bits 0 (one white space in five), or after any
-other character where more of them are 0, if the previous such place is at
+space where the hash is in its lowest third, or after any
+other character where it is far lower, if the previous such place is at
 least ``MIN_CHUNK`` bytes back; longer stretches are cut every ``MAX_CHUNK``
 bytes.  As ends depend on nearby bytes only, an insertion moves no chunk border
 beyond its own surroundings.
@@ -49,7 +49,7 @@ def chunk_ends(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     h = gear_hash(buf) >> np.uint32(16)
     inside = np.ones(len(buf) + 1, bool)
     inside[:-1] = (buf & 0xC0) != 0x80  # an end lies before the first byte of a character
-    end = np.flatnonzero(np.where(SPACE[buf], h < 65536 // 5, h < 65536 // 2048) & inside[1:]) + 1
+    end = np.flatnonzero(np.where(SPACE[buf], h < 65536 // 3, h < 65536 // 2048) & inside[1:]) + 1
     start_of = offs[np.searchsorted(offs, end, "right") - 1]
     end = end[(end - start_of >= WINDOW)]
     end = end[np.diff(end, prepend=-MIN_CHUNK) >= MIN_CHUNK]
