@@ -230,18 +230,20 @@ def test_scores_of_odd_documents(documents):
     got = language_model.score_documents(documents).collect()
     assert len(got) == 12 and all(r.score < 0 for r in got)
     held = {r.doc_id: r for r in got}
-    assert held[3].n_tokens == 1 and held[4].n_tokens == 1 and held[1].n_tokens == 13
+    assert held[3].n_tokens == 1 and held[4].n_tokens == 1 and held[1].n_tokens == 14
     assert language_model.score_documents(empty_like(documents)).count() == 0
 
 
 def test_toxic_words_are_learned(spark):
     r = np.random.default_rng(4)
-    word = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, 5))
+    known = ["".join(chr(97 + c) for c in r.integers(0, 26, 5)) for _ in range(300)]
+    word = lambda: known[int(r.integers(300))]
     rows = []
-    for i in range(400):
+    for i in range(800):
         w = [word() for _ in range(int(r.integers(20, 120)))]
         if i % 4 == 0:
             w[int(r.integers(len(w)))] = "vilegrub" + word()[:2]
+            w[int(r.integers(len(w)))] = "nastiness"
         rows.append((i, " ".join(w), int(i % 4 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     odd = spark.createDataFrame([(1000, None), (1001, ""), (None, "x")], "doc_id long, text string")
