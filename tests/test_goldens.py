@@ -111,7 +111,7 @@ def test_boundary_at_second_point(spark):
 
 @pytest.mark.parametrize("players,low", [(3, None), (6, 6), (11, 11), (15, 11)])
 def test_line_by_least_movement(spark, players, low):
-    rows = [box(t, t * 10 + k, k, 100 * t + k * t, 60 * t) for t in range(1, players + 1) for k in range(5)]
+    rows = [box(t, t * 10 + k, k, 100 * t + k * t, t * 397 % 900) for t in range(1, players + 1) for k in range(5)]
     df = det(spark, rows)
     videos = spark.createDataFrame([(0, 1920.0, 984.0)], "video_id long, width double, height double")
     los = teams.fit_los(df, videos, "minimal_movement").first()
