@@ -15,10 +15,11 @@ if both sets are thin, and then both have indexed them.
 
 Sets are collapsed by equality first.  Signatures travel packed; a task sorts
 its share and finds the groups that share one.  Pairs of a group are first held
-against an exact lower bound (segment sizes differ by no more than the sets
+against an exact lower bound (parity sketches differ by no more than the sets
 do), then verified exactly on whole sets.  Groups are not expanded into pairs:
 each set first proposes its least-bound partners and the group's first member;
-components form; only pairs of different components are looked at again.
+components form; only pairs of different components are looked at again, first
+each set's nearest in every group, then all.
 
 Null or wordless texts have no set.  Repeated rows are one node.
 """
@@ -32,18 +33,22 @@ from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .spans import KEY, join_key, keyed
-from .storage import drop_tables, materialize
+from .storage import materialize
 from .textops import Texts, mix, prefix_hash, shingle_hashes, slices, span_hash
 
+#: Cells of a parity sketch for each segment.
+SKETCH = 16
 #: Members of a group that a task compares at once; larger groups are cut into blocks and pairs of blocks.
 GROUP_BLOCK = 1500
-#: Partners that a set proposes in the first round (the second looks at all that may still matter).
-PROPOSALS = 4
+#: Partners that a set proposes in the first round (the last looks at all that may still matter).
+PROPOSALS = 2
+#: Signatures that a task packs at a time.
+PACKED = 2_000_000
 
 
 def most_different(total: int, percent: int) -> int:
@@ -125,8 +130,8 @@ class Sets:
         self.node = mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64))
 
 
-def signatures(sets: Sets, docs: np.ndarray, scheme: Scheme, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of some sets under a scheme with the text that each belongs to, and their segment sizes (a row for each)."""
+def signatures(sets: Sets, docs: np.ndarray, scheme: Scheme, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of some sets under a scheme, and the text that each belongs to."""
     m, ones = scheme.segments, scheme.ones
     n = sets.size[docs]
     row = np.repeat(np.arange(len(docs)), n)
@@ -160,7 +165,22 @@ def signatures(sets: Sets, docs: np.ndarray, scheme: Scheme, percent: int) -> tu
     empty = np.flatnonzero((grid == 0).ravel() & np.repeat(thin, m))
     out.append(sign(empty, np.zeros(len(empty), np.uint64), np.zeros(len(empty), int)))
     owner.append(empty // m)
-    return np.concatenate(out), docs[np.concatenate(owner)], grid
+    return np.concatenate(out), docs[np.concatenate(owner)]
+
+
+def sketches(sets: Sets, docs: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """For each set the parity of its tokens in ``SKETCH`` cells a segment, as packed bits.
+
+    A token in one set only flips one bit, so two sketches differ in at most as
+    many bits as the sets differ in tokens.
+    """
+    cells = SKETCH * scheme.segments
+    out = np.empty((len(docs), cells // 8), np.uint8)
+    for k, d in enumerate(docs.tolist()):
+        token = sets.token[sets.first[d] : sets.first[d + 1]]
+        cell = ((token & np.uint64(0xFFFFFFFF)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+        out[k] = np.packbits((np.bincount(cell, minlength=cells) & 1).astype(bool))
+    return out
 
 
 def _by_scheme(sets: Sets, docs: np.ndarray, percent: int) -> Iterator[tuple[Scheme, np.ndarray]]:
@@ -174,69 +194,80 @@ def _by_scheme(sets: Sets, docs: np.ndarray, percent: int) -> Iterator[tuple[Sch
 
 
 def _nodes(batches: Iterable[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Key, set size, node and, for its lower and upper scheme, the number and the segment sizes."""
+    """Key, set size, node and, for its lower and upper scheme, the number and the parity sketch."""
     for batch in batches:
         for a, b, texts in slices(batch.column(2)):
             sets = Sets(texts, width)
             low: list = [None] * texts.n
             high: list = [None] * texts.n
             for scheme, docs in _by_scheme(sets, np.flatnonzero(sets.size), percent):
-                _, _, grid = signatures(sets, docs, scheme, percent)
-                packed = np.minimum(grid, 65535).astype("<u2") if grid.max() > 255 else grid.astype("u1")
                 upper = bands(percent)[0][scheme.number + 1] > sets.size[docs]
-                for d, up, cells in zip(docs.tolist(), upper.tolist(), packed, strict=True):
-                    (high if up else low)[d] = (scheme.number, cells.astype("<u2").tobytes() if cells.max() > 255 else cells.astype("u1").tobytes(), cells.max() > 255)
+                for d, up, bits in zip(docs.tolist(), upper.tolist(), sketches(sets, docs, scheme), strict=True):
+                    (high if up else low)[d] = (scheme.number, bits.tobytes())
             take = lambda x, k: [None if v is None else v[k] for v in x]
             some = pa.array(sets.size == 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sets.size.astype(np.int64)), pa.compute.if_else(some, pa.scalar(None, pa.int64()), pa.array(sets.node.view(np.int64)))]
                 + [pa.array(take(x, k), t) for x in (low, high) for k, t in ((0, pa.int32()), (1, pa.binary()))],
-                names=[*KEY, "n", "node", "low", "low_sizes", "high", "high_sizes"],
+                names=[*KEY, "n", "node", "low", "low_bits", "high", "high_bits"],
             )
 
 
 def _packed_signatures(batches: Iterable[pa.RecordBatch], width: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Signatures with their scheme and node, packed by bucket; a task packs many texts at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        value, node, scheme = (np.concatenate([h[k] for h in held]) for k in range(3))
+        bucket = (value >> np.uint64(40)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(cuts))
+        columns = []
+        for x in (value, node, scheme):
+            x = x[order]
+            columns.append(pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *columns], names=["bucket", "signatures", "nodes", "schemes"])
+
+    size = 0
     for batch in batches:
         for _, _, texts in slices(batch.column(2)):
             sets = Sets(texts, width)
             docs = np.flatnonzero(sets.size)
             docs = docs[np.unique(sets.node[docs], return_index=True)[1]]
             for scheme, some in _by_scheme(sets, docs, percent):
-                value, owner, _ = signatures(sets, some, scheme, percent)
-                bucket = (value >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                value, node = value[order], sets.node[owner[order]]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), scheme.number, np.int32))]
-                    + [pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()) for x in (value, node)],
-                    names=["bucket", "scheme", "signatures", "nodes"],
-                )
+                value, owner = signatures(sets, some, scheme, percent)
+                held.append((value, sets.node[owner], np.full(len(value), scheme.number, np.uint16)))
+                size += len(value)
+            if size > PACKED:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct groups of nodes that share a signature, as (group, scheme, node)."""
-    held: dict[tuple, list] = {}
+    held: dict[int, list] = {}
     for batch in batches:
-        for bucket, scheme, value, node in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            held.setdefault((scheme, bucket), []).append((value, node))
-    for (scheme, _), parts in held.items():
-        value, node = (np.frombuffer(b"".join(p[k] for p in parts), np.uint64) for k in (0, 1))
+        for bucket, *parts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            held.setdefault(bucket, []).append(parts)
+    for rows in held.values():
+        value, node, scheme = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.uint64, np.uint16)))
         order = np.lexsort((node, value))
-        value, node = value[order], node[order]
+        value, node, scheme = value[order], node[order], scheme[order]
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (node[1:] != node[:-1])])
-        value, node = value[new], node[new]
+        value, node, scheme = value[new], node[new], scheme[new]
         start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         size = np.diff(np.append(start, len(value)))
-        name = mix(np.add.reduceat(mix(node), start) + size.astype(np.uint64) + np.uint64(scheme))
+        name = mix(np.add.reduceat(mix(node), start) + size.astype(np.uint64) + scheme[start].astype(np.uint64))
         many = np.flatnonzero(size > 1)
         many = many[np.unique(name[many], return_index=True)[1]]
         if not len(many):
             continue
         at = np.repeat(start[many] - (np.cumsum(size[many]) - size[many]), size[many]) + np.arange(size[many].sum())
         group = np.repeat(name[many], size[many])
-        yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(np.full(len(at), scheme, np.int32)), pa.array(node[at].view(np.int64)), pa.array(np.repeat(size[many], size[many]))], names=["group", "scheme", "node", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(scheme[at].astype(np.int32)), pa.array(node[at].view(np.int64)), pa.array(np.repeat(size[many], size[many]))], names=["group", "scheme", "node", "members"])
 
 
 def _pairs(batches: Iterable[pa.RecordBatch], percent: int, proposals: int | None) -> Iterator[pa.RecordBatch]:
@@ -248,10 +279,12 @@ def _pairs(batches: Iterable[pa.RecordBatch], percent: int, proposals: int | Non
     def block_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, n, part, half = (rows.column(k).to_numpy() for k in (1, 2, 3, 5))
         sizes = rows.column(4).to_pylist()
-        m = rows.column(6)[0].as_py()
         order = np.argsort(node)
         node, n, part, half = node[order], n[order], part[order], half[order]
-        grid = np.stack([np.frombuffer(sizes[k], "u1" if len(sizes[k]) == m else "<u2") for k in order]).astype(np.int32)
+        bits = np.frombuffer(b"".join([sizes[k] for k in order]), np.uint8).reshape(len(order), -1)
+        words = np.zeros((len(order), -(-bits.shape[1] // 8) * 8), np.uint8)
+        words[:, : bits.shape[1]] = bits
+        words = words.view(np.uint64)
         a, b = [], []
         for i in range(len(node) - 1):
             rest = slice(i + 1, len(node))
@@ -261,7 +294,7 @@ def _pairs(batches: Iterable[pa.RecordBatch], percent: int, proposals: int | Non
                 ok &= half[rest] != half[i]
             if not ok.any():
                 continue
-            bound = np.abs(grid[rest] - grid[i]).sum(1)
+            bound = np.bitwise_count(words[rest] ^ words[i]).sum(1, dtype=np.int64)
             ok &= bound <= both - 2 * (-(-percent * both // (100 + percent)))
             hit = np.flatnonzero(ok)
             if proposals is not None and i and len(hit) > proposals:
@@ -313,20 +346,20 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
         self.texts = keyed(docs).select(*KEY, "__text")
-        schema = f"{KEY[0]} long, {KEY[1]} long, n long, node long, low int, low_sizes binary, high int, high_sizes binary"
+        schema = f"{KEY[0]} long, {KEY[1]} long, n long, node long, low int, low_bits binary, high int, high_bits binary"
         self.nodes = materialize(self.texts.mapInArrow(lambda it: _nodes(it, width, percent), schema), "jaccard-nodes")
 
     def groups(self) -> DataFrame:
         buckets = 4 * max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.nodes.count() // 5_000)
         width, percent = self.width, self.percent
-        packed = self.texts.mapInArrow(lambda it: _packed_signatures(it, width, percent, buckets), "bucket int, scheme int, signatures binary, nodes binary")
-        found = packed.repartition(buckets // 4, "scheme", "bucket").mapInArrow(_groups, "`group` long, scheme int, node long, members long")
+        packed = self.texts.mapInArrow(lambda it: _packed_signatures(it, width, percent, buckets), "bucket int, signatures binary, nodes binary, schemes binary")
+        found = packed.repartition(buckets // 4, "bucket").mapInArrow(_groups, "`group` long, scheme int, node long, members long")
         return materialize(found.dropDuplicates(["group", "node"]), "jaccard-groups")
 
     def candidates(self, groups: DataFrame, proposals: int | None) -> DataFrame:
         """Pairs (a, b) worth verifying; ``groups`` has ``part``: pairs of one part are known to be connected."""
-        once = self.nodes.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("low_sizes").alias("low_sizes"), F.first("high_sizes").alias("high_sizes"))
-        rows = groups.join(once, "node").withColumn("sizes", F.when(F.col("scheme") == F.col("low"), F.col("low_sizes")).otherwise(F.col("high_sizes")))
+        once = self.nodes.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("low_bits").alias("low_bits"), F.first("high_bits").alias("high_bits"))
+        rows = groups.join(once, "node").withColumn("sizes", F.when(F.col("scheme") == F.col("low"), F.col("low_bits")).otherwise(F.col("high_bits")))
         blocks = F.ceil(F.col("members") / GROUP_BLOCK)
         mine = F.pmod(F.xxhash64("node"), blocks)
         if proposals is None:
@@ -336,9 +369,7 @@ class JaccardJoin:
             half = F.when(F.col("_mine") == F.col("_other"), 0).otherwise(F.when(F.col("_mine") < F.col("_other"), 1).otherwise(2))
         else:
             block, half = F.xxhash64("group", mine), F.lit(0)
-        segments = {s.number: s.segments for s in bands(self.percent)[1][:200]}
-        count = F.element_at(F.create_map(*(F.lit(x) for kv in segments.items() for x in kv)), F.col("scheme"))
-        rows = rows.select(block.alias("block"), "node", "n", "part", "sizes", half.cast("int").alias("half"), count.alias("segments"))
+        rows = rows.select(block.alias("block"), "node", "n", "part", "sizes", half.cast("int").alias("half"))
         percent = self.percent
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _pairs(it, percent, proposals), "a long, b long").distinct()
 
@@ -358,18 +389,28 @@ class JaccardJoin:
     def node_components(self) -> DataFrame:
         """``node, component`` of the nodes that have a link."""
         groups = self.groups()
-        pairs = materialize(self.candidates(groups.withColumn("part", F.col("node")), PROPOSALS), "jaccard-pairs")
-        links = materialize(self.verify(pairs), "jaccard-links")
-        parts = components(links)
-        # Second round: groups that still span several components, all pairs across them that were not verified yet.
-        marked = groups.join(parts, "node", "left").select("group", "scheme", "node", "members", F.coalesce("component", "node").alias("part"))
-        mixed = marked.groupBy("group").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("group")
-        rest = materialize(self.candidates(marked.join(mixed, "group", "left_semi"), None).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-        if rest.isEmpty():
-            return parts
-        more = materialize(self.verify(rest), "jaccard-links")
-        drop_tables(groups)
-        return parts if more.isEmpty() else components(links.union(more))
+        pairs = links = parts = None
+        # First a few groups of each node, only to connect most of what belongs together; at last all pairs
+        # across components in all groups that still span several.
+        for proposals, few in ((PROPOSALS, 1), (1, 2), (None, None)):
+            if parts is None:
+                marked = groups.withColumn("part", F.col("node"))
+            else:
+                marked = groups.join(parts, "node", "left").select("group", "scheme", "node", "members", F.coalesce("component", "node").alias("part"))
+                mixed = marked.groupBy("group").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("group")
+                marked = marked.join(mixed, "group", "left_semi")
+            if few:
+                order = Window.partitionBy("node").orderBy(F.desc("members"), "group")
+                marked = marked.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= few).drop("_k")
+            rest = self.candidates(marked, proposals)
+            rest = materialize(rest if pairs is None else rest.join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
+            pairs = rest if pairs is None else pairs.unionByName(rest)
+            if parts is None or not rest.isEmpty():
+                more = materialize(self.verify(rest), "jaccard-links")
+                if links is None or not more.isEmpty():
+                    links = more if links is None else links.unionByName(more)
+                    parts = components(links)
+        return parts
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -391,8 +432,6 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     Of several rows with that id one stays: the first by text hash.  Documents without a set all stay.
     Repeated rows count once.
     """
-    from pyspark.sql import Window
-
     join = JaccardJoin(docs, width, percent)
     parts = join.node_components()
     labelled = join.nodes.where("node is not null").join(parts, "node", "left").select(*KEY, F.coalesce("component", "node").alias("part"))
