@@ -30,7 +30,7 @@ from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one task flies; two of each block at most go on to the next round.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Documents of a source that take no part in its last flight, so that landing has choices.
 RESERVE = 12
 
@@ -133,7 +133,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling
             pdf = pdf.sort_values(["size", "_hash", "_row"], ascending=[False, True, True])
             sizes, draws = pdf["size"].to_numpy(float), (pdf["_hash"] // 4096 % 1_000_003).to_numpy() / 1_000_003
             after = (fly_and_land if last else fly)(pdf["p"].to_numpy(float), sizes, draws)
-            return pdf.drop(columns="_block").assign(p=after, blocks=(pdf["blocks"] + 9999) // 10000)
+            return pdf.drop(columns="_block").assign(p=after, blocks=(pdf["blocks"] + 999) // 1000)
 
         return run
 
@@ -144,7 +144,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling
         settled.append(flown.where("p = 1").select("_row"))
         if last:
             break
-        undecided, most = flown.where("p > 0 and p < 1"), (most + 9999) // 10000
+        undecided, most = flown.where("p > 0 and p < 1"), (most + 999) // 1000
     chosen = settled[0]
     for more in settled[1:]:
         chosen = chosen.unionByName(more)
