@@ -218,7 +218,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     schema = f"block long, context long, {KEY[0]} long, {KEY[1]} long, place long"
     suffixes = materialize(texts.mapInArrow(_suffixes, schema), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // 500_000)
-    ranged = suffixes.repartitionByRange(buckets, "block", "context")
+    ranged = suffixes.repartitionByRange(buckets, "block", "context", KEY[0], "place")
     fates = materialize(ranged.mapInArrow(_sort_bucket, schema + ", fate tinyint"), "suffix-fates")
     drop_tables(suffixes)
 
