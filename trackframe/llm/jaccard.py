@@ -392,7 +392,7 @@ class JaccardJoin:
         pairs = links = parts = None
         # First a few groups of each node, only to connect most of what belongs together; at last all pairs
         # across components in all groups that still span several.
-        for proposals, few in ((PROPOSALS, 1), (1, 2), (None, None)):
+        for proposals, few in ((PROPOSALS, 1), (1, 2), (1, 6), (None, None)):
             if parts is None:
                 marked = groups.withColumn("part", F.col("node"))
             else:
