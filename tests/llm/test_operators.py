@@ -234,6 +234,25 @@ def test_scores_of_odd_documents(documents):
     assert language_model.score_documents(empty_like(documents)).count() == 0
 
 
+def test_language_model_learns_from_every_text(spark):
+    for k in range(3):
+        one = spark.createDataFrame([(1, f"just one text number {k} with words of its own")], "doc_id long, text string")
+        lex = language_model.lexicon(language_model.vocabulary(one.select(F.col("text").cast("binary").alias("text"))))
+        before, after = language_model.new_weights(lex), language_model.fit(one.select("doc_id", F.col("text").cast("binary").alias("text")), lex)
+        assert not np.array_equal(before["embed"], after["embed"])
+
+
+def test_training_takes_every_token():
+    lex = language_model.Lexicon(np.arange(1, 131, dtype=np.uint64), np.arange(130, 0, -1), np.arange(130), 130, np.zeros(65536, int), np.zeros(48), np.zeros(48), 8515, 130)
+    r = np.random.default_rng(8)
+    some = [r.integers(0, 178, n) for n in (1, 31, 32, 33, 5000, *r.integers(1, 90, 200))]
+    start = language_model.new_weights(lex)
+    weights, seen = language_model.train(start, 130, some)
+    assert seen == sum(map(len, some))
+    flat, first = np.concatenate(some), np.concatenate([[0], np.cumsum([len(t) for t in some])])
+    assert language_model.score_texts(weights, lex, flat, first).sum() > language_model.score_texts(start, lex, flat, first).sum()
+
+
 def test_toxic_words_are_learned(spark):
     r = np.random.default_rng(4)
     known = ["".join(chr(97 + c) for c in r.integers(0, 26, 5)) for _ in range(300)]

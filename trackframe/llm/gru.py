@@ -35,7 +35,8 @@ def forward(x: np.ndarray, h: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple
     inner = np.empty((steps, *h.shape), F32)
     states[0] = h
     for t in range(steps):
-        g = states[t] @ u + b
+        g = states[t] @ u
+        g += b
         gates[t, :, : 2 * n] = sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
         inner[t] = g[:, 2 * n :]
         gates[t, :, 2 * n :] = np.tanh(x[t, :, 2 * n :] + gates[t, :, :n] * inner[t])
@@ -50,15 +51,21 @@ def backward(grad: np.ndarray, kept: tuple, u: np.ndarray) -> tuple[np.ndarray,
     dx = np.empty_like(gates)
     dg = np.empty_like(gates)
     dh = np.zeros_like(states[0])
+    r, z, c = gates[:, :, :n], gates[:, :, n : 2 * n], gates[:, :, 2 * n :]
+    of_c = (1 - z) * (1 - c * c)
+    of_z = (states[:-1] - c) * z * (1 - z)
+    of_r = of_c * inner * r * (1 - r)
+    of_inner = of_c * r
+    back = np.ascontiguousarray(u.T)
     for t in range(steps - 1, -1, -1):
         dh = dh + grad[t]
-        r, z, c = gates[t, :, :n], gates[t, :, n : 2 * n], gates[t, :, 2 * n :]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (states[t] - c) * z * (1 - z)
-        dr = dc * inner[t] * r * (1 - r)
-        dx[t] = np.concatenate([dr, dz, dc], 1)
-        dg[t] = np.concatenate([dr, dz, dc * r], 1)
-        dh = dh * z + dg[t] @ u.T
+        np.multiply(dh, of_r[t], out=dg[t, :, :n])
+        np.multiply(dh, of_z[t], out=dg[t, :, n : 2 * n])
+        np.multiply(dh, of_inner[t], out=dg[t, :, 2 * n :])
+        np.multiply(dh, of_c[t], out=dx[t, :, 2 * n :])
+        dh *= z[t]
+        dh += dg[t] @ back
+    dx[:, :, : 2 * n] = dg[:, :, : 2 * n]
     flat = dg.reshape(-1, 3 * n)
     return dx, states[:-1].reshape(-1, n).T @ flat, flat.sum(0), dh
 

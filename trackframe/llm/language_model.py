@@ -14,10 +14,10 @@ of a class as one word, as the base score does.  So the probabilities of all
 words sum to one.
 
 Training is truncated backpropagation through time over windows of a text, the
-state carried from window to window.  It runs as local SGD: each task trains a
-copy on its share of the training sample and the copies are averaged by Spark,
-a few rounds long.  The sample is a fixed share of the training documents
-(``share``, chosen by hash), so it grows with the input and so do the tasks.
+state carried from window to window.  It runs as local SGD over all training
+documents, each of them once: a round takes its part of them, each task trains
+a copy on a bounded number of tokens and the copies are averaged by Spark.  The
+tasks grow with the input.  Round and task of a document go by a hash of its text.
 
 Scoring reads every whole text: texts of an Arrow slice advance together, one
 token a step, and the state is carried to the end of each.
@@ -28,6 +28,7 @@ for the held-out rule (crc32 of nothing is 0).
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -46,8 +47,10 @@ END = np.uint64(0x5EED0E9D)
 #: Words with a state-dependent probability, and words whose counts every task holds.
 WORDS, HELD_WORDS = 2048, 262_144
 CLASS_WIDTH, SUFFIX_CLASSES = 64, 48
-STATE, EMBED, WINDOW, ROWS = 16, 16, 32, 128
+STATE, EMBED, WINDOW, ROWS = 16, 16, 32, 64
 DISCOUNT = 0.75
+#: Longer texts begin first, so that none runs on alone at the end.
+LONG = 2048
 #: Bytes of text that advance together.
 SLICE = 12 << 20
 
@@ -197,7 +200,8 @@ def new_weights(lex: Lexicon, seed: int = 11) -> dict[str, np.ndarray]:
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    x -= np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
+    return x
 
 
 def token_log_probs(weights: dict, words: int, state: np.ndarray, symbol: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -212,7 +216,7 @@ def token_log_probs(weights: dict, words: int, state: np.ndarray, symbol: np.nda
     out = logp[each, kind]
     d_state = None
     if grads is not None:
-        d = np.exp(logp)
+        d = np.exp(logp, out=logp)
         d[each, kind] -= 1
         grads["class_w"] += state.T @ d
         grads["class_b"] += d.sum(0)
@@ -229,7 +233,7 @@ def token_log_probs(weights: dict, words: int, state: np.ndarray, symbol: np.nda
         pick = symbol[some] - k * CLASS_WIDTH
         out[some] += inner[np.arange(len(some)), pick]
         if grads is not None:
-            d = np.exp(inner)
+            d = np.exp(inner, out=inner)
             d[np.arange(len(some)), pick] -= 1
             grads["word_w"][:, cols] += state[some].T @ d
             grads["word_b"][cols] += d.sum(0)
@@ -244,39 +248,38 @@ def train(weights: dict, words: int, texts: list[np.ndarray], rate: float = 4e-3
     """
     weights = {k: v.copy() for k, v in weights.items()}
     adam, seen = gru.Adam(weights, rate), 0
-    queue = sorted(texts, key=len, reverse=True)
-    for first in range(0, len(queue), ROWS):
-        rows = queue[first : first + ROWS]
-        length = np.array([len(t) for t in rows])
-        h = np.repeat(weights["start"], len(rows), 0)
-        for at in range(0, int(length[0]), WINDOW):
-            live = int((length > at).sum())
-            steps = min(WINDOW, int(length[0]) - at)
-            symbol = np.zeros((steps, live), np.int64)
-            real = np.zeros((steps, live), bool)
-            for k in range(live):
-                part = rows[k][at : at + steps]
-                symbol[: len(part), k], real[: len(part), k] = part, True
-            h = h[:live]
-            grads = {k: np.zeros_like(v) for k, v in weights.items()}
-            x = weights["embed"][symbol]
-            states, kept = gru.forward(x @ weights["w"], h, weights["u"], weights["b"])
-            before = np.concatenate([h[None], states[:-1]])
-            _, d = token_log_probs(weights, words, before[real], symbol[real], grads)
-            scale = F32(1 / max(1, real.sum()))
-            d_before = np.zeros_like(before)
-            d_before[real] = d
-            d_states = np.zeros_like(states)
-            d_states[:-1] = d_before[1:]
-            dx, grads["u"], grads["b"], d_first = gru.backward(d_states, kept, weights["u"])
-            if at == 0:
-                grads["start"] += (d_first + d_before[0]).sum(0, keepdims=True)
-            flat = dx.reshape(-1, 3 * STATE)
-            grads["w"] += x.reshape(-1, EMBED).T @ flat
-            grads["embed"] += gru.scatter_rows(len(weights["embed"]), symbol.ravel(), flat @ weights["w"].T)
-            adam.update(weights, {k: g * scale for k, g in grads.items()})
-            h = states[-1]
-            seen += int(real.sum())
+    queue = deque(sorted(texts, key=lambda t: -(len(t) // LONG)))
+    rows: list[tuple[np.ndarray, int]] = []
+    h = np.zeros((0, STATE), F32)
+    while rows or queue:
+        new = [(queue.popleft(), 0) for _ in range(min(ROWS - len(rows), len(queue)))]
+        old, rows = len(rows), rows + new
+        h = np.concatenate([h, np.repeat(weights["start"], len(new), 0)])
+        steps = min(WINDOW, max(len(t) - at for t, at in rows))
+        symbol = np.zeros((steps, len(rows)), np.int64)
+        real = np.zeros((steps, len(rows)), bool)
+        for k, (text, at) in enumerate(rows):
+            part = text[at : at + steps]
+            symbol[: len(part), k], real[: len(part), k] = part, True
+        grads = {k: np.zeros_like(v) for k, v in weights.items()}
+        x = weights["embed"][symbol]
+        states, kept = gru.forward(x @ weights["w"], h, weights["u"], weights["b"])
+        before = np.concatenate([h[None], states[:-1]])
+        _, d = token_log_probs(weights, words, before[real], symbol[real], grads)
+        scale = F32(1 / real.sum())
+        d_before = np.zeros_like(before)
+        d_before[real] = d
+        d_states = np.zeros_like(states)
+        d_states[:-1] = d_before[1:]
+        dx, grads["u"], grads["b"], d_first = gru.backward(d_states, kept, weights["u"])
+        grads["start"] += (d_first + d_before[0])[old:].sum(0, keepdims=True)
+        flat = dx.reshape(-1, 3 * STATE)
+        grads["w"] += x.reshape(-1, EMBED).T @ flat
+        grads["embed"] += gru.scatter_rows(len(weights["embed"]), symbol.ravel(), flat @ weights["w"].T)
+        adam.update(weights, {k: g * scale for k, g in grads.items()})
+        seen += int(real.sum())
+        on = [k for k, (text, at) in enumerate(rows) if len(text) > at + steps]
+        rows, h = [(rows[k][0], rows[k][1] + steps) for k in on], states[-1][on]
     return weights, seen
 
 
@@ -292,22 +295,26 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def fit(texts: DataFrame, lex: Lexicon, share: int = 12, rounds: int = 4, tokens_a_task: int = 300_000) -> dict:
-    """Weights trained on one in ``share`` of the training texts (column ``text``), by averaged local SGD."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(lex)
+def deal(texts: DataFrame, held) -> DataFrame:
+    """h and symbols of every text (columns ``doc_id``, ``text``).  ``held``: the broadcast lexicon."""
 
     def symbols(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, some in slices(batch.column(1)):
                 token, suffix, first = tokens(some)
                 found = held.value.symbols(token, suffix)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.astype(np.int16)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["h", "symbols"])
 
-    sample = texts.select(F.xxhash64("text", F.lit(5)).alias("h"), "text").where(F.pmod("h", F.lit(share)) == 0)
-    sample = materialize(sample.mapInArrow(symbols, "h long, symbols array<int>"), "lm-sample")
-    size = sample.agg(F.sum(F.size("symbols"))).first()[0] or 0
+    return texts.select(F.xxhash64("text", F.lit(5)).alias("h"), "text").mapInArrow(symbols, "h long, symbols array<short>")
+
+
+def fit(texts: DataFrame, lex: Lexicon, rounds: int = 4, tokens_a_task: int = 1_200_000) -> dict:
+    """Weights trained on every text (columns ``doc_id``, ``text``) once, by averaged local SGD."""
+    spark = texts.sparkSession
+    held = spark.sparkContext.broadcast(lex)
+    dealt = materialize(deal(texts, held), "lm-training")
+    size = dealt.agg(F.sum(F.size("symbols"))).first()[0] or 0
     weights = new_weights(lex)
     if not size:
         return weights
@@ -317,9 +324,10 @@ def fit(texts: DataFrame, lex: Lexicon, share: int = 12, rounds: int = 4, tokens
         now = spark.sparkContext.broadcast(weights)
 
         def one(batches: Iterable[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            mine = [np.array(t) for batch in batches for _, t in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True), key=lambda x: x[0])]
+            mine = [(k, np.array(t)) for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True)]
             if mine:
-                trained, seen = train(now.value, held.value.words, mine, rate=8e-3 / (1 + turn))
+                mine.sort(key=lambda x: x[0])
+                trained, seen = train(now.value, held.value.words, [t for _, t in mine], rate=8e-3 / (1 + turn))
                 flat = _pack(trained)
                 parts = range(0, len(flat), chunk)
                 yield pa.RecordBatch.from_arrays([pa.array([p // chunk for p in parts], pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[p : p + chunk].astype(F32).tobytes() for p in parts], pa.binary())], names=["part", "seen", "weights"])
@@ -328,7 +336,7 @@ def fit(texts: DataFrame, lex: Lexicon, share: int = 12, rounds: int = 4, tokens
             stack = np.stack([np.frombuffer(w, F32) for w in pdf["weights"]]).astype(np.float64)
             return pd.DataFrame({"part": pdf["part"].iloc[:1], "weights": [np.average(stack, 0, pdf["seen"]).astype(F32).tobytes()]})
 
-        share_of_turn = sample.where(F.pmod(F.shiftright("h", 20), F.lit(rounds)) == turn)
+        share_of_turn = dealt.where(F.pmod(F.shiftright("h", 20), F.lit(rounds)) == turn)
         copies = share_of_turn.repartition(tasks, F.shiftright("h", 30)).mapInArrow(one, "part int, seen long, weights binary")
         got = copies.groupBy("part").applyInPandas(mean, "part int, weights binary").collect()  # one model
         if got:
@@ -376,7 +384,7 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5) ->
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole text."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == held_out_fold).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    training = rows.where(~F.col("held_out")).select("text")
+    training = rows.where(~F.col("held_out")).select("doc_id", "text")
     vocab = materialize(vocabulary(training), "lm-vocabulary")
     lex = lexicon(vocab)
     weights = fit(training, lex)
