@@ -242,6 +242,17 @@ def test_language_model_learns_from_every_text(spark):
         assert not np.array_equal(before["embed"], after["embed"])
 
 
+def test_copies_of_a_text_spread_over_training(spark):
+    rows = [(k, "the same text") for k in range(400)] + [(None, "the same text")] * 400 + [(1000 + k, f"text {k}") for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).select("doc_id", F.col("text").cast("binary").alias("text"))
+    lex = language_model.lexicon(language_model.vocabulary(df))
+    got = language_model.deal(df, spark.sparkContext.broadcast(lex)).withColumn("turn", F.expr("pmod(shiftright(h, 20), 4)")).withColumn("task", F.expr("pmod(hash(shiftright(h, 30)), 8)")).collect()
+    copies = [r for r in got if len(r.symbols) == 4]
+    assert len(got) == 1600 and len(copies) == 800
+    assert all(60 <= sum((r.turn, r.task // 4) == (t, g) for r in copies) <= 150 for t in range(4) for g in range(2))
+    assert all(len(t) == 3 for t in (r.symbols for r in got if len(r.symbols) != 4))
+
+
 def test_training_takes_every_token():
     lex = language_model.Lexicon(np.arange(1, 131, dtype=np.uint64), np.arange(130, 0, -1), np.arange(130), 130, np.zeros(65536, int), np.zeros(48), np.zeros(48), 8515, 130)
     r = np.random.default_rng(8)

@@ -17,7 +17,8 @@ Training is truncated backpropagation through time over windows of a text, the
 state carried from window to window.  It runs as local SGD over all training
 documents, each of them once: a round takes its part of them, each task trains
 a copy on a bounded number of tokens and the copies are averaged by Spark.  The
-tasks grow with the input.  Round and task of a document go by a hash of its text.
+tasks grow with the input.  Round and task of a document go by a hash of its id
+and text, and of its number among equal rows, so copies of a text spread.
 
 Scoring reads every whole text: texts of an Arrow slice advance together, one
 token a step, and the state is carried to the end of each.
@@ -296,17 +297,24 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
 
 
 def deal(texts: DataFrame, held) -> DataFrame:
-    """h and symbols of every text (columns ``doc_id``, ``text``).  ``held``: the broadcast lexicon."""
+    """h and symbols of every text (columns ``doc_id``, ``text``); h differs among copies, equal rows included.  ``held``: the broadcast lexicon."""
 
     def symbols(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}  # of one partition of the input
         for batch in batches:
             for a, b, some in slices(batch.column(1)):
                 token, suffix, first = tokens(some)
                 found = held.value.symbols(token, suffix)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["h", "symbols"])
-
-    return texts.select(F.xxhash64("text", F.lit(5)).alias("h"), "text").mapInArrow(symbols, "h long, symbols array<short>")
+                again = []
+                for key in batch.column(0).slice(a, b - a).to_pylist():
+                    again.append(met.get(key, 0))
+                    met[key] = again[-1] + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(again, pa.int64()), lists], names=["h", "again", "symbols"])
+
+    rows = texts.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(symbols, "h long, again long, symbols array<short>")
+    salted = F.when(F.col("again") > 0, F.xxhash64("h", "again", F.spark_partition_id())).otherwise(F.col("h"))
+    return rows.select(salted.alias("h"), "symbols")
 
 
 def fit(texts: DataFrame, lex: Lexicon, rounds: int = 4, tokens_a_task: int = 1_200_000) -> dict:
