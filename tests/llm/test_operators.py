@@ -195,6 +195,21 @@ def test_targets_and_mix(spark, documents):
     assert mixing.mix_repeated(documents).columns == documents.columns
 
 
+def test_small_sources_beside_a_large_one(spark):
+    r = np.random.default_rng(9)
+    counts = {f"s{n}_{k}": n for k in range(6) for n in (50, 200, 500)} | {"large": 10_000}
+    rows = [(s, int(x)) for s, n in counts.items() for x in np.minimum(np.exp(r.normal(4.5, 1.2, n)).astype(int) + 1, 20_000)]
+    df = spark.createDataFrame([(k, s, x) for k, (s, x) in enumerate(rows)], "doc_id long, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    words = Counter()
+    for s, x in rows:
+        words[s] += x
+    weights = tuple(words[s] * r.uniform(0.3, 0.9) for s in sorted(counts))  # no source at the ceiling, where any choice fits
+    got = mixing.mix_sources(df, weights).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    miss = {r.source: abs(r.taken - r.target) / r.target for r in got}
+    of = {n: [v for s, v in miss.items() if s.startswith(f"s{n}_")] for n in (50, 200, 500)}
+    assert all(np.mean(m) < 0.02 for m in of.values()) and miss["large"] < 0.02, {n: (float(np.mean(m)), max(m)) for n, m in of.items()}
+
+
 def test_flight_keeps_totals():
     r = np.random.default_rng(3)
     p, size = r.uniform(0.1, 0.9, 200), r.integers(1, 90, 200).astype(float)

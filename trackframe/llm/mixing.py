@@ -9,10 +9,11 @@ The flight phase takes three undecided documents at a time and moves their
 probabilities along the null space of the two balancing rows until one of them
 reaches 0 or 1; both directions have the chance that keeps expectations.  Blocks
 of bounded size are flown by separate tasks; at most two documents of a block
-stay undecided and meet in the next round's blocks, until one block per source
-is left.  Large documents fly first, so that those left are small.  The last two and a few reserved
+and a few reserved ones stay undecided and meet in the next round's blocks,
+until one block of the source is left.  Large documents fly first, so that those
+left are small.  In a source's own last block, the last two and a few reserved
 documents are landed: of all their 0/1 choices the one whose sizes miss the
-least is taken.
+least is taken.  How many rounds one source needs changes nothing for another.
 
 Randomness is a hash of the document id, so reruns agree.  Null text has size 0;
 null source is a source of its own and sorts last.  Rows with the same id are
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents that one task flies; two of each block at most go on to the next round.
+#: Documents that one task flies.
 BLOCK = 2_000
-#: Documents of a source that take no part in its last flight, so that landing has choices.
+#: Documents of a block that take no part in its flight, so that the next round and landing have choices.
 RESERVE = 12
+#: Blocks that meet in one block of the next round, with two undecided and the reserved documents each.
+MERGED = BLOCK // (2 + RESERVE)
 
 
 def targets(sizes: dict, weights: dict, ceiling: float = 3.0) -> dict:
@@ -93,14 +96,26 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def fly_and_land(p: np.ndarray, size: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """The last block of a source, sizes descending: RESERVE smaller documents stay out of the flight and land with its last two."""
-    low = np.arange(len(p) // 3, len(p))
-    kept = low[np.unique(np.linspace(0, len(low) - 1, min(RESERVE, len(low))).astype(int))]
+def fly_reserved(p: np.ndarray, size: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """A block, sizes descending: RESERVE documents stay out of the flight.
+
+    They are of about half, a quarter, ... of the largest size, as the largest
+    is often undecided to the end and landing has to make up for it; if there
+    are fewer such, smaller ones at even distances are added.
+    """
+    halves = size[0] / 2.0 ** np.arange(1, RESERVE + 1)
+    kept = np.unique(np.minimum(np.searchsorted(-size, -halves), len(p) - 1))
+    low = np.setdiff1d(np.arange(len(p) // 3, len(p)), kept)
+    kept = np.union1d(kept, low[np.unique(np.linspace(0, len(low) - 1, min(RESERVE - len(kept), len(low))).astype(int))])
     flown = np.delete(np.arange(len(p)), kept)
     out = p.astype(float).copy()
     out[flown] = fly(p[flown], size[flown], noise[flown])
-    return land(out, size)
+    return out
+
+
+def fly_and_land(p: np.ndarray, size: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The last block of a source: the reserved documents land with the last two."""
+    return land(fly_reserved(p, size, noise), size)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling: float = 3.0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -128,23 +143,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling
     settled, most = [], max(f[5] for f in facts)
     schema = "_row long, _hash long, source string, size long, blocks long, p double"
 
-    def flight(last: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "_hash", "_row"], ascending=[False, True, True])
-            sizes, draws = pdf["size"].to_numpy(float), (pdf["_hash"] // 4096 % 1_000_003).to_numpy() / 1_000_003
-            after = (fly_and_land if last else fly)(pdf["p"].to_numpy(float), sizes, draws)
-            return pdf.drop(columns="_block").assign(p=after, blocks=(pdf["blocks"] + 999) // 1000)
-
-        return run
+    def flight(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "_hash", "_row"], ascending=[False, True, True])
+        sizes, draws = pdf["size"].to_numpy(float), (pdf["_hash"] // 4096 % 1_000_003).to_numpy() / 1_000_003
+        last = pdf["blocks"].iloc[0] == 1  # of this source; it leaves the loop
+        after = (fly_and_land if last else fly_reserved)(pdf["p"].to_numpy(float), sizes, draws)
+        return pdf.drop(columns="_block").assign(p=after, blocks=-(-pdf["blocks"] // MERGED))
 
     while True:
-        last = most <= 1
         keyed = undecided.withColumn("_block", F.pmod("_hash", "blocks"))
-        flown = materialize(keyed.groupBy("source", "_block").applyInPandas(flight(last), schema), "mix-flight")
+        flown = materialize(keyed.groupBy("source", "_block").applyInPandas(flight, schema), "mix-flight")
         settled.append(flown.where("p = 1").select("_row"))
-        if last:
+        if most <= 1:
             break
-        undecided, most = flown.where("p > 0 and p < 1"), (most + 999) // 1000
+        undecided, most = flown.where("p > 0 and p < 1"), -(-most // MERGED)
     chosen = settled[0]
     for more in settled[1:]:
         chosen = chosen.unionByName(more)
