@@ -173,6 +173,28 @@ def test_chunks_resist_insertions():
     assert len(one & two) >= len(one) - 3
 
 
+def test_passages_without_spaces_are_found_at_any_offset(spark):
+    r = np.random.default_rng(12)
+    cjk = lambda n: "".join(chr(c) for c in r.integers(0x4E00, 0x9FA5, n))
+    for n, least in ((150, 0.5), (600, 0.8), (1500, 0.9)):  # characters of three bytes
+        share = []
+        for _ in range(10):
+            passage = cjk(n)
+            both = [cjk(300) + passage + cjk(200), cjk(int(r.integers(301, 390))) + passage + cjk(100)]
+            ends, counts = chunk_dedup.chunk_ends(texts(both))
+            pieces = []
+            for s, e in zip(both, np.split(ends, np.cumsum(counts)[:-1]), strict=True):
+                alone = chunk_dedup.chunk_ends(texts([s]))[0]
+                assert np.array_equal(alone, e - (e[-1] - alone[-1]))
+                pieces.append({s.encode()[a:b].decode() for a, b in zip(np.concatenate([[0], alone[:-1]]), alone, strict=True)})
+            share.append(sum(map(len, pieces[0] & pieces[1])) / n)
+        assert np.mean(share) >= least, (n, np.mean(share))
+    passage = cjk(600)
+    df = spark.createDataFrame([(1, cjk(300) + passage), (2, cjk(345) + passage + cjk(50)), (3, "一" * 1000), (4, "x" * 1000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in chunk_dedup.drop_repeated_passages(df).collect()}
+    assert got[1].n_removed == 0 and 1300 <= got[2].n_removed <= 1800 and passage[200:400] not in got[2].text
+
+
 def test_passages_are_dropped_once(documents):
     got = {r.doc_id: (r.text, r.n_removed) for r in chunk_dedup.drop_repeated_passages(documents).collect()}
     assert got[8][1] == 0 and got[9][1] > 500 and "passage30word" not in got[9][0] and got[9][0].startswith("second thing") and got[9][0].endswith("another end")

@@ -3,9 +3,12 @@
 A gear hash rolls over the last 16 bytes of a text.  A chunk ends after a white
 space where the hash is in its lowest third, or after any
 other character where it is far lower, if the previous such place is at
-least ``MIN_CHUNK`` bytes back; longer stretches are cut every ``MAX_CHUNK``
-bytes.  As ends depend on nearby bytes only, an insertion moves no chunk border
-beyond its own surroundings.
+least ``MIN_CHUNK`` bytes back.  Stretches over ``MAX_CHUNK`` bytes, as in text
+without spaces, are also cut where the hash is least among the places up to
+``REACH`` bytes around.  So ends depend on nearby bytes only, and an insertion
+moves no chunk border beyond its own surroundings.  The exception is what has no
+such place in ``MAX_CHUNK`` bytes (a few characters over and over): it is cut
+every ``MAX_CHUNK`` bytes.
 
 Chunks are compared by digest over all documents.  The first occurrence (least
 document id, then text hash, then place) stays; a run of repeated chunks is
@@ -29,7 +32,7 @@ from .spans import KEY, keyed, merge_spans, rewrite
 from .storage import drop_tables, materialize
 from .textops import SPACE, Texts, prefix_hash, slices, span_hash
 
-MIN_CHUNK, MAX_CHUNK, WINDOW = 16, 256, 16
+MIN_CHUNK, MAX_CHUNK, WINDOW, REACH = 16, 256, 16, 32
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -41,12 +44,25 @@ def gear_hash(buf: np.ndarray) -> np.ndarray:
     return h
 
 
+def lowest_places(value: np.ndarray) -> np.ndarray:
+    """Places whose value is below all of the REACH before and above none of the REACH after."""
+    least = value.copy()  # of the REACH places from each on
+    step = 1
+    while step < REACH:
+        least[:-step] = np.minimum(least[:-step], least[step:])
+        step *= 2
+    none = np.iinfo(value.dtype).max
+    before = np.concatenate([[none], np.minimum.accumulate(value[: REACH - 1]), least[:-REACH]])[: len(value)]
+    return np.flatnonzero((value < before) & (value <= np.append(least[1:], none)))
+
+
 def chunk_ends(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Ends of all chunks in the batch's bytes, and the number of chunks of each text."""
     buf, offs = texts.buf, texts.offs
     if not len(buf):
         return np.zeros(0, int), np.zeros(texts.n, int)
-    h = gear_hash(buf) >> np.uint32(16)
+    whole = gear_hash(buf)
+    h = whole >> np.uint32(16)
     inside = np.ones(len(buf) + 1, bool)
     inside[:-1] = (buf & 0xC0) != 0x80  # an end lies before the first byte of a character
     end = np.flatnonzero(np.where(SPACE[buf], h < 65536 // 3, h < 65536 // 2048) & inside[1:]) + 1
@@ -59,10 +75,17 @@ def chunk_ends(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     if len(long):
         more = []
         for k in long:
-            cut = np.arange(start[k] + MAX_CHUNK, end[k], MAX_CHUNK)
-            for _ in range(3):
-                cut = cut + ~inside[cut]
-            more.append(cut)
+            # A text's first hashes reach into the text before it.
+            low = max(start[k] + MIN_CHUNK, offs[np.searchsorted(offs, start[k], "right") - 1] + WINDOW)
+            place = np.arange(low, end[k] - MIN_CHUNK + 1)
+            value = np.where(inside[place], whole[place - 1].astype(np.int64), np.iinfo(np.int64).max)
+            border = np.concatenate([[start[k]], place[lowest_places(value)], [end[k]]])
+            more.append(border[1:-1])
+            for at in np.flatnonzero(np.diff(border) > MAX_CHUNK):
+                cut = np.arange(border[at] + MAX_CHUNK, border[at + 1], MAX_CHUNK)
+                for _ in range(3):
+                    cut = cut + ~inside[cut]
+                more.append(cut)
         end = np.unique(np.concatenate([end, *more]))
     return end, np.diff(np.searchsorted(end, offs, "right"))
 
