@@ -164,3 +164,21 @@ def test_empty_tables(spark):
     assert tracks.track_summary(empty).count() == 0 and detections.suppress_overlaps(empty).count() == 0
     assert tracks.dataset_stats(empty).first().num_videos == 0
     assert routes.normalized_routes(empty, spark.createDataFrame([], "video_id long, width double, height double")).count() == 0
+
+
+def test_area_stability_holds_no_cell_in_memory(spark):
+    from trackframe.config import FilterConfig
+
+    rows = [(k % 3, k, k // 6, float(k * 211 % 1500), float(k * 97 % 900), 10.0 + k * 37 % 50, 20.0 + k * 53 % 80) for k in range(600)]
+    df = spark.createDataFrame(rows, "video_id long, det_id long, frame_id long, x double, y double, width double, height double")
+    cfg, last, want = FilterConfig(), {}, {}
+    for v, i, _, x, y, w, h in sorted(rows, key=lambda r: (r[2], r[1])):
+        cell = (v, (x + w / 2) // cfg.grid, (y + h / 2) // cfg.grid)
+        *want[i], last[cell] = detections.shrink(x, y, w, h, last.get(cell, []), cfg)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = detections.constrain_area(df)
+        assert {r.det_id: [r.x, r.y, r.width, r.height] for r in out.collect()} == want and any(want[r[1]][2] != r[5] for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -128,21 +129,29 @@ def constrain_area(df: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFra
     """A box much larger than the recent mean of its grid cell shrinks to that mean about its centre.
 
     The mean is over the last boxes as already adjusted, so a cell is worked
-    through in order (frame, id); cells are independent and run in parallel.
+    through in order (frame, id); cells are independent and run in parallel.  A
+    task holds one Arrow batch and the last areas of one cell.
     """
     cells = df.withColumn("_gx", F.floor(g.center_x() / cfg.grid)).withColumn("_gy", F.floor(g.center_y() / cfg.grid))
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_id", "det_id"]).drop(columns=["_gx", "_gy"])
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
         recent: list[float] = []
-        rows = []
-        for x, y, w, h in pdf[list(_BOX)].itertuples(index=False):
-            x, y, w, h, recent = shrink(x, y, w, h, recent, cfg)
-            rows.append((x, y, w, h))
-        pdf[list(_BOX)] = rows
-        return pdf
-
-    return cells.groupBy("video_id", "_gx", "_gy").applyInPandas(cell, df.schema)
+        for pdf in batches:
+            rows = []
+            for *key, x, y, w, h in pdf[["video_id", "_gx", "_gy", *_BOX]].itertuples(index=False):
+                cell = tuple(None if pd.isna(v) else v for v in key)
+                if cell != now:
+                    now, recent = cell, []
+                x, y, w, h, recent = shrink(x, y, w, h, recent, cfg)
+                rows.append((x, y, w, h))
+            if rows:
+                pdf[list(_BOX)] = rows
+                yield pdf.drop(columns=["_gx", "_gy"])
+
+    keys = ["video_id", "_gx", "_gy"]
+    dealt = cells.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("frame_id"), F.asc_nulls_last("det_id"))
+    return dealt.mapInPandas(in_order, df.schema)
 
 
 def shrink(x: float, y: float, w: float, h: float, recent: list[float], cfg: FilterConfig) -> tuple[float, float, float, float, list[float]]:

@@ -107,7 +107,7 @@ def _(f):
 
 @query("w9_constrain_area")
 def _(f):
-    return rounded(d.constrain_area(f.det_dense).select("det_id", "x", "y", "width", "height"))
+    return rounded(d.constrain_area(f.det).select("det_id", "x", "y", "width", "height"))
 
 
 @query("j9_detections_by_frame", "det", sql="SELECT video_id, frame_id, count(*) AS boxes, min(track_id) AS first_track FROM det GROUP BY 1, 2")
