@@ -31,6 +31,8 @@ class FilterConfig:
     aspect: Range = Range(0.25, 1.75)
     top_y: Range = Range(10, 974)
     overlap_iou: float = 0.45
+    #: Grid by which boxes are blocked before they are compared, about the size of a box.
+    overlap_cell: float = 60.0
     near_y: float = 734
     far_y: float = 250
     near_area: Range = Range(350, 10000)

@@ -58,17 +58,34 @@ def interpolate(at: Column, knots: Column, values: Column) -> Column:
 def resample(x: Column, y: Column, n: int = 64) -> Column:
     """A struct of arrays ``x``, ``y``: the path at ``n`` places equally far along it.
 
-    A path of ``n`` points stays; one of no length repeats its first point.
+    A path of ``n`` points stays; one of no length repeats its first point.  Each
+    segment of the path yields the places that lie on it, so the work grows with
+    points plus places.
     """
-    steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k / F.lit(float(n - 1)))
+    last = n - 1
 
     def along(p: Column) -> Column:
         total = F.element_at(p["arc"], -1)
+        # Number of places before each point of the path.
+        before = F.transform(p["arc"], lambda c: F.least(F.ceil(c * last / total).cast("int"), F.lit(last)))
 
-        def place(values: Column) -> Column:
-            return F.transform(steps, lambda t: interpolate(t * total, p["arc"], values))
+        def place(q: Column) -> Column:
+            def segment(i: Column) -> Column:
+                low, high = F.element_at(q["before"], i), F.element_at(q["before"], i + 1)
+                c0, c1 = F.element_at(p["arc"], i), F.element_at(p["arc"], i + 1)
 
-        line = F.struct(place(p["x"]).alias("x"), place(p["y"]).alias("y"))
+                def at(values: Column, j: Column) -> Column:
+                    v0, v1 = F.element_at(values, i), F.element_at(values, i + 1)
+                    return v0 + (v1 - v0) * ((j / F.lit(float(last)) * total - c0) / (c1 - c0))
+
+                here = F.transform(F.sequence(low, high - 1), lambda j: F.struct(at(p["x"], j).alias("x"), at(p["y"], j).alias("y")))
+                return F.when(high > low, here).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+            end = F.array(F.struct(F.element_at(p["x"], -1).alias("x"), F.element_at(p["y"], -1).alias("y")))
+            points = F.concat(F.flatten(F.transform(F.sequence(F.lit(1), F.size(p["arc"]) - 1), segment)), end)
+            return let(points, lambda z: F.struct(F.transform(z, lambda v: v["x"]).alias("x"), F.transform(z, lambda v: v["y"]).alias("y")))
+
+        line = let(F.struct(before.alias("before")), place)
         same = F.struct(p["x"].alias("x"), p["y"].alias("y"))
         still = F.struct(F.array_repeat(F.element_at(p["x"], 1), n).alias("x"), F.array_repeat(F.element_at(p["y"], 1), n).alias("y"))
         return F.when(F.size(p["x"]) == n, same).when(total <= 0, still).otherwise(line)

@@ -60,24 +60,27 @@ def sample_every_n(df: DataFrame, n: int = 10, most: int = 500) -> DataFrame:
 _BOX = ("x", "y", "width", "height")
 
 
-def overlap_pairs(df: DataFrame, threshold: float, cell: float | None = None) -> DataFrame:
-    """Pairs of boxes (det_a < det_b) of one frame with an intersection over union above ``threshold``.
+def blocked(a: DataFrame, b: DataFrame, keys: list[str], cell: float | None) -> DataFrame:
+    """Boxes of ``a`` (columns a_x, ...) and ``b`` (b_x, ...) that agree in ``keys`` and may overlap.
 
     With ``cell``, boxes are blocked by grid cell, so a crowded frame does not
     compare all its boxes: a pair meets in the cell of its intersection's corner.
     """
+    if not cell:
+        return a.join(b, keys)
+    across = lambda c, w: F.explode(F.sequence(F.floor(F.col(c) / cell), F.floor((F.col(c) + F.col(w)) / cell)))
+    spread = lambda df, p: df.withColumn("_cx", across(f"{p}_x", f"{p}_width")).withColumn("_cy", across(f"{p}_y", f"{p}_height"))
+    corner = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / cell) == F.col(f"_c{c}")
+    return spread(a, "a").join(spread(b, "b"), [*keys, "_cx", "_cy"]).where(corner("x") & corner("y")).drop("_cx", "_cy")
+
+
+def overlap_pairs(df: DataFrame, threshold: float, cell: float | None = FilterConfig.overlap_cell) -> DataFrame:
+    """Pairs of boxes (det_a < det_b) of one frame with an intersection over union above ``threshold``, which must not be negative.
+
+    Boxes are blocked by grid cell; ``cell=None`` compares all boxes of a frame.
+    """
     side = lambda p: [F.col("video_id"), F.col("frame_id"), F.col("det_id").alias(f"det_{p}"), *(F.col(c).alias(f"{p}_{c}") for c in _BOX)]
-    keys = ["video_id", "frame_id"]
-    if cell:
-        spread = lambda c, w: F.explode(F.sequence(F.floor(F.col(c) / cell), F.floor((F.col(c) + F.col(w)) / cell)))
-        df = df.withColumn("_cx", spread("x", "width")).withColumn("_cy", spread("y", "height"))
-        a, b = df.select(*side("a"), "_cx", "_cy"), df.select(*side("b"), "_cx", "_cy")
-        keys = [*keys, "_cx", "_cy"]
-    else:
-        a, b = df.select(*side("a")), df.select(*side("b"))
-    pairs = a.join(b, keys).where(F.col("det_a") < F.col("det_b"))
-    if cell:
-        pairs = pairs.where((F.floor(F.greatest("a_x", "b_x") / cell) == F.col("_cx")) & (F.floor(F.greatest("a_y", "b_y") / cell) == F.col("_cy")))
+    pairs = blocked(df.select(*side("a")), df.select(*side("b")), ["video_id", "frame_id"], cell).where(F.col("det_a") < F.col("det_b"))
     scored = pairs.withColumn("iou", g.iou("a_", "b_")).where(F.col("iou") > threshold)
     return scored.select("video_id", "frame_id", "det_a", "det_b", (F.col("a_width") * F.col("a_height")).alias("area_a"), (F.col("b_width") * F.col("b_height")).alias("area_b"), "iou")
 

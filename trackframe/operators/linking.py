@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import TrackerConfig
+from ..config import FilterConfig, TrackerConfig
 from ..functions import geometry as g
-from .merge import settle
+from ..storage import materialize
+from .detections import blocked
 
 _BOX = ("x", "y", "width", "height")
 
 
-def link_detections(df: DataFrame, floor: float = 0.25) -> DataFrame:
-    """Pairs (det_a in frame t, det_b in t + 1) that are each other's best overlap, of at least ``floor``; ties to the lower id."""
+def link_detections(df: DataFrame, floor: float = 0.25, cell: float = FilterConfig.overlap_cell) -> DataFrame:
+    """Pairs (det_a in frame t, det_b in t + 1) that are each other's best overlap, of at least ``floor``; ties to the lower id.
+
+    Boxes are blocked by grid cell.  Both rankings run on one shuffle: the few
+    pairs of a frame that overlap enough lie together.
+    """
+    keys = ["video_id", "frame_id"]
     a = df.select("video_id", (F.col("frame_id") + 1).alias("frame_id"), F.col("det_id").alias("det_a"), *(F.col(c).alias(f"a_{c}") for c in _BOX))
     b = df.select("video_id", "frame_id", F.col("det_id").alias("det_b"), *(F.col(c).alias(f"b_{c}") for c in _BOX))
-    pairs = a.join(b, ["video_id", "frame_id"]).withColumn("iou", g.iou("a_", "b_")).where(F.col("iou") >= floor)
-    best = lambda one, other: F.row_number().over(Window.partitionBy("video_id", "frame_id", one).orderBy(F.desc("iou"), other))
+    pairs = blocked(a, b, keys, cell).withColumn("iou", g.iou("a_", "b_")).where(F.col("iou") >= floor).repartition(*keys)
+    best = lambda one, other: F.row_number().over(Window.partitionBy(*keys, one).orderBy(F.desc("iou"), other))
     ranked = pairs.withColumns({"_ra": best("det_a", "det_b"), "_rb": best("det_b", "det_a")})
     return ranked.where("_ra = 1 and _rb = 1").select("video_id", "frame_id", "det_a", "det_b", "iou")
 
@@ -26,7 +32,7 @@ def two_pass_links(df: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> DataF
     """Links among confident boxes first, then what is left to doubtful boxes."""
     floor = 1 - cfg.match_cost
     sure = df.where(F.col("confidence") >= cfg.track_high)
-    first = settle(link_detections(sure, floor), "links-first")
+    first = materialize(link_detections(sure, floor), "links-first")
     has_next = first.select("video_id", F.col("det_a").alias("det_id"))
     has_last = first.select("video_id", F.col("det_b").alias("det_id"))
     weak = df.where((F.col("confidence") >= cfg.track_low) & (F.col("confidence") < cfg.track_high))
@@ -46,10 +52,10 @@ def assign_track_ids(df: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> Dat
     """
     links = two_pass_links(df, cfg).select("video_id", F.col("det_b").alias("det_id"), F.col("det_a").alias("before"))
     point = df.where(F.col("confidence") >= cfg.track_low).select("video_id", "det_id").join(links, ["video_id", "det_id"], "left")
-    point = settle(point.select("video_id", "det_id", F.coalesce("before", "det_id").alias("root")), "chain")
+    point = materialize(point.select("video_id", "det_id", F.coalesce("before", "det_id").alias("root")), "chain")
     while True:
         up = point.select("video_id", F.col("det_id").alias("root"), F.col("root").alias("up"))
-        after = settle(point.join(up, ["video_id", "root"]).select("video_id", "det_id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "chain")
+        after = materialize(point.join(up, ["video_id", "root"]).select("video_id", "det_id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "chain")
         done = after.where("moved").isEmpty()
         point = after.drop("moved")
         if done:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ..config import PipelineConfig
 from ..operators import detections as d
 from ..operators import field, linking, merge, motion, routes, teams, tracks
+from ..storage import materialize
 
 
 def detections_to_tracks(raw: DataFrame, matches: DataFrame | None = None, segments: DataFrame | None = None, cfg: PipelineConfig = PipelineConfig(), link: bool = True) -> DataFrame:
@@ -19,9 +20,9 @@ def detections_to_tracks(raw: DataFrame, matches: DataFrame | None = None, segme
     """
     kept = d.zone_filter(d.filter_detections(raw, cfg.filter), cfg.filter)
     # Each of the next steps reads its input several times, so it is written once instead of made again.
-    kept = merge.settle(d.constrain_area(d.suppress_overlaps(kept, cfg.filter.overlap_iou), cfg.filter), "steady")
+    kept = materialize(d.constrain_area(d.suppress_overlaps(kept, cfg.filter.overlap_iou), cfg.filter), "steady")
     linked = linking.assign_track_ids(kept, cfg.tracker) if link else d.ghost_filter(kept, cfg.tracker)
-    out = merge.settle(tracks.fill_gaps(tracks.one_per_frame(linked), cfg.tracker.max_gap), "filled")
+    out = materialize(tracks.fill_gaps(tracks.one_per_frame(linked), cfg.tracker.max_gap), "filled")
     out = merge.merge_tracks(out, cfg.merge).drop("orig_track_id")
     if matches is not None:
         moved = motion.smooth_motion(motion.fit_frame_motion(matches, cfg.motion), cfg.motion)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.merge import checkpoint_dir
+from ..storage import fresh_path
 from ..streaming import streams as st
 from .box_queries import _KEEP
 from .catalog import query, rounded
@@ -15,7 +13,7 @@ from .catalog import query, rounded
 
 def _source(f, dense: bool = False) -> DataFrame:
     """The detections in files of a stream source, in the shared folder."""
-    path = f"{checkpoint_dir(f.spark)}/stream-{uuid.uuid4().hex}"
+    path = fresh_path(f.spark, "stream")
     rows = f.det_dense.withColumn("track_id", F.col("det_id")) if dense else f.det
     rows.repartitionByRange(4, "frame_id").select("video_id", "track_id", "det_id", "frame_id", "x", "y", "width", "height", "confidence").write.parquet(path)
     return st.read_detections(f.spark, path, files_a_batch=4)
@@ -23,7 +21,7 @@ def _source(f, dense: bool = False) -> DataFrame:
 
 def _through(f, df: DataFrame) -> DataFrame:
     """The stream's output, written by the batch sink and read back."""
-    base = f"{checkpoint_dir(f.spark)}/out-{uuid.uuid4().hex}"
+    base = fresh_path(f.spark, "out")
     f.spark.createDataFrame([], df.schema).write.parquet(f"{base}/data/batch=-1")
     st.write_batches(df, f"{base}/data", f"{base}/state").awaitTermination()
     return f.spark.read.schema(df.schema).parquet(f"{base}/data").select(*df.columns)
