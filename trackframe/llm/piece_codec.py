@@ -8,14 +8,16 @@ become their UTF-8 bytes.
 
 If no piece holds ``▁`` after another character, no merge crosses the border
 before a run of ``▁``, so a text is cut there into units, each distinct unit is
-encoded once for an Arrow batch and kept in a bounded cache.  Units of an Arrow
-batch are checked against the sentencepiece library; a difference raises.
+encoded once for an Arrow batch and kept in a bounded cache of two generations.
+Units of an Arrow batch are checked against the sentencepiece library; a
+difference raises.
 
 Null text counts as empty: no ids, empty decoded text.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import TwoGenerations
+
 MARK = "▁"
-#: Cached units of a worker; when full the cache starts anew.
-CACHE_UNITS = 250_000
+#: Units of a generation of a worker's cache.
+CACHE_UNITS = 500_000
 #: Longer units go through the heap one by one, shorter ones through the array agenda together.
 ARRAY_CHARS = 24
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -166,11 +170,11 @@ def _encode_grid(table: MergeTable, units: list[str], rows: np.ndarray, out: lis
 
 
 class PieceCodec:
-    """Encodes and decodes whole texts; keeps for each unit its ids as text and its decoded bytes."""
+    """Encodes and decodes whole texts; keeps for each unit its ids as text and its decoded text."""
 
     def __init__(self, model_path: str):
         self.table = MergeTable(model_path)
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache = TwoGenerations(CACHE_UNITS)  # of (bytes, str)
 
     def _learn(self, keys: list[str]) -> None:
         table = self.table
@@ -184,7 +188,8 @@ class PieceCodec:
         if checked != table.library.encode(plain, num_threads=1):
             raise ValueError("ids differ from the sentencepiece library's")
         decoded = table.library.decode(own, num_threads=1) if own else []
-        self.cache.update((k, (",".join(map(str, i)).encode(), d.encode())) for k, i, d in zip(keys, own, decoded, strict=True))
+        # Most units decode to themselves, so one string serves as key and value.
+        self.cache.add((k, (",".join(map(str, i)).encode(), k if d == k else d)) for k, i, d in zip(keys, own, decoded, strict=True))
 
     def _units(self, text: str) -> list[str]:
         """Keys of a text's units: each without its first mark."""
@@ -199,17 +204,13 @@ class PieceCodec:
     def run(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text: its ids as decimal numbers joined by commas, and its decoded text."""
         split = [self._units(t or "") for t in texts]
-        need = set().union(*split)
-        new = need - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_UNITS:
-            self.cache, new = {}, need
-        new = list(new)
+        new = self.cache.missing(set().union(*split))
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
-        get = self.cache.__getitem__
+        get = self.cache.young.__getitem__
         for units in split:
             found = list(map(get, units))
-            yield b",".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+            yield b",".join([x[0] for x in found]), " ".join([x[1] for x in found]).encode()
 
 
 @lru_cache(maxsize=2)
@@ -220,23 +221,31 @@ def piece_codec(model_path: str) -> PieceCodec:
 
 def _batches(batches: Iterable[pa.RecordBatch], model_path: str, full: bool) -> Iterator[pa.RecordBatch]:
     codec = piece_codec(model_path)
-    for batch in batches:
-        key, texts = batch.column(0), batch.column(1).to_pylist()
-        at = size = 0
-        for k, t in enumerate(texts):
-            size += len(t or "")
-            if size < 1_500_000 and k + 1 < len(texts):
-                continue
-            done = list(codec.run(texts[at : k + 1]))
-            out = [key.slice(at, k + 1 - at), pa.array([i.count(b",") + 1 if i else 0 for i, _ in done], pa.int64())]
-            if full:
-                out.append(pa.array([np.array(i.split(b","), np.int64) if i else [] for i, _ in done], pa.list_(pa.int64())))
-                out.append(pa.array([d.decode() for _, d in done], pa.string()))
-            else:
-                out.append(pa.array([hashlib.sha256(i).hexdigest() for i, _ in done]))
-                out.append(pa.array([hashlib.sha256(d).hexdigest() for _, d in done]))
-            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[:1] + (["n_tokens", "ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"]))
-            at, size = k + 1, 0
+    gc.disable()  # millions of cached strings and no cycles: collections would only walk over them
+    try:
+        for batch in batches:
+            yield from _encoded(codec, batch, full)
+    finally:
+        gc.enable()
+
+
+def _encoded(codec: PieceCodec, batch: pa.RecordBatch, full: bool) -> Iterator[pa.RecordBatch]:
+    key, texts = batch.column(0), batch.column(1).to_pylist()
+    at = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size < 1_500_000 and k + 1 < len(texts):
+            continue
+        done = list(codec.run(texts[at : k + 1]))
+        out = [key.slice(at, k + 1 - at), pa.array([i.count(b",") + 1 if i else 0 for i, _ in done], pa.int64())]
+        if full:
+            out.append(pa.array([np.array(i.split(b","), np.int64) if i else [] for i, _ in done], pa.list_(pa.int64())))
+            out.append(pa.array([d.decode() for _, d in done], pa.string()))
+        else:
+            out.append(pa.array([hashlib.sha256(i).hexdigest() for i, _ in done]))
+            out.append(pa.array([hashlib.sha256(d).hexdigest() for _, d in done]))
+        yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[:1] + (["n_tokens", "ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"]))
+        at, size = k + 1, 0
 
 
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
