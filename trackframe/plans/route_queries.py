@@ -49,17 +49,19 @@ def _(f):
     return rounded(f.routes.select("route_id", _SUM(turned).alias("sum_y")))
 
 
-@query("p9_feature_vector")
+@query("p9_feature_vector", "routes", sql="WITH v AS (SELECT route_id, list_concat(x_coords, y_coords) v FROM routes) SELECT route_id, len(v) AS n, round(list_sum(list_transform(range(1, len(v)+1), lambda i: v[i]*i)), 4) AS weighted FROM v")
 def _(f):
     from pyspark.ml.functions import vector_to_array
 
     v = vector_to_array("features")
-    return rounded(r.feature_vector(f.routes).select("route_id", F.size(v).alias("n"), _SUM(v).alias("total")))
+    return rounded(r.feature_vector(f.routes).select("route_id", F.size(v).cast("bigint").alias("n"), _SUM(F.transform(v, lambda e, i: e * (i + 1))).alias("weighted")), 4)
 
 
-@query("p10_augment_geometry")
+@query("p10_augment_geometry", "routes", sql=f"""WITH t AS (SELECT route_id, y_coords ys, radians(-8.0 + {uniform_sql('turn', 'route_id', seed=1)}*16.0) t, CASE WHEN {uniform_sql('flip', 'route_id', seed=1)} < 0.5 THEN list_transform(x_coords, lambda v: 1-v) ELSE x_coords END xs FROM routes)
+  SELECT route_id, round(list_sum(list_transform(range(1, 65), lambda i: i*(cos(t)*(xs[i]-0.5) - sin(t)*(ys[i]-0.5) + 0.5))), 4) AS weighted_x, round(list_sum(list_transform(range(1, 65), lambda i: i*(sin(t)*(xs[i]-0.5) + cos(t)*(ys[i]-0.5) + 0.5))), 4) AS weighted_y FROM t""")
 def _(f):
-    return rounded(r.augment_geometry(f.routes).select("route_id", _SUM("x_coords").alias("sum_x"), _SUM("y_coords").alias("sum_y")))
+    placed = lambda c: _SUM(F.transform(c, lambda v, i: v * (i + 1)))
+    return rounded(r.augment_geometry(f.routes).select("route_id", placed("x_coords").alias("weighted_x"), placed("y_coords").alias("weighted_y")), 4)
 
 
 @query("x1_iou", "det", sql="""WITH p AS (SELECT det_id, x ax, y ay, width aw, height ah, x+5 bx, y-3 bs, 30.0 bw, 40.0 bh FROM det),
@@ -326,21 +328,95 @@ def _(f):
     return rounded(syn.route_params(_from_routes(f)).select("route_id", "start_x", "depth", "width", "cut", "sigma"))
 
 
+def _u(what: str, low: float = 0.0, high: float = 1.0) -> str:
+    return f"({low} + {uniform_sql(what, 'route_id', seed=42)} * {high - low!r})"
+
+
+def _clip(v: str, low: float = 0.0, high: float = 1.0) -> str:
+    return f"greatest(least({v}, {high!r}::DOUBLE), {low!r}::DOUBLE)"
+
+
+def _lerp(a: str, b: str, t: float) -> str:
+    return f"({a} + (({b}) - {a})*{t})"
+
+
+def _cutting(turn: str, low: float, drift: tuple[float, float]) -> tuple[list[tuple[str, str]], list[str], list[str]]:
+    names = [("px", f"sx + d*{_clip('c + ' + _u('a', -0.05, 0.05), low, 0.85)}"), ("ex", f"px + d*{_u('b', *drift)}"), ("ye", _clip(f"sy + {turn}*{_u('e', 0.18, 0.32)}"))]
+    return names, ["sx", _lerp("sx", "px", 0.5), "px", _lerp("px", "ex", 0.35), "ex"], ["sy", "sy", "sy", _lerp("sy", "ye", 0.55), "ye"]
+
+
+#: For each class, values to compute in turn, and the control points over them.
+_SHAPES = {
+    "streak": ([("ye", _clip(f"sy + coin*{_u('a', 0.02, 0.06)}")), ("ex", "sx + 1.6*d")], ["sx", _lerp("sx", "ex", 0.4), "ex"], ["sy", _lerp("sy", "ye", 0.5), "ye"]),
+    "slant": ([("px", f"sx + d*{_clip('c + ' + _u('a', -0.55, 0.05), 0.25, 0.5)}"), ("ye", _clip(f"sy + mid*{_u('b', 0.3, 0.55)}"))], ["sx", _lerp("sx", "px", 0.55), "px", "sx + d"], ["sy", "sy", "sy", "ye"]),
+    "post": ([("px", f"sx + d*{_clip('0.75 + ' + _u('a', -0.04, 0.04), 0.65, 0.85)}"), ("ye", _clip(f"sy + mid*{_u('b', 0.12, 0.30)}"))], ["sx", _lerp("sx", "px", 0.45), "px", "sx + 1.15*d"], ["sy", "sy", "sy", "ye"]),
+    "corner": ([("px", f"sx + d*{_clip('0.75 + ' + _u('a', -0.04, 0.04), 0.45, 0.65)}"), ("ye", f"sy + (side - sy)*{_u('b', 0.55, 0.80)}")], ["sx", _lerp("sx", "px", 0.45), "px", "sx + d"], ["sy", "sy", "sy", "ye"]),
+    "drag": (
+        [("ex", f"sx + d*{_clip('0.35 + ' + _u('a', -0.10, 0.10), 0.2, 0.6)}"), ("y0", _clip("sy + 2.2*(0.5 - sy)")), ("ye", f"CASE WHEN abs(y0 - sy) < 2*(ex - sx) THEN {_clip('sy + mid*2*(ex - sx)')} ELSE y0 END")],
+        ["sx", _lerp("sx", "ex", 0.3), _lerp("sx", "ex", 0.7), "ex"], ["sy", _lerp("sy", "ye", 0.25), _lerp("sy", "ye", 0.7), "ye"],
+    ),
+    "curl": ([("px", "sx + 0.45*d"), ("r", f"d*{_u('a', 0.03, 0.09)}"), ("e", f"mid*{_u('b', 0.02, 0.05)}")], ["sx", "px", "px - 0.5*r", "px - r"], ["sy", "sy", _clip("sy + 0.3*e"), _clip("sy + e")]),
+    "dig": _cutting("mid", 0.35, (-0.015, 0.03)),
+    "out": _cutting("outward", 0.30, (-0.01, 0.03)),
+    "comeback": (
+        [("long", f"d*{_u('a', 1.2, 1.4)}"), ("px", "sx + 0.68*long"), ("yp", _clip(f"sy + coin*{_u('b', 0.015, 0.05)}")), ("r", f"long*{_u('e', 0.15, 0.25)}"), ("yr", _clip(f"yp + coin2*{_u('f', 0.02, 0.06)}"))],
+        ["sx", _lerp("sx", "px", 0.4), "px", "px - 0.4*r", "px - 0.75*r", "px - r"], ["sy", _lerp("sy", "yp", 0.5), "yp", _lerp("yp", "yr", 0.3), _lerp("yp", "yr", 0.7), "yr"],
+    ),
+    "flat": (
+        [("y0", "sy + 0.5*(side - sy)"), ("ex", f"sx + 0.18*d + d*{_u('a', -0.04, 0.10)}"), ("y1", f"CASE WHEN abs(y0 - sy) < 2*abs(ex - sx) THEN {_clip('sy + outward*2*abs(ex - sx)')} ELSE y0 END"),
+         ("sign", f"CASE WHEN {_u('mirror')} < 0.5 THEN -1 ELSE 1 END"), ("ym", f"sy + sign*({_lerp('sy', 'y1', 0.55)} - sy)"), ("ye", "sy + sign*(y1 - sy)")],
+        ["sx", _lerp("sx", "ex", 0.40), "ex"], ["sy", "ym", "ye"],
+    ),
+    "wheel": (
+        [("long", f"1.55*d*{_u('a', 0.88, 1.12)}"), ("q", _clip("0.60 + " + _u("b", -0.08, 0.10), 0.45, 0.85)), ("my", "sy + (side - sy)*q"), ("ex", "sx + long"), ("ey", "sy + 0.62*(side - sy)")],
+        ["sx", "sx + 0.15*long", _lerp("sx", "ex", 0.5), _lerp("sx", "ex", 0.8), "ex"], ["sy", "my", _lerp("my", "ey", 0.3), _lerp("my", "ey", 0.7), "ey"],
+    ),
+}
+
+
+def _route_sql(name: str) -> str:
+    """Finished routes of a class (xs, ys) for each id of ``routes``: control points, even spread, smoothing, noise, cut, order, clip."""
+    values, cx, cy = _SHAPES[name]
+    start = f"CASE WHEN {_u('alignment')} < 1/3.0::DOUBLE THEN {_u('start_y', 0.05, 0.22)} WHEN {_u('alignment')} < 2/3.0::DOUBLE THEN {_u('start_y', 0.78, 0.95)} ELSE {_u('start_y', 0.35, 0.65)} END"
+    steps = [f"b0 AS (SELECT route_id, {_u('start_x', 0.0, 0.04)} sx, {start} sy, {_u('depth', 0.25, 0.60)} d, {_u('cut', 0.35, 0.65)} c, {_u('noise', 0.001, 0.004)} noise, {_u('sigma', 2.0, 3.5)} sigma, CASE WHEN {_u('coin')} < 0.5 THEN -1 ELSE 1 END coin, CASE WHEN {_u('coin2')} < 0.5 THEN -1 ELSE 1 END coin2 FROM routes)"]
+    steps.append("b1 AS (SELECT *, CASE WHEN 0.5 - sy < 0 THEN -1 ELSE 1 END mid, CASE WHEN sy - 0.5 < 0 THEN -1 ELSE 1 END outward, CASE WHEN sy < 0.5 THEN 0.0 ELSE 1.0 END side, floor(4*sigma + 0.5)::BIGINT rad FROM b0)")
+    for k, (n, v) in enumerate(values):
+        steps.append(f"b{k + 2} AS (SELECT *, {v} AS {n} FROM b{k + 1})")
+    m = len(cx) - 1
+    steps.append(f"ctrl AS (SELECT *, [{', '.join(cx)}] AS qx, [{', '.join(cy)}] AS qy FROM b{len(values) + 1})")
+    at = lambda q: f"list_transform(range(64), lambda j: {q}[least(floor(j*{m}/63.0::DOUBLE)::BIGINT, {m - 1})+1] + ({q}[least(floor(j*{m}/63.0::DOUBLE)::BIGINT, {m - 1})+2] - {q}[least(floor(j*{m}/63.0::DOUBLE)::BIGINT, {m - 1})+1])*(j*{m}/63.0::DOUBLE - least(floor(j*{m}/63.0::DOUBLE)::BIGINT, {m - 1})))"
+    steps.append(f"even AS (SELECT *, {at('qx')} ax, {at('qy')} ay FROM ctrl)")
+    smooth = lambda v: f"list_transform(range(64), lambda j: list_sum(list_transform(range(-rad, rad+1), lambda k: exp(-0.5*(k/sigma)*(k/sigma))*{v}[greatest(1, least(64, j+1+k))]))/list_sum(list_transform(range(-rad, rad+1), lambda k: exp(-0.5*(k/sigma)*(k/sigma)))))"
+    steps.append(f"smooth AS (SELECT *, {smooth('ax')} gx, {smooth('ay')} gy FROM even)")
+    noisy = lambda v, a: f"list_transform(range(64), lambda i: {v}[i+1] + noise*sqrt(-2*ln(greatest({uniform_sql(f'n1{a}', 'route_id', 'i', seed=42)}, 1e-12)))*cos(2*pi()*{uniform_sql(f'n2{a}', 'route_id', 'i', seed=42)}))"
+    steps.append(f"noisy AS (SELECT *, {noisy('gx', 'x')} hx, {noisy('gy', 'y')} hy FROM smooth)")
+    steps.append("cutoff AS (SELECT *, coalesce(list_filter(range(2, 65), lambda i: hy[i] <= 0 OR hy[i] >= 1)[1], 64) n FROM noisy)")
+    order = "hx[i]" if name in ("curl", "comeback") else "list_max(hx[1:i])"
+    steps.append(f"done AS (SELECT route_id, n, list_transform(range(1, n+1), lambda i: {_clip(order)}) xs, list_transform(range(1, n+1), lambda i: {_clip('hy[i]')}) ys FROM cutoff)")
+    return "WITH " + ", ".join(steps)
+
+
 for _name in ROUTE_TYPES:
 
     def _route(f, name=_name):
         rows = syn.routes_of(_from_routes(f).withColumn("route_type", F.lit(name)))
-        return rounded(rows.select("route_id", "route_type", F.size("x_coords").alias("n"), F.element_at("x_coords", 1).alias("x1"), F.element_at("y_coords", -1).alias("y_last")))
+        placed = lambda c: _SUM(F.transform(c, lambda v, i: v * (i + 1)))
+        return rounded(rows.select(
+            "route_id", "route_type", F.size("x_coords").cast("bigint").alias("n"), F.element_at("x_coords", 1).alias("x1"), F.element_at("y_coords", -1).alias("y_last"), placed("x_coords").alias("weighted_x"), placed("y_coords").alias("weighted_y"),
+        ), 5)
 
-    query(f"g_route_{_name}")(_route)
+    _placed = lambda v: f"round(list_sum(list_transform(range(1, n+1), lambda i: {v}[i]*i)), 5)"
+    query(f"g_route_{_name}", "routes", sql=_route_sql(_name) + f" SELECT route_id, '{_name}' AS route_type, n, round(xs[1], 5) AS x1, round(ys[n], 5) AS y_last, {_placed('xs')} AS weighted_x, {_placed('ys')} AS weighted_y FROM done")(_route)
 
 
-@query("g13_finish_bounds", "routes", sql="SELECT route_id, true AS inside, true AS forward FROM routes")
+@query("g13_finish_bounds", "routes", sql=_route_sql("wheel") + """ SELECT route_id, list_min(list_concat(xs, ys)) >= 0 AND list_max(list_concat(xs, ys)) <= 1 AS inside, round(list_min(xs), 5) AS least_x, round(list_max(xs), 5) AS most_x,
+  len(list_filter(range(2, n+1), lambda i: xs[i] < xs[i-1])) = 0 AS forward, len(list_filter(range(2, n), lambda i: ys[i] <= 0 OR ys[i] >= 1)) = 0 AS stays FROM done""")
 def _(f):
-    rows = syn.routes_of(_from_routes(f))
-    inside = F.forall(F.concat("x_coords", "y_coords"), lambda v: (v >= 0) & (v <= 1)) & (F.size("x_coords") == F.size("y_coords"))
-    forward = F.col("route_type").isin("curl", "comeback") | F.forall(a.diff(F.col("x_coords")), lambda v: v >= 0)
-    return rows.select("route_id", inside.alias("inside"), forward.alias("forward"))
+    rows = syn.routes_of(_from_routes(f).withColumn("route_type", F.lit("wheel")))
+    inside = F.forall(F.concat("x_coords", "y_coords"), lambda v: (v >= 0) & (v <= 1))
+    forward = F.forall(a.diff(F.col("x_coords")), lambda v: v >= 0)
+    stays = F.forall(F.slice("y_coords", F.lit(2), F.greatest(F.size("y_coords") - 2, F.lit(0))), lambda v: (v > 0) & (v < 1))
+    return rounded(rows.select("route_id", inside.alias("inside"), F.array_min("x_coords").alias("least_x"), F.array_max("x_coords").alias("most_x"), forward.alias("forward"), stays.alias("stays")), 5)
 
 
 @query("g14_dataset_counts", "routes", sql="SELECT route_type, 2*count(*) AS n FROM routes GROUP BY 1")
