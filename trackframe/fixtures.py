@@ -61,9 +61,11 @@ def oracle(body: str, *tables: str) -> str:
     needs = {"det1": ["det"], "frag": ["det"], "videos": ["det"], "route_labels": ["routes"], "predictions": ["routes"]}
     wanted = {x for t in tables for x in [t, *needs.get(t, [])]}
     ctes = ", ".join(f"{t} AS ({CTES[t]})" for t in CTES if t in wanted)
-    joiner = ", " if body.lstrip().upper().startswith("WITH ") else " "
-    body = body.lstrip()[5:] if joiner == ", " else body
-    return f"WITH {ctes}{joiner}{body}"
+    body = body.lstrip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
+    return f"WITH {ctes} {body}"
 
 
 class Fixtures:

@@ -105,7 +105,14 @@ def _(f):
     return d.suppress_overlaps(f.det_dense, 0.35, mode="greedy").select("det_id")
 
 
-@query("w9_constrain_area")
+#: One step of the area limit for each box of a cell in turn; ``m`` are the last areas as adjusted.
+_STEADY = """WITH RECURSIVE o AS (SELECT *, floor((x+width/2)/500) gx, floor((y+height/2)/500) gy FROM det), k AS (SELECT *, row_number() OVER (PARTITION BY video_id, gx, gy ORDER BY frame_id, det_id) k FROM o),
+  r(video_id, gx, gy, k, det_id, x, y, width, height, m) AS (SELECT DISTINCT video_id, gx, gy, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, []::DOUBLE[] FROM k
+   UNION ALL SELECT video_id, gx, gy, k, det_id, x+(width-width*s)/2, y+(height-height*s)/2, width*s, height*s, list_concat(m, [width*s*height*s])[-5:]
+    FROM (SELECT k.*, r.m, CASE WHEN len(r.m) > 0 AND k.width*k.height/list_avg(r.m) > 2.5 THEN sqrt(list_avg(r.m)/(k.width*k.height)) ELSE 1.0 END s FROM r JOIN k ON k.video_id=r.video_id AND k.gx=r.gx AND k.gy=r.gy AND k.k=r.k+1))"""
+
+
+@query("w9_constrain_area", "det", sql=_STEADY + " SELECT det_id, round(x, 6) AS x, round(y, 6) AS y, round(width, 6) AS width, round(height, 6) AS height FROM r WHERE k > 0")
 def _(f):
     return rounded(d.constrain_area(f.det).select("det_id", "x", "y", "width", "height"))
 
@@ -125,7 +132,21 @@ def _(f):
     return rounded(linking.link_detections(f.det_dense).select("frame_id", "det_a", "det_b", "iou"))
 
 
-@query("w13_assign_track_ids")
+def _links(name: str, a: str, b: str) -> str:
+    """Mutually best overlaps of boxes in ``a`` and boxes of the next frame in ``b``."""
+    return f"""{name}_p AS (SELECT a.video_id, a.frame_id + 1 frame_id, a.det_id det_a, b.det_id det_b, a.width*a.height+b.width*b.height both_,
+   greatest(least(a.x+a.width,b.x+b.width)-greatest(a.x,b.x),0)*greatest(least(a.y+a.height,b.y+b.height)-greatest(a.y,b.y),0) common FROM {a} a JOIN {b} b ON a.video_id=b.video_id AND a.frame_id+1=b.frame_id),
+  {name}_q AS (SELECT *, common/(both_-common) iou FROM {name}_p WHERE common/(both_-common) >= 0.25),
+  {name} AS (SELECT * FROM {name}_q QUALIFY row_number() OVER (PARTITION BY video_id, frame_id, det_a ORDER BY iou DESC, det_b) = 1 AND row_number() OVER (PARTITION BY video_id, frame_id, det_b ORDER BY iou DESC, det_a) = 1)"""
+
+
+_CHAINS = f"""WITH RECURSIVE sure AS (SELECT * FROM det_dense WHERE confidence >= 0.25), weak AS (SELECT * FROM det_dense WHERE confidence >= 0.1 AND confidence < 0.25), {_links('l1', 'sure', 'sure')},
+  rest AS (SELECT * FROM sure WHERE det_id NOT IN (SELECT det_a FROM l1) UNION ALL SELECT * FROM weak), {_links('l2', 'rest', 'rest')},
+  link AS (SELECT det_a, det_b FROM l1 UNION ALL SELECT det_a, det_b FROM l2 WHERE det_b NOT IN (SELECT det_b FROM l1) AND det_b IN (SELECT det_id FROM weak)),
+  chain(det_id, root) AS (SELECT det_id, det_id FROM det_dense WHERE confidence >= 0.25 AND det_id NOT IN (SELECT det_b FROM link) UNION ALL SELECT det_b, root FROM chain JOIN link ON det_a = det_id)"""
+
+
+@query("w13_assign_track_ids", "det_dense", sql=_CHAINS + " SELECT det_id, root AS track_id FROM chain")
 def _(f):
     return linking.assign_track_ids(f.det_dense).select("det_id", "track_id")
 
@@ -294,17 +315,30 @@ def _(f):
     return rounded(c.withColumn("k", F.row_number().over(w)).where("k <= 5").select("video_id", "a_track_id", "b_track_id", "score"), 4)
 
 
-@query("w12_cap_merges")
+#: Candidates in order; a pair is accepted if neither track has two accepted pairs.
+_CAPPED = _CAND.replace("WITH ", "WITH RECURSIVE ", 1) + """, cand AS (SELECT c.video_id, c.ta, c.tb, row_number() OVER (PARTITION BY c.video_id ORDER BY a.sf, c.ta, b.sf, c.tb) k FROM c JOIN e a ON a.video_id=c.video_id AND a.track_id=c.ta JOIN e b ON b.video_id=c.video_id AND b.track_id=c.tb WHERE score >= 0.25),
+  cap(video_id, k, ta, tb, used, good) AS (SELECT DISTINCT video_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], false FROM cand
+   UNION ALL SELECT video_id, k, ta, tb, CASE WHEN good THEN list_concat(used, [ta, tb]) ELSE used END, good
+    FROM (SELECT cand.*, cap.used, len(list_filter(cap.used, lambda t: t = cand.ta)) < 2 AND len(list_filter(cap.used, lambda t: t = cand.tb)) < 2 AS good FROM cap JOIN cand ON cand.video_id=cap.video_id AND cand.k=cap.k+1)),
+  took AS (SELECT video_id, ta, tb FROM cap WHERE good),
+  edge AS (SELECT video_id, ta s, tb t FROM took UNION SELECT video_id, tb, ta FROM took),
+  reach(video_id, s, t) AS (SELECT video_id, s, s FROM edge UNION SELECT reach.video_id, reach.s, edge.t FROM reach JOIN edge ON edge.video_id=reach.video_id AND edge.s=reach.t),
+  grp AS (SELECT video_id, s AS track_id, min(t) AS group_id FROM reach GROUP BY 1, 2)"""
+
+
+@query("w12_cap_merges", "frag", sql=_CAPPED + " SELECT video_id, ta AS a_track_id, tb AS b_track_id FROM took")
 def _(f):
     return merge.cap_merges(merge.merge_candidates(f.frag, _MERGE), 2).select("video_id", "a_track_id", "b_track_id")
 
 
-@query("a25_merge_groups")
+@query("a25_merge_groups", "frag", sql=_CAPPED + " SELECT video_id, track_id, group_id FROM grp")
 def _(f):
     return merge.merge_groups(merge.cap_merges(merge.merge_candidates(f.frag, _MERGE), 2))
 
 
-@query("a26_apply_merge")
+@query("a26_apply_merge", "frag", sql=_CAPPED + """, size AS (SELECT video_id, track_id, count(*) n FROM frag GROUP BY 1, 2), top AS (SELECT video_id, max(track_id) top FROM frag WHERE video_id IN (SELECT video_id FROM grp) GROUP BY 1),
+  fresh AS (SELECT video_id, track_id, top + row_number() OVER (PARTITION BY video_id ORDER BY track_id) AS new_id FROM size JOIN top USING (video_id) WHERE n < {short})
+  SELECT video_id, coalesce(group_id, new_id, track_id) AS track_id, sum(n)::BIGINT AS n, count(*) AS parts FROM size LEFT JOIN grp USING (video_id, track_id) LEFT JOIN fresh USING (video_id, track_id) GROUP BY 1, 2""".replace("{short}", str(_MERGE.min_points)))
 def _(f):
     return merge.merge_tracks(f.frag, _MERGE).groupBy("video_id", "track_id").agg(F.count("*").alias("n"), F.countDistinct("orig_track_id").alias("parts"))
 
@@ -337,7 +371,28 @@ def _(f):
     return rounded(field.rotate_field(f.det, field.dominant_angle(f.segments)).select("det_id", "x", "y"), 4)
 
 
-@query("a9_fit_frame_motion")
+def _fit_sql(name: str, points: str) -> str:
+    return f"""{name}_s AS (SELECT video_id, frame_id, count(*)::DOUBLE n, sum(px) sx, sum(py) sy, sum(cx) su, sum(cy) sv, sum(px*px+py*py) ss, sum(px*cx+py*cy) sd, sum(px*cy-py*cx) sc FROM {points} GROUP BY 1, 2),
+  {name}_t AS (SELECT *, ss-(sx*sx+sy*sy)/n w FROM {name}_s), {name}_u AS (SELECT *, CASE WHEN w > 0 THEN (sd-(sx*su+sy*sv)/n)/w END a, CASE WHEN w > 0 THEN (sc-(sx*sv-sy*su)/n)/w END b FROM {name}_t),
+  {name} AS (SELECT video_id, frame_id, n, a, b, (su-a*sx+b*sy)/n tx, (sv-b*sx-a*sy)/n ty FROM {name}_u)"""
+
+
+def _error_sql(name: str, fit: str) -> str:
+    return f"{name} AS (SELECT m.*, sqrt(pow(cx-(a*px-b*py+tx), 2)+pow(cy-(b*px+a*py+ty), 2)) error FROM matches m JOIN {fit} USING (video_id, frame_id))"
+
+
+_MOTION_FIT = ", ".join(
+    ["WITH " + _fit_sql("f0", "matches")]
+    + [
+        f"{_error_sql(f'e{k}', f'f{k}')}, m{k} AS (SELECT video_id, frame_id, quantile_cont(error, 0.5) middle FROM e{k} GROUP BY 1, 2), p{k} AS (SELECT e{k}.* FROM e{k} JOIN m{k} USING (video_id, frame_id) WHERE error <= greatest(middle, 3.0)), {_fit_sql(f'f{k + 1}', f'p{k}')}"
+        for k in range(3)
+    ]
+    + [_error_sql("last", "f3"), "good AS (SELECT * FROM last WHERE error <= 3.0)", _fit_sql("g", "good")]
+) + """, c AS (SELECT video_id, frame_id, count(*) points FROM matches GROUP BY 1, 2), v AS (SELECT c.*, coalesce(n, 0)::BIGINT inliers, tx, ty, sqrt(a*a+b*b) s, atan2(b, a) th FROM c LEFT JOIN g USING (video_id, frame_id)),
+  o AS (SELECT *, coalesce(points >= 6 AND inliers >= 2 AND inliers/points >= 0.4 AND s BETWEEN 0.9 AND 1.1 AND sqrt(tx*tx+ty*ty) <= 100, false) ok FROM v)"""
+
+
+@query("a9_fit_frame_motion", "matches", sql=_MOTION_FIT + """ SELECT video_id, frame_id, points, inliers, ok, round(CASE WHEN ok THEN tx ELSE 0 END, 4) + 0.0 AS dx, round(CASE WHEN ok THEN ty ELSE 0 END, 4) + 0.0 AS dy, round(CASE WHEN ok THEN th ELSE 0 END, 4) + 0.0 AS theta, round(ln(CASE WHEN ok THEN s ELSE 1 END), 4) + 0.0 AS log_s FROM o""")
 def _(f):
     return rounded(motion.fit_frame_motion(f.matches), 4)
 
