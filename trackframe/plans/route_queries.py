@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import ROUTE_TYPES
 from ..functions import arrays as a
 from ..functions import geometry as g
+from ..functions import names
 from ..functions.hashing import uniform_sql
 from ..operators import labels as lab
 from ..operators import metrics as m
@@ -110,13 +111,12 @@ def _(f):
     return rounded(f.routes.select("route_id", F.element_at(p, 1).alias("first_p"), F.array_max(p).alias("best_p")))
 
 
-@query("x10_strings", "routes", sql="""SELECT route_id, regexp_replace('clip' || route_id || '_Trajectories_trajectories', '_trajectories$', '') AS video, 'frame_' || lpad(route_id::VARCHAR, 6, '0') AS frame, contains(lower('ALL_Normalized' || route_id), 'all_normalized') AS aggregate, 'v' || (route_id % 7) || '_' || 'frame_' || lpad(route_id::VARCHAR, 6, '0') AS unique_name FROM routes""")
+@query("x10_strings", "routes", sql="""SELECT route_id, regexp_replace('clip' || route_id || '_Trajectories_trajectories', '_trajectories$', '') AS video, 'frame_' || lpad(route_id::VARCHAR, 6, '0') AS frame, route_id % 3 = 0 AS aggregate, 'v' || (route_id % 7) || '_' || 'frame_' || lpad(route_id::VARCHAR, 6, '0') AS unique_name FROM routes""")
 def _(f):
-    frame = F.format_string("frame_%06d", "route_id")
-    return f.routes.select(
-        "route_id", F.regexp_replace(F.concat(F.lit("clip"), F.col("route_id"), F.lit("_Trajectories_trajectories")), "_trajectories$", "").alias("video"), frame.alias("frame"),
-        F.contains(F.lower(F.concat(F.lit("ALL_Normalized"), F.col("route_id"))), F.lit("all_normalized")).alias("aggregate"), F.concat(F.lit("v"), F.col("route_id") % 7, F.lit("_"), frame).alias("unique_name"),
-    )
+    path = F.concat(F.lit("file:/data/clip"), F.col("route_id"), F.lit("_Trajectories_trajectories.json"))
+    name = F.concat(F.when(F.col("route_id") % 3 == 0, "ALL_Normalized").otherwise("Normalized"), F.col("route_id"))
+    frame = names.frame_name(F.col("route_id"))
+    return f.routes.select("route_id", names.video_of(path).alias("video"), frame.alias("frame"), names.is_aggregate(name).alias("aggregate"), names.unique_name(F.concat(F.lit("v"), F.col("route_id") % 7), frame).alias("unique_name"))
 
 
 @query("x13_seconds", "det", sql="SELECT det_id, round(frame_id/30.0::DOUBLE, 6) AS seconds FROM det")
@@ -124,11 +124,15 @@ def _(f):
     return rounded(f.det.select("det_id", g.frames_to_seconds(F.col("frame_id")).alias("seconds")))
 
 
-@query("x14_route_pixels", "routes", sql="""WITH e AS (SELECT route_id, unnest([{'kind': 'start', 'x': x_coords[1], 'y': y_coords[1]}, {'kind': 'end', 'x': x_coords[64], 'y': y_coords[64]}], recursive := true) FROM routes)
-  SELECT route_id, kind AS channel, least(greatest(floor(x*54+5)::INT, 0), 63) AS c, least(greatest(floor((1-y)*54+5)::INT, 0), 63) AS r FROM e WHERE kind = 'end'""")
+@query("x14_route_pixels", "routes", sql="""WITH p AS (SELECT route_id, unnest(range(1, 65)) i, list_transform(x_coords, lambda x: least(greatest(floor(x*54+5)::INT, 0), 63)) cs, list_transform(y_coords, lambda y: least(greatest(floor((1-y)*54+5)::INT, 0), 63)) rs FROM routes),
+  seg AS (SELECT route_id, cs[i] ac, rs[i] ar, cs[i+1] bc, rs[i+1] br, greatest(abs(cs[i+1]-cs[i]), abs(rs[i+1]-rs[i]), 1) n FROM p WHERE i < 64), walk AS (SELECT *, unnest(range(n+1)) k FROM seg),
+  line AS (SELECT route_id, round(ar+(br-ar)*k/n::DOUBLE)::INT+dr r, round(ac+(bc-ac)*k/n::DOUBLE)::INT+dc c, 1 kind FROM walk, (SELECT unnest([0, 1]) dr), (SELECT unnest([0, 1]) dc)),
+  ring AS (SELECT dr, dc FROM (SELECT unnest(range(-3, 4))::INT dr), (SELECT unnest(range(-3, 4))::INT dc) WHERE dr*dr+dc*dc <= 9),
+  disc AS (SELECT route_id, rs[i]+dr r, cs[i]+dc c, CASE WHEN i = 1 THEN 2 ELSE 3 END kind FROM p, ring WHERE i IN (1, 64)),
+  dots AS (SELECT route_id, r, c, max(kind) kind FROM (SELECT * FROM line UNION ALL SELECT * FROM disc) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY 1, 2, 3)
+  SELECT route_id, r, c, CASE kind WHEN 1 THEN 'line' WHEN 2 THEN 'start' ELSE 'end' END AS channel FROM dots""")
 def _(f):
-    ends = f.routes.select("route_id", F.lit("end").alias("channel"), *(F.least(F.greatest(F.floor(v * 54 + 5).cast("int"), F.lit(0)), F.lit(63)).alias(n) for n, v in (("c", F.element_at("x_coords", -1)), ("r", 1 - F.element_at("y_coords", -1)))))
-    return ends.join(r.route_pixels(f.routes), ["route_id", "channel", "r", "c"], "left_semi")
+    return r.route_pixels(f.routes)
 
 
 @query("x14_heatmap", "routes", sql="""WITH p AS (SELECT unnest(x_coords) x, unnest(y_coords) y FROM routes) SELECT least(floor(x*64)::INT, 63) AS cx, least(floor(y*64)::INT, 63) AS cy, count(*) AS n FROM p GROUP BY 1, 2""")

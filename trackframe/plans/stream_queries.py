@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_path
 from ..streaming import streams as st
-from .box_queries import _KEEP
+from .box_queries import _KEEP, _STEADY
 from .catalog import query, rounded
 
 
@@ -15,10 +15,14 @@ def _source(f, dense: bool = False) -> DataFrame:
     """The detections in files of a stream source, in the shared folder."""
     path = fresh_path(f.spark, "stream")
     rows = f.det_dense.withColumn("track_id", F.col("det_id")) if dense else f.det
-    rows.repartitionByRange(4, "frame_id").select("video_id", "track_id", "det_id", "frame_id", "x", "y", "width", "height", "confidence").write.parquet(path)
+    _columns(rows).repartitionByRange(4, "frame_id").write.parquet(path)
     return st.read_detections(f.spark, path, files_a_batch=4)
 
 
+def _columns(rows: DataFrame) -> DataFrame:
+    return rows.select("video_id", "track_id", "det_id", "frame_id", "x", "y", "width", "height", "confidence")
+
+
 def _through(f, df: DataFrame) -> DataFrame:
     """The stream's output, written by the batch sink and read back."""
     base = fresh_path(f.spark, "out")
@@ -32,15 +36,22 @@ def _(f):
     return _through(f, st.filtered(_source(f)).select("det_id", "area"))
 
 
-@query("st6_stream_deduplicate", "det", sql="SELECT det_id FROM det")
+#: Event time of det in microseconds, and the watermark that one batch of all of it leaves.
+_TIMES = """WITH t AS (SELECT *, floor(frame_id*1000000/30.0::DOUBLE)::BIGINT + 946684800000000 us FROM det), w AS (SELECT (max(us)//1000)*1000 - 5000000 mark FROM t)"""
+
+
+@query("st6_stream_deduplicate", "det", sql=_TIMES + " SELECT det_id FROM det UNION ALL SELECT -det_id FROM t, w WHERE det_id % 7 = 0 AND us > mark")
 def _(f):
-    source = _source(f)
-    return _through(f, st.deduplicated(source).select("det_id"))
+    """After all detections come some of them again, then new ones of old frames, which are kept within the watermark only."""
+    path = fresh_path(f.spark, "stream")
+    for part in (f.det, f.det.where("det_id % 5 = 0"), f.det.where("det_id % 7 = 0").withColumn("det_id", -F.col("det_id"))):
+        _columns(part).coalesce(1).write.mode("append").parquet(path)
+    return _through(f, st.deduplicated(st.read_detections(f.spark, path)).select("det_id"))
 
 
-@query("st4_stream_steady_areas")
+@query("st4_stream_steady_areas", "det", sql=_STEADY + " SELECT det_id, round(width, 6) AS width, round(height, 6) AS height FROM r WHERE k > 0")
 def _(f):
-    return rounded(_through(f, st.steady_areas(_source(f, dense=True).drop("event_ts"))).select("det_id", "width", "height"))
+    return rounded(_through(f, st.steady_areas(_source(f))).select("det_id", "width", "height"))
 
 
 @query("st5_stream_links")
@@ -48,16 +59,28 @@ def _(f):
     return _through(f, st.online_links(_source(f, dense=True)))
 
 
-@query("st2_stream_counts")
+def _windows_sql(size: int, slide: int) -> str:
+    return f"""{_TIMES}, s AS (SELECT video_id, confidence, (us // {slide}000000 - k)*{slide}000000 AS start_us FROM t, (SELECT unnest(range({size // slide})) k))
+  SELECT video_id, start_us, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM s, w WHERE start_us + {size}000000 <= mark GROUP BY 1, 2"""
+
+
+def _windows(f, *window: str):
+    found = _through(f, st.counts(_source(f), *window))
+    return rounded(found.select("video_id", F.unix_micros("start").alias("start_us"), "n", "mean_confidence"))
+
+
+@query("st2_stream_counts", "det", sql=_windows_sql(10, 10))
 def _(f):
-    return _through(f, st.counts(_source(f))).select("video_id", "n")
+    return _windows(f)
 
 
-@query("st2_stream_sliding_counts")
+@query("st2_stream_sliding_counts", "det", sql=_windows_sql(20, 10))
 def _(f):
-    return _through(f, st.counts(_source(f), "20 seconds", "10 seconds")).select("video_id", "n")
+    return _windows(f, "20 seconds", "10 seconds")
 
 
-@query("st3_stream_track_lifetimes")
+@query("st3_stream_track_lifetimes", "det", sql=_TIMES + """, d AS (SELECT *, CASE WHEN us > lag(us) OVER p + 1000000 THEN 1 ELSE 0 END new FROM t WINDOW p AS (PARTITION BY video_id, track_id ORDER BY us)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY video_id, track_id ORDER BY us) session FROM d)
+  SELECT video_id, track_id, count(*) AS n, min(frame_id) AS first_frame, max(frame_id) AS last_frame FROM s, w GROUP BY video_id, track_id, session, mark HAVING max(us) + 1000000 <= mark""")
 def _(f):
     return _through(f, st.track_lifetimes(_source(f)))

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..schemas import TRAJECTORY_FILE
 
-_AGGREGATES = "all_skill_positions|extraction_statistics|all_normalized"
-
 
 def without_aggregates(files: DataFrame, column: str = "file_name", ignore_case: bool = True) -> DataFrame:
     """Drop files that hold the results of many videos."""
-    name = F.lower(F.col(column)) if ignore_case else F.col(column)
-    return files.where(~name.rlike(_AGGREGATES))
+    return files.where(~names.is_aggregate(F.col(column), ignore_case))
 
 
 def read_trajectory_files(spark: SparkSession, path: str, glob: str = "*_trajectories.json", nested: bool = False) -> DataFrame:
@@ -24,7 +22,7 @@ def read_trajectory_files(spark: SparkSession, path: str, glob: str = "*_traject
     """
     reader = spark.read.schema(TRAJECTORY_FILE).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob)
     rows = (reader.option("recursiveFileLookup", True) if nested else reader).json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    rows = rows.withColumn("video_name", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(_trajectories)?\.json$", ""))
+    rows = rows.withColumn("video_name", names.video_of(F.col("file")))
     if nested:
         folder = F.regexp_replace("file", "/[^/]*$", "")
         rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(folder).orderBy("file"))).where("_k = 1").drop("_k")
