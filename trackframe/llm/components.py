@@ -27,4 +27,5 @@ def components(edges: DataFrame) -> DataFrame:
         drop_tables(lower, labels)
         labels = after.select("node", "component")
         if not moved:
+            drop_tables(both)
             return labels

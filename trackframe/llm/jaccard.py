@@ -13,8 +13,9 @@ Empty segments prove little and are not indexed; a set with so many of them
 that its budget fails (a thin set) indexes them too.  A pair can be missed only
 if both sets are thin, and then both have indexed them.
 
-Sets are collapsed by equality first.  Signatures travel packed; a task sorts
-its share and finds the groups that share one.  Pairs of a group are first held
+Sets are collapsed by equality first.  Signatures travel packed by bucket; a task
+holds one bucket at a time and finds the groups that share a signature; a bucket
+that a very common signature fills is counted by Spark instead.  Pairs of a group are first held
 against an exact lower bound (parity sketches differ by no more than the sets
 do), then verified exactly on whole sets.  Groups are not expanded into pairs:
 each set first proposes its least-bound partners and the group's first member;
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .spans import KEY, join_key, keyed
-from .storage import materialize
+from .spans import KEY, WHOLE, join_key, packed, unpacked
+from .storage import drop_tables, materialize
 from .textops import Texts, mix, prefix_hash, shingle_hashes, slices, span_hash
 
 #: Cells of a parity sketch for each segment.
@@ -48,7 +49,11 @@ GROUP_BLOCK = 1500
 #: Partners that a set proposes in the first round (the last looks at all that may still matter).
 PROPOSALS = 2
 #: Signatures that a task packs at a time.
-PACKED = 2_000_000
+PACKED = 1_000_000
+#: Words of sets for each bucket of signatures.
+BUCKET_WORDS = 500_000
+#: Signatures of one bucket that a task compares in memory; a fuller bucket (some signature is very common) is counted by Spark.
+HELD_SIGNATURES = 4_000_000
 
 
 def most_different(total: int, percent: int) -> int:
@@ -246,28 +251,65 @@ def _packed_signatures(batches: Iterable[pa.RecordBatch], width: int, percent: i
         yield flush()
 
 
+def _distinct(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, node and scheme of packed rows, sorted and without repetitions."""
+    value, node, scheme = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.uint64, np.uint16)))
+    order = np.lexsort((node, value))
+    value, node, scheme = value[order], node[order], scheme[order]
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (node[1:] != node[:-1])])
+    return value[new], node[new], scheme[new]
+
+
+def _group_batch(group: np.ndarray, scheme: np.ndarray, node: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(scheme.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(members)], names=["group", "scheme", "node", "members"])
+
+
+def _bucket_groups(rows: list[list[bytes]]) -> pa.RecordBatch | None:
+    """Distinct groups of one whole bucket: nodes that share a signature; the name of a group is a hash of its nodes."""
+    value, node, scheme = _distinct(rows)
+    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    size = np.diff(np.append(start, len(value)))
+    name = mix(np.add.reduceat(mix(node), start) + size.astype(np.uint64) + scheme[start].astype(np.uint64))
+    many = np.flatnonzero(size > 1)
+    many = many[np.unique(name[many], return_index=True)[1]]
+    if not len(many):
+        return None
+    at = np.repeat(start[many] - (np.cumsum(size[many]) - size[many]), size[many]) + np.arange(size[many].sum())
+    return _group_batch(np.repeat(name[many], size[many]), scheme[at], node[at], np.repeat(size[many], size[many]))
+
+
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct groups of nodes that share a signature, as (group, scheme, node)."""
-    held: dict[int, list] = {}
+    """(group, scheme, node, members) of each bucket; rows come sorted by bucket and one bucket is held at a time.
+
+    A bucket of more than ``HELD_SIGNATURES`` comes out as it is, in distinct
+    rows (signature, scheme, node, 0).
+    """
+    at, held, size, over = None, [], 0, False
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if over:
+            value, node, scheme = _distinct(held)
+            yield _group_batch(value, scheme, node, np.zeros(len(value), np.int64))
+        else:
+            found = _bucket_groups(held)
+            if found is not None:
+                yield found
+
     for batch in batches:
-        for bucket, *parts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            held.setdefault(bucket, []).append(parts)
-    for rows in held.values():
-        value, node, scheme = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.uint64, np.uint16)))
-        order = np.lexsort((node, value))
-        value, node, scheme = value[order], node[order], scheme[order]
-        new = np.concatenate([[True], (value[1:] != value[:-1]) | (node[1:] != node[:-1])])
-        value, node, scheme = value[new], node[new], scheme[new]
-        start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        size = np.diff(np.append(start, len(value)))
-        name = mix(np.add.reduceat(mix(node), start) + size.astype(np.uint64) + scheme[start].astype(np.uint64))
-        many = np.flatnonzero(size > 1)
-        many = many[np.unique(name[many], return_index=True)[1]]
-        if not len(many):
-            continue
-        at = np.repeat(start[many] - (np.cumsum(size[many]) - size[many]), size[many]) + np.arange(size[many].sum())
-        group = np.repeat(name[many], size[many])
-        yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(scheme[at].astype(np.int32)), pa.array(node[at].view(np.int64)), pa.array(np.repeat(size[many], size[many]))], names=["group", "scheme", "node", "members"])
+        for k, bucket in enumerate(batch.column(0).to_pylist()):
+            if held and bucket != at:
+                yield from flush()
+                held, size = [], 0
+            if bucket != at:
+                at, over = bucket, False
+            held.append([batch.column(c)[k].as_py() for c in (1, 2, 3)])
+            size += len(held[-1][2]) // 2
+            if size > HELD_SIGNATURES:
+                over = True
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
 
 
 def _pairs(batches: Iterable[pa.RecordBatch], percent: int, proposals: int | None) -> Iterator[pa.RecordBatch]:
@@ -345,16 +387,26 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
-        self.texts = keyed(docs).select(*KEY, "__text")
+        self.texts = packed(docs).select(*KEY, "__text")
         schema = f"{KEY[0]} long, {KEY[1]} long, n long, node long, low int, low_bits binary, high int, high_bits binary"
         self.nodes = materialize(self.texts.mapInArrow(lambda it: _nodes(it, width, percent), schema), "jaccard-nodes")
 
     def groups(self) -> DataFrame:
-        buckets = 4 * max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.nodes.count() // 5_000)
+        words = self.nodes.agg(F.sum("n")).first()[0] or 0
+        buckets = 4 * max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), words // (4 * BUCKET_WORDS))
         width, percent = self.width, self.percent
-        packed = self.texts.mapInArrow(lambda it: _packed_signatures(it, width, percent, buckets), "bucket int, signatures binary, nodes binary, schemes binary")
-        found = packed.repartition(buckets // 4, "bucket").mapInArrow(_groups, "`group` long, scheme int, node long, members long")
-        return materialize(found.dropDuplicates(["group", "node"]), "jaccard-groups")
+        signed = self.texts.mapInArrow(lambda it: _packed_signatures(it, width, percent, buckets), "bucket int, signatures binary, nodes binary, schemes binary")
+        ordered = signed.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket")
+        found = materialize(ordered.mapInArrow(_groups, "`group` long, scheme int, node long, members long"), "jaccard-buckets")
+        named = found.where("members > 0")
+        raw = found.where("members = 0").select(F.col("group").alias("signature"), "scheme", "node").dropDuplicates(["signature", "node"])
+        if not raw.isEmpty():
+            per = raw.groupBy("signature", "scheme").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where("members > 1")
+            per = per.select("signature", F.xxhash64("nodes", "members", "scheme").alias("group"), "members")
+            named = named.unionByName(raw.join(per, "signature").select("group", "scheme", "node", "members"))
+        groups = materialize(named.dropDuplicates(["group", "node"]), "jaccard-groups")
+        drop_tables(found)
+        return groups
 
     def candidates(self, groups: DataFrame, proposals: int | None) -> DataFrame:
         """Pairs (a, b) worth verifying; ``groups`` has ``part``: pairs of one part are known to be connected."""
@@ -374,7 +426,7 @@ class JaccardJoin:
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _pairs(it, percent, proposals), "a long, b long").distinct()
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` whose whole sets are similar enough."""
+        """Those of ``pairs`` whose whole sets are similar enough, as a written table."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         one = self.nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(*KEY)).alias("k")).join(ends, "node")
         one = one.select("node", *(F.col(f"k.{c}").alias(c) for c in KEY))
@@ -384,7 +436,9 @@ class JaccardJoin:
         left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("both"))
-        return joined.where(100 * F.col("common") >= self.percent * (F.col("both") - F.col("common"))).select("a", "b")
+        links = materialize(joined.where(100 * F.col("common") >= self.percent * (F.col("both") - F.col("common"))).select("a", "b"), "jaccard-links")
+        drop_tables(sets)
+        return links
 
     def node_components(self) -> DataFrame:
         """``node, component`` of the nodes that have a link."""
@@ -406,10 +460,13 @@ class JaccardJoin:
             rest = materialize(rest if pairs is None else rest.join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
             pairs = rest if pairs is None else pairs.unionByName(rest)
             if parts is None or not rest.isEmpty():
-                more = materialize(self.verify(rest), "jaccard-links")
+                more = self.verify(rest)
                 if links is None or not more.isEmpty():
                     links = more if links is None else links.unionByName(more)
+                    if parts is not None:
+                        drop_tables(parts)
                     parts = components(links)
+        drop_tables(groups, pairs, links)
         return parts
 
 
@@ -423,7 +480,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     labelled = join.nodes.join(parts, "node", "left").select(*KEY, "n", "node", F.coalesce("component", "node").alias("part"))
     least = labelled.where("part is not null").groupBy("part").agg(F.min(KEY[0]).alias("least"))
     out = labelled.join(least, "part", "left")
-    return out.select(F.col(KEY[0]).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", KEY[0]).alias("component_id"))
+    out = materialize(out.select(F.col(KEY[0]).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", KEY[0]).alias("component_id")), "jaccard-components")
+    drop_tables(join.nodes, parts)
+    return out
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -437,6 +496,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     labelled = join.nodes.where("node is not null").join(parts, "node", "left").select(*KEY, F.coalesce("component", "node").alias("part"))
     first = labelled.groupBy("part").agg(F.min(F.struct(F.col(KEY[0]).isNull(), KEY[0], KEY[1])).alias("k"))
     first = first.select(*(F.col(f"k.{c}").alias(c) for c in KEY)).union(join.nodes.where("node is null").select(*KEY).distinct())
-    left = keyed(docs).drop("__text")
+    first = materialize(first, "jaccard-first")
+    drop_tables(join.nodes, parts)
+    left = packed(docs).select(*KEY, WHOLE)
     kept = left.join(first, join_key(left, first), "left_semi")
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))).where("__n = 1").select(*docs.columns)
+    return unpacked(kept.withColumn("__n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))).where("__n = 1"))

@@ -8,14 +8,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Key columns of a document: its id and the hash of its text.  Rows that agree in both share their result.
 KEY = ("__id", "__text_hash")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with its key in front and the whole text as bytes (``__text``) at the end."""
-    return docs.select(F.col("doc_id").cast("long").alias(KEY[0]), F.xxhash64("text").alias(KEY[1]), *docs.columns, F.col("text").cast("binary").alias("__text"))
+#: All columns of a document in one, so that none clashes with columns of an operator.
+WHOLE = "__whole"
+
+
+def packed(docs: DataFrame, *without: str) -> DataFrame:
+    """Key, the whole text as bytes (``__text``) and all columns but ``without`` as one struct."""
+    columns = [F.col(quoted(c)) for c in docs.columns if c.lower() not in without]
+    return docs.select(F.col("doc_id").cast("long").alias(KEY[0]), F.xxhash64("text").alias(KEY[1]), F.col("text").cast("binary").alias("__text"), F.struct(*columns).alias(WHOLE))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The columns of the documents that :func:`packed` made ``rows`` of."""
+    return rows.select(f"{WHOLE}.*")
 
 
 def join_key(left: DataFrame, right: DataFrame) -> Column:
@@ -44,24 +59,26 @@ def cut_out(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
+#: What :func:`rewrite` reports of each document.
+REWRITTEN = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def rewrite(docs: DataFrame, notes: DataFrame, note_type: str, spans_of: Callable[[bytes, object], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Remove from each text the byte spans that ``spans_of(text, note)`` gives.
 
     ``notes`` has the key and a column ``note`` of ``note_type``, at most one row
     for a key; a document without one keeps its text.  Returns the columns of
     ``docs`` (text rewritten; null stays null) and n_bytes, n_removed, n_spans,
-    kept_sha256.
+    kept_sha256, which take the place of columns of ``docs`` so named.
     """
-    left, right = keyed(docs), notes.select(*KEY, "note")
-    joined = left.join(right, join_key(left, right), "left").select(*docs.columns, "__text", "note")
-    n = len(docs.columns)
-    at = docs.columns.index("text")
+    left, right = packed(docs, "text", *REWRITTEN), notes.select(*KEY, "note")
+    joined = left.join(right, join_key(left, right), "left").select(WHOLE, "__text", "note")
 
     def run(batches):
         import hashlib
 
         for batch in batches:
-            texts, found = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
+            texts, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out, size, gone, spans, digest = [], [], [], [], []
             for text, note in zip(texts, found, strict=True):
                 s, e = spans_of(text, note) if text and note else (np.zeros(0, int), np.zeros(0, int))
@@ -71,12 +88,12 @@ def rewrite(docs: DataFrame, notes: DataFrame, note_type: str, spans_of: Callabl
                 gone.append(int((e - s).sum()))
                 spans.append(len(s))
                 digest.append(hashlib.sha256(kept).hexdigest())
-            columns = [batch.column(k) for k in range(n)]
-            columns[at] = pa.array(out, pa.binary())
-            extra = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)]
-            yield pa.RecordBatch.from_arrays([*columns, *extra], names=[f"c{k}" for k in range(n + 4)])
-
-    types = [("binary" if k == at else f.dataType.simpleString()) for k, f in enumerate(docs.schema.fields)]
-    rows = joined.mapInArrow(run, ", ".join(f"c{k} {t}" for k, t in enumerate([*types, "long", "long", "long", "string"])))
-    names = [*docs.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return rows.select(*(F.col(f"c{k}").alias(name) if k != at else F.col(f"c{k}").cast(docs.schema["text"].dataType).alias(name) for k, name in enumerate(names)))
+            made = [pa.array(out, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[WHOLE, "__text", *REWRITTEN])
+
+    whole = next(f for f in joined.schema.fields if f.name == WHOLE)
+    types = ("binary", "long", "long", "long", "string")
+    schema = StructType([whole, *(StructField(c, StructType.fromDDL(f"x {t}")["x"].dataType) for c, t in zip(("__text", *REWRITTEN), types, strict=True))])
+    rows = joined.mapInArrow(run, schema)
+    kept = [F.col("__text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col(WHOLE).getField(c).alias(c) for c in docs.columns if c.lower() not in REWRITTEN]
+    return rows.select(*kept, *REWRITTEN)

@@ -1,45 +1,7 @@
-"""Durable intermediate tables.
-
-Operators that reuse a result write it as Parquet below the folder that the
-cluster names in ``spark.checkpoint.dir``, so a lost executor costs only the
-tasks that were running, never a finished stage.
-"""
+"""Durable intermediate tables, as the rest of the library makes them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set to a fresh folder only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..storage import drop_tables, fresh_path, materialize, shared_dir
 
-def drop_tables(*dfs: DataFrame) -> None:
-    """Delete tables made by :func:`materialize` once nothing reads them any more."""
-    for df in dfs:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            conf = spark.sparkContext._jsc.hadoopConfiguration()
-            folder.getFileSystem(conf).delete(folder, True)
+__all__ = ["drop_tables", "fresh_path", "materialize", "shared_dir"]

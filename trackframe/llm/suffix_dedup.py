@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import KEY, join_key, keyed, merge_spans, rewrite
+from .spans import KEY, join_key, merge_spans, packed, rewrite
 from .storage import drop_tables, materialize
 from .textops import mix, prefix_hash, slices, span_hash
 
@@ -214,7 +214,7 @@ def _single_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """Key and ``note``: pairs (from, to) of bytes that repeated strings cover, as far as each anchor shows."""
     spark = docs.sparkSession
-    texts = keyed(docs).select(*KEY, "__text")
+    texts = packed(docs).select(*KEY, "__text")
     schema = f"block long, context long, {KEY[0]} long, {KEY[1]} long, place long"
     suffixes = materialize(texts.mapInArrow(_suffixes, schema), "suffixes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // 500_000)

@@ -16,14 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are worked on at once; arrays over them take about 50 times as much.
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_OTHER_BASE = 0xD1B54A32D192ED03
 _BYTES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -46,19 +47,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
+def prefix_hash(buf: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Running polynomial hash of a byte array; see :func:`span_hash`."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * _power_table(_BASE, len(buf)), out=out[1:])
+    np.cumsum(_BYTES[buf] * _power_table(base, len(buf)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes [start, end) of the array that ``prefix`` was made from."""
-    inverse = _power_table(_INVERSE, len(prefix))
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """Hash of the bytes [start, end) of the array that ``prefix`` was made from (by the same base)."""
+    inverse = _power_table(pow(base, -1, 1 << 64), len(prefix))
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def other_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes [start, end) of ``buf`` that is independent of :func:`span_hash`."""
+    return span_hash(prefix_hash(buf, _OTHER_BASE), start, end, _OTHER_BASE)
+
+
 class Texts:
     """Some whole texts of a batch: ``buf`` and ``offs`` (one more than there are texts)."""
 
