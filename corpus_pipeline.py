@@ -16,16 +16,17 @@ from trackframe.llm.mixing import mix_repeated
 from trackframe.llm.piece_codec import piece_digest
 from trackframe.llm.quality import quality_verdicts
 from trackframe.llm.queries import table, tokenizer_path
-from trackframe.llm.spans import KEY, join_key, keyed
+from trackframe.llm.spans import KEY, WHOLE, join_key, packed, unpacked
 from trackframe.llm.storage import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the risk-controlled cutoffs keep."""
-    rows = keyed(docs)
-    verdicts = quality_verdicts(rows.select(F.struct(*KEY).alias("doc_id"), "lang", "text"), table(spark, sf_dir, "labels"), label_id=f"doc_id.{KEY[0]}")
+    rows = packed(docs)
+    texts = rows.select(F.struct(*KEY).alias("doc_id"), F.col(WHOLE).getField("lang").alias("lang"), F.col("__text").alias("text"))
+    verdicts = quality_verdicts(texts, table(spark, sf_dir, "labels"), label_id=f"doc_id.{KEY[0]}")
     kept = verdicts.where("kept").select(*(F.col(f"doc_id.{c}").alias(c) for c in KEY)).distinct()
-    return rows.join(kept, join_key(rows, kept), "left_semi").select(*docs.columns)
+    return unpacked(rows.join(kept, join_key(rows, kept), "left_semi"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
