@@ -27,14 +27,19 @@ def step(x: np.ndarray, h: np.ndarray, u: np.ndarray, b: np.ndarray) -> np.ndarr
     return c + gate[:, n:] * (h - c)
 
 
-def forward(x: np.ndarray, h: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States after each step, and what :func:`backward` needs."""
+def forward(x: np.ndarray, h: np.ndarray, u: np.ndarray, b: np.ndarray, resets: list[np.ndarray] | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """States after each step, and what :func:`backward` needs.
+
+    With ``resets``, the rows named for a step begin it with the state ``start``.
+    """
     n, steps = h.shape[1], len(x)
     states = np.empty((steps + 1, *h.shape), F32)
     gates = np.empty((steps, h.shape[0], 3 * n), F32)
     inner = np.empty((steps, *h.shape), F32)
     states[0] = h
     for t in range(steps):
+        if resets is not None and len(resets[t]):
+            states[t][resets[t]] = start
         g = states[t] @ u
         g += b
         gates[t, :, : 2 * n] = sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
@@ -44,8 +49,11 @@ def forward(x: np.ndarray, h: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple
     return states[1:], (states, gates, inner)
 
 
-def backward(grad: np.ndarray, kept: tuple, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients of projected inputs, recurrent weights, bias and first state, from those of the states."""
+def backward(grad: np.ndarray, kept: tuple, u: np.ndarray, resets: list[np.ndarray] | None = None, d_start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of projected inputs, recurrent weights, bias and first state, from those of the states.
+
+    With ``resets``, what reaches a reset state is added to ``d_start`` and goes back no further.
+    """
     states, gates, inner = kept
     steps, _, n = inner.shape
     dx = np.empty_like(gates)
@@ -65,6 +73,9 @@ def backward(grad: np.ndarray, kept: tuple, u: np.ndarray) -> tuple[np.ndarray,
         np.multiply(dh, of_c[t], out=dx[t, :, 2 * n :])
         dh *= z[t]
         dh += dg[t] @ back
+        if resets is not None and len(resets[t]):
+            d_start += dh[resets[t]].sum(0)
+            dh[resets[t]] = 0
     dx[:, :, : 2 * n] = dg[:, :, : 2 * n]
     flat = dg.reshape(-1, 3 * n)
     return dx, states[:-1].reshape(-1, n).T @ flat, flat.sum(0), dh

@@ -13,15 +13,18 @@ counted word, D * types / N_class for all unseen ones, which counts unseen words
 of a class as one word, as the base score does.  So the probabilities of all
 words sum to one.
 
-Training is truncated backpropagation through time over windows of a text, the
-state carried from window to window.  It runs as local SGD over all training
-documents, each of them once: a round takes its part of them, each task trains
-a copy on a bounded number of tokens and the copies are averaged by Spark.  The
-tasks grow with the input.  Round and task of a document go by a hash of its id
-and text, and of its number among equal rows, so copies of a text spread.
-
-Scoring reads every whole text: texts of an Arrow slice advance together, one
-token a step, and the state is carried to the end of each.
+Training is truncated backpropagation through time over windows of streams of
+texts, the state carried from window to window and set back where a text begins.
+It runs as local SGD over all training documents, each of them once: a round
+takes its part of them, each task trains a copy on a bounded number of tokens and
+the copies are averaged by Spark, 64 at a time.  The tasks grow with the input.
+Round and task of a document go by a hash of its id and text, and of its number
+among equal rows, so copies of a text spread.
+
+Texts are read once for the counts and once to be turned into symbols, which
+training and scoring share.  Scoring takes every whole text: texts of an Arrow
+batch advance together, one token a step, and the state is carried to the end of
+each.
 
 Null or empty text: one token, the end.  Null ids are hashed as the empty text
 for the held-out rule (crc32 of nothing is 0).
@@ -29,18 +32,19 @@ for the held-out rule (crc32 of nothing is 0).
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .storage import materialize
+from .storage import drop_tables, materialize
 from .textops import Texts, prefix_hash, slices, span_hash
 
 F32 = np.float32
@@ -48,12 +52,14 @@ END = np.uint64(0x5EED0E9D)
 #: Words with a state-dependent probability, and words whose counts every task holds.
 WORDS, HELD_WORDS = 2048, 262_144
 CLASS_WIDTH, SUFFIX_CLASSES = 64, 48
-STATE, EMBED, WINDOW, ROWS = 16, 16, 32, 64
+STATE, EMBED, WINDOW = 16, 16, 32
+#: Streams side by side in training: as many as give each the tokens named, within these bounds.
+STREAM_TOKENS, FEW_ROWS, MOST_ROWS = 18_000, 16, 256
 DISCOUNT = 0.75
-#: Longer texts begin first, so that none runs on alone at the end.
-LONG = 2048
-#: Bytes of text that advance together.
-SLICE = 12 << 20
+#: Tokens that advance together in scoring.
+SLICE = 1_500_000
+#: Copies of the weights that one group averages.
+AVERAGED = 64
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
@@ -71,15 +77,6 @@ def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(word, at, END), np.insert(suffix, at, 0), first + np.arange(len(first))
 
 
-def small_parts(texts: Texts, size: int = 2 << 20) -> Iterator[Texts]:
-    """Runs of whole texts of about ``size`` bytes, so that arrays over bytes stay small."""
-    at = 0
-    while at < texts.n:
-        to = max(at + 1, int(np.searchsorted(texts.offs, texts.offs[at] + size, "right")) - 1)
-        yield Texts(texts.buf[texts.offs[at] : texts.offs[to]], texts.offs[at : to + 1] - texts.offs[at])
-        at = to
-
-
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, suffix, n) of a partition; merged whenever much is held."""
     held: list[tuple] = []
@@ -177,13 +174,13 @@ def lexicon(vocab: DataFrame) -> Lexicon:
 def new_weights(lex: Lexicon, seed: int = 11) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(F32)
-    words = -(-lex.words // CLASS_WIDTH) * CLASS_WIDTH
-    # Biases start at log frequencies, so training begins near the unigram model.
+    words = max(1, -(-lex.words // CLASS_WIDTH)) * CLASS_WIDTH
+    # Biases (the last rows) start at log frequencies, so training begins near the unigram model.
     mass = np.full(lex.classes, 1e-6)
-    bias = np.full(words, -30.0)
+    bias = np.full(words, -60.0)
     seen = lex.symbol >= 0
     if seen.any():
-        bias[lex.symbol[seen]] = np.log(lex.count[seen])
+        bias[lex.symbol[seen]] = np.log(lex.count[seen] / lex.count[seen].max())
         np.add.at(mass, lex.symbol[seen] // CLASS_WIDTH, lex.count[seen])
     mass[lex.classes - SUFFIX_CLASSES :] += lex.class_total + 0.5
     return {
@@ -192,95 +189,95 @@ def new_weights(lex: Lexicon, seed: int = 11) -> dict[str, np.ndarray]:
         "u": draw(STATE, 3 * STATE),
         "b": np.zeros(3 * STATE, F32),
         "start": np.zeros((1, STATE), F32),
-        "class_w": draw(STATE, lex.classes) * F32(0.1),
-        "class_b": np.log(mass).astype(F32),
-        "word_w": draw(STATE, max(words, 1)) * F32(0.1),
-        "word_b": bias.astype(F32),
+        "class_w": np.concatenate([draw(STATE, lex.classes) * F32(0.1), np.log(mass / mass.sum())[None]]).astype(F32),
+        "word_w": np.concatenate([draw(STATE, words) * F32(0.1), bias[None]]).astype(F32),
     }
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    x -= np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
-    return x
-
+def token_log_probs(weights: dict, words: int, state: np.ndarray, symbol: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Natural log probability of each symbol given the state before it; for a suffix class the class's only.
 
-def token_log_probs(weights: dict, words: int, state: np.ndarray, symbol: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each symbol given the state before it; with ``grads``, adds the loss's gradients and returns the state's.
-
-    For a suffix class it is the class's probability only.
+    With ``grads``, the loss's gradients are added to them and the states' are
+    returned in place of the probabilities.  Logits are small (biases are log
+    shares, states lie within -1 and 1), so exponentials need no shift.
     """
+    state = np.concatenate([state, np.ones((len(state), 1), F32)], 1)
     word = symbol < words
     kind = np.where(word, symbol // CLASS_WIDTH, symbol - words + -(-words // CLASS_WIDTH))
-    each = np.arange(len(symbol))
-    logp = _log_softmax(state @ weights["class_w"] + weights["class_b"])
-    out = logp[each, kind]
-    d_state = None
-    if grads is not None:
-        d = np.exp(logp, out=logp)
-        d[each, kind] -= 1
-        grads["class_w"] += state.T @ d
-        grads["class_b"] += d.sum(0)
-        d_state = d @ weights["class_w"].T
+
+    def factor(state: np.ndarray, name: str, cols: slice, pick: np.ndarray) -> np.ndarray:
+        w = weights[name][:, cols]
+        x = state @ w
+        each = np.arange(len(pick))
+        found = x[each, pick] if grads is None else None
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], F32)
+        if grads is None:
+            return found - np.log(total)
+        x *= (1 / total)[:, None]
+        x[each, pick] -= 1
+        grads[name][:, cols] += state.T @ x
+        return x @ w[:STATE].T
+
+    out = factor(state, "class_w", slice(None), kind)
     at = np.flatnonzero(word)
-    at = at[np.argsort(kind[at], kind="stable")]
-    cuts = np.searchsorted(kind[at], np.arange(-(-words // CLASS_WIDTH) + 1))
-    for k in range(len(cuts) - 1):
-        some = at[cuts[k] : cuts[k + 1]]
-        if not len(some):
-            continue
-        cols = slice(k * CLASS_WIDTH, (k + 1) * CLASS_WIDTH)
-        inner = _log_softmax(state[some] @ weights["word_w"][:, cols] + weights["word_b"][cols])
-        pick = symbol[some] - k * CLASS_WIDTH
-        out[some] += inner[np.arange(len(some)), pick]
-        if grads is not None:
-            d = np.exp(inner, out=inner)
-            d[np.arange(len(some)), pick] -= 1
-            grads["word_w"][:, cols] += state[some].T @ d
-            grads["word_b"][cols] += d.sum(0)
-            d_state[some] += d @ weights["word_w"][:, cols].T
-    return out, d_state
+    at = at[np.argsort(kind[at].astype(np.int16), kind="stable")]
+    if len(at):
+        by_class, pick = state[at], symbol[at] % CLASS_WIDTH
+        cuts = np.searchsorted(kind[at], np.arange(-(-words // CLASS_WIDTH) + 1)).tolist()
+        inner = [factor(by_class[p:q], "word_w", slice(k * CLASS_WIDTH, (k + 1) * CLASS_WIDTH), pick[p:q]) for k, (p, q) in enumerate(zip(cuts, cuts[1:])) if q > p]
+        out[at] += np.concatenate(inner)
+    return (out, None) if grads is None else (None, out)
+
+
+def streams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``texts`` dealt to streams of about equal length: symbols (step, row), which of them begin a text, and lengths, descending."""
+    most = min(MOST_ROWS, max(FEW_ROWS, sum(map(len, texts)) // STREAM_TOKENS))
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    heap: list[tuple[int, int]] = [(0, r) for r in range(min(most, len(texts)))]
+    mine: list[list[int]] = [[] for _ in heap]
+    for k in order:
+        size, r = heap[0]
+        mine[r].append(k)
+        heapq.heapreplace(heap, (size + len(texts[k]), r))
+    rows = sorted((sorted(m) for m in mine), key=lambda m: -sum(len(texts[k]) for k in m))
+    length = np.array([sum(len(texts[k]) for k in m) for m in rows])
+    symbol, begin = np.zeros((length[0], len(rows)), np.int32), np.zeros((length[0], len(rows)), bool)
+    for r, m in enumerate(rows):
+        symbol[: length[r], r] = np.concatenate([texts[k] for k in m])
+        begin[np.cumsum([0, *(len(texts[k]) for k in m[:-1])]), r] = True
+    return symbol, begin, length
 
 
 def train(weights: dict, words: int, texts: list[np.ndarray], rate: float = 4e-3) -> tuple[dict, int]:
-    """Truncated backpropagation over texts of symbols: ``ROWS`` streams side by side, the state carried across windows.
-
-    A stream that ends takes the next text with the starting state.
-    """
+    """Truncated backpropagation over texts of symbols (none empty), which follow each other in streams side by side."""
     weights = {k: v.copy() for k, v in weights.items()}
     adam, seen = gru.Adam(weights, rate), 0
-    queue = deque(sorted(texts, key=lambda t: -(len(t) // LONG)))
-    rows: list[tuple[np.ndarray, int]] = []
-    h = np.zeros((0, STATE), F32)
-    while rows or queue:
-        new = [(queue.popleft(), 0) for _ in range(min(ROWS - len(rows), len(queue)))]
-        old, rows = len(rows), rows + new
-        h = np.concatenate([h, np.repeat(weights["start"], len(new), 0)])
-        steps = min(WINDOW, max(len(t) - at for t, at in rows))
-        symbol = np.zeros((steps, len(rows)), np.int64)
-        real = np.zeros((steps, len(rows)), bool)
-        for k, (text, at) in enumerate(rows):
-            part = text[at : at + steps]
-            symbol[: len(part), k], real[: len(part), k] = part, True
+    all_symbols, begins, length = streams(texts)
+    h = np.repeat(weights["start"], len(length), 0)
+    for at in range(0, len(all_symbols), WINDOW):
+        live = int(np.searchsorted(-length, -at, "left"))
+        symbol = all_symbols[at : at + WINDOW, :live]
+        real = np.arange(at, at + len(symbol))[:, None] < length[:live]
+        begin = begins[at : at + WINDOW, :live]
+        resets = [np.flatnonzero(b) for b in begin]
         grads = {k: np.zeros_like(v) for k, v in weights.items()}
         x = weights["embed"][symbol]
-        states, kept = gru.forward(x @ weights["w"], h, weights["u"], weights["b"])
-        before = np.concatenate([h[None], states[:-1]])
-        _, d = token_log_probs(weights, words, before[real], symbol[real], grads)
-        scale = F32(1 / real.sum())
+        states, kept = gru.forward(x @ weights["w"], h[:live], weights["u"], weights["b"], resets, weights["start"])
+        before = kept[0][:-1]
         d_before = np.zeros_like(before)
-        d_before[real] = d
-        d_states = np.zeros_like(states)
-        d_states[:-1] = d_before[1:]
-        dx, grads["u"], grads["b"], d_first = gru.backward(d_states, kept, weights["u"])
-        grads["start"] += (d_first + d_before[0])[old:].sum(0, keepdims=True)
+        d_before[real] = token_log_probs(weights, words, before[real], symbol[real], grads)[1]
+        grads["start"] += d_before[begin].sum(0)
+        d_before[begin] = 0
+        d_states = np.concatenate([d_before[1:], np.zeros_like(d_before[:1])])
+        dx, grads["u"], grads["b"], _ = gru.backward(d_states, kept, weights["u"], resets, grads["start"][0])
         flat = dx.reshape(-1, 3 * STATE)
         grads["w"] += x.reshape(-1, EMBED).T @ flat
         grads["embed"] += gru.scatter_rows(len(weights["embed"]), symbol.ravel(), flat @ weights["w"].T)
-        adam.update(weights, {k: g * scale for k, g in grads.items()})
-        seen += int(real.sum())
-        on = [k for k, (text, at) in enumerate(rows) if len(text) > at + steps]
-        rows, h = [(rows[k][0], rows[k][1] + steps) for k in on], states[-1][on]
+        now = int(real.sum())
+        adam.update(weights, {k: g * F32(1 / now) for k, g in grads.items()})
+        seen += now
+        h = states[-1]
     return weights, seen
 
 
@@ -297,36 +294,79 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
 
 
 def deal(texts: DataFrame, held) -> DataFrame:
-    """h and symbols of every text (columns ``doc_id``, ``text``); h differs among copies, equal rows included.  ``held``: the broadcast lexicon."""
+    """All that training and scoring need of every text (columns ``doc_id``, ``text``, and ``held_out`` if there).
+
+    h differs among copies, equal rows included.  ``held``: the broadcast lexicon.
+    """
 
     def symbols(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = held.value
+        unit = np.log10(lex.total + 0.5 * (lex.distinct + 1))
+        count_log = np.log10(np.maximum(lex.count, 0) + 0.5)
+        inner_log = np.log10(np.maximum(lex.count - DISCOUNT, 1e-9))
+        class_log = np.log10(np.maximum(lex.class_total, 1))
         met: dict[int, int] = {}  # of one partition of the input
         for batch in batches:
-            for a, b, some in slices(batch.column(1)):
+            for a, b, some in slices(batch.column(3)):
                 token, suffix, first = tokens(some)
-                found = held.value.symbols(token, suffix)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.astype(np.int16)))
+                n, doc = np.diff(first), np.repeat(np.arange(some.n), np.diff(first))
+                symbol, kind, at, known = lex.place(token, suffix)
+                static = known & (symbol < 0)
+                n_rare = np.bincount(doc[~known], minlength=some.n)
+                base = np.bincount(doc[known], count_log[at[known]], some.n) - n * unit
+                inner = np.bincount(doc[static], inner_log[at[static]] - class_log[kind[static]], some.n)
+                symbol = np.where(symbol < 0, lex.words + kind, symbol).astype(np.int16)
+                rare = pa.StructArray.from_arrays([pa.array(token[~known].view(np.int64)), pa.array(kind[~known].astype(np.int32))], names=["token", "kind"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), v) for k, v in ((n_rare, rare), (n, pa.array(symbol)))]
                 again = []
                 for key in batch.column(0).slice(a, b - a).to_pylist():
                     again.append(met.get(key, 0))
                     met[key] = again[-1] + 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(again, pa.int64()), lists], names=["h", "again", "symbols"])
+                same = [batch.column(k).slice(a, b - a) for k in range(3)]
+                made = [pa.array(x) for x in (np.array(again, np.int64), n, n - n_rare, base, inner.astype(float))]  # of nothing, bincount makes integers
+                yield pa.RecordBatch.from_arrays([*same, *made, *lists], names=["h", "doc_id", "held_out", "again", "n_tokens", "n_held", "base", "inner", "rare", "symbols"])
 
-    rows = texts.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(symbols, "h long, again long, symbols array<short>")
+    held_out = F.col("held_out") if "held_out" in texts.columns else F.lit(False)
+    rows = texts.select(F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(
+        symbols, "h long, doc_id long, held_out boolean, again long, n_tokens long, n_held long, base double, inner double, rare array<struct<token:long,kind:int>>, symbols array<short>"
+    )
     salted = F.when(F.col("again") > 0, F.xxhash64("h", "again", F.spark_partition_id())).otherwise(F.col("h"))
-    return rows.select(salted.alias("h"), "symbols")
+    return rows.withColumn("h", salted).drop("again")
+
+
+def average(copies: DataFrame, tasks: int) -> DataFrame:
+    """``part, weights``: mean of the copies of each part, weighted by ``seen``, in groups of ``AVERAGED``."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, total = pdf["seen"].sum(), 0.0
+        for w, n in zip(pdf["weights"], pdf["seen"], strict=True):
+            total = total + np.frombuffer(w, F32).astype(np.float64) * (n / seen)
+        return pdf[["task", "part"]].iloc[:1].assign(seen=seen, weights=[total.astype(F32).tobytes()])
 
+    while True:
+        tasks = -(-tasks // AVERAGED)
+        copies = copies.withColumn("task", F.floor(F.col("task") / AVERAGED).cast("int"))
+        copies = copies.groupBy("task", "part").applyInPandas(add, "task int, part int, seen long, weights binary")
+        if tasks <= 1:
+            return copies.select("part", "weights")
+
+
+def fit(texts: DataFrame, lex: Lexicon) -> dict:
+    """Weights trained on every text (columns ``doc_id``, ``text``) once."""
+    dealt = materialize(deal(texts, texts.sparkSession.sparkContext.broadcast(lex)), "lm-training")
+    weights = fit_symbols(dealt, lex)
+    drop_tables(dealt)
+    return weights
 
-def fit(texts: DataFrame, lex: Lexicon, rounds: int = 4, tokens_a_task: int = 1_200_000) -> dict:
-    """Weights trained on every text (columns ``doc_id``, ``text``) once, by averaged local SGD."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(lex)
-    dealt = materialize(deal(texts, held), "lm-training")
+
+def fit_symbols(dealt: DataFrame, lex: Lexicon, rounds: int = 4, tokens_a_task: int = 4_800_000) -> dict:
+    """Weights trained by averaged local SGD on every text (columns ``h``, ``symbols``) once."""
+    spark = dealt.sparkSession
     size = dealt.agg(F.sum(F.size("symbols"))).first()[0] or 0
     weights = new_weights(lex)
     if not size:
         return weights
-    tasks = max(1, round(size / rounds / tokens_a_task))
+    tasks, words = max(1, round(size / rounds / tokens_a_task)), lex.words
     chunk = 32_768
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(weights)
@@ -335,18 +375,15 @@ def fit(texts: DataFrame, lex: Lexicon, rounds: int = 4, tokens_a_task: int = 1_
             mine = [(k, np.array(t)) for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True)]
             if mine:
                 mine.sort(key=lambda x: x[0])
-                trained, seen = train(now.value, held.value.words, [t for _, t in mine], rate=8e-3 / (1 + turn))
+                trained, seen = train(now.value, words, [t for _, t in mine], rate=1e-2 / (1 + turn))
                 flat = _pack(trained)
                 parts = range(0, len(flat), chunk)
-                yield pa.RecordBatch.from_arrays([pa.array([p // chunk for p in parts], pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[p : p + chunk].astype(F32).tobytes() for p in parts], pa.binary())], names=["part", "seen", "weights"])
-
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            stack = np.stack([np.frombuffer(w, F32) for w in pdf["weights"]]).astype(np.float64)
-            return pd.DataFrame({"part": pdf["part"].iloc[:1], "weights": [np.average(stack, 0, pdf["seen"]).astype(F32).tobytes()]})
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(parts), t) for x, t in ((task, pa.int32()),)] + [pa.array([p // chunk for p in parts], pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[p : p + chunk].astype(F32).tobytes() for p in parts], pa.binary())], names=["task", "part", "seen", "weights"])
 
-        share_of_turn = dealt.where(F.pmod(F.shiftright("h", 20), F.lit(rounds)) == turn)
-        copies = share_of_turn.repartition(tasks, F.shiftright("h", 30)).mapInArrow(one, "part int, seen long, weights binary")
-        got = copies.groupBy("part").applyInPandas(mean, "part int, weights binary").collect()  # one model
+        share_of_turn = dealt.where(F.pmod(F.shiftright("h", 20), F.lit(rounds)) == turn).select("h", "symbols")
+        copies = share_of_turn.repartition(tasks, F.shiftright("h", 30)).mapInArrow(one, "task int, part int, seen long, weights binary")
+        got = average(copies, tasks).collect()  # one model
         if got:
             flat = np.concatenate([np.frombuffer(r.weights, F32) for r in sorted(got, key=lambda r: r.part)])
             weights = _unpack(flat, weights)
@@ -392,47 +429,27 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5) ->
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole text."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == held_out_fold).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    training = rows.where(~F.col("held_out")).select("doc_id", "text")
-    vocab = materialize(vocabulary(training), "lm-vocabulary")
+    vocab = materialize(vocabulary(rows.where(~F.col("held_out"))), "lm-vocabulary")
     lex = lexicon(vocab)
-    weights = fit(training, lex)
-    held = spark.sparkContext.broadcast((lex, weights))
+    held_lex = spark.sparkContext.broadcast(lex)
+    dealt = materialize(deal(rows, held_lex).withColumn("row", F.monotonically_increasing_id()), "lm-symbols")
+    held = spark.sparkContext.broadcast(fit_symbols(dealt.where(~F.col("held_out")), lex))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, weights = held.value
-        unit = np.log10(lex.total + 0.5 * (lex.distinct + 1))
-        count_log = np.log10(np.maximum(lex.count, 0) + 0.5)
-        inner_log = np.log10(np.maximum(lex.count - DISCOUNT, 1e-9))
-        class_log = np.log10(np.maximum(lex.class_total, 1))
         for batch in batches:
-            for a, b, some in slices(batch.column(2), SLICE):
-                symbols, lengths, base, inner, rare_token, rare_kind, n_rare = ([] for _ in range(7))
-                for part in small_parts(some):
-                    token, suffix, first = tokens(part)
-                    doc = np.repeat(np.arange(part.n), np.diff(first))
-                    symbol, kind, at, known = lex.place(token, suffix)
-                    lengths.append(np.diff(first))
-                    base.append(np.bincount(doc[known], count_log[at[known]], part.n))
-                    static = known & (symbol < 0)
-                    inner.append(np.bincount(doc[static], inner_log[at[static]] - class_log[kind[static]], part.n))
-                    symbols.append(np.where(symbol < 0, lex.words + kind, symbol).astype(np.int32))
-                    rare_token.append(token[~known])
-                    rare_kind.append(kind[~known].astype(np.int32))
-                    n_rare.append(np.bincount(doc[~known], minlength=part.n))
-                n, n_rare = np.concatenate(lengths), np.concatenate(n_rare)
-                model = score_texts(weights, lex, np.concatenate(symbols), np.concatenate([[0], np.cumsum(n)])) / np.log(10) + np.concatenate(inner)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)),
-                    pa.StructArray.from_arrays([pa.array(np.concatenate(rare_token).view(np.int64)), pa.array(np.concatenate(rare_kind))], names=["token", "kind"]),
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(n - n_rare), pa.array(np.concatenate(base) - n * unit), pa.array(model), lists],
-                    names=["doc_id", "held_out", "n_tokens", "n_held", "base", "model", "rare"],
-                )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_held long, base double, model double, rare array<struct<token:long,kind:int>>"
-    parts = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-    rare = parts.select("row", F.explode("rare").alias("r")).groupBy("row", "r.token", "r.kind").agg(F.count("*").alias("k"))
+            lists = batch.column(batch.num_columns - 1)
+            first = lists.offsets.to_numpy().astype(np.int64)
+            symbol = lists.values.to_numpy()
+            at = 0
+            while at < len(lists):
+                to = max(at + 1, int(np.searchsorted(first, first[at] + SLICE, "right")) - 1)
+                model = score_texts(held.value, held_lex.value, symbol[first[at] : first[to]].astype(np.int32), first[at : to + 1] - first[at]) / np.log(10)
+                same = [batch.column(k).slice(at, to - at) for k in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(model)], names=[*batch.schema.names[:-1], "model"])
+                at = to
+
+    parts = dealt.select("row", "doc_id", "held_out", "n_tokens", "n_held", "base", "inner", "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_held long, base double, inner double, model double")
+    rare = dealt.select("row", F.explode("rare").alias("r")).groupBy("row", "r.token", "r.kind").agg(F.count("*").alias("k"))
     per_class = spark.createDataFrame([(k, float(t), float(v)) for k, (t, v) in enumerate(zip(lex.class_total, lex.class_types, strict=True))], "kind int, class_total double, class_types double")
     found = rare.join(vocab.select("token", "n"), "token", "left").join(F.broadcast(per_class), "kind")
     seen = F.col("n").isNotNull()
@@ -445,5 +462,5 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, folds: int = 5) ->
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return parts.join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_held") + zero("known_tail")).cast("long").alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("base_tail")).alias("base_score"), (F.col("model") + zero("model_tail")).alias("score"),
+        (F.col("base") + zero("base_tail")).alias("base_score"), (F.col("model") + F.col("inner") + zero("model_tail")).alias("score"),
     )
