@@ -4,6 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from typing import Any
+from weakref import WeakSet
+
+_filled: WeakSet = WeakSet()
+
+
+def release() -> None:
+    """Empty all caches that earlier tasks of this worker filled, before a task of another kind takes memory."""
+    for cache in list(_filled):
+        cache.young, cache.old = {}, {}
+    _filled.clear()
 
 
 class TwoGenerations:
@@ -20,6 +30,7 @@ class TwoGenerations:
 
     def missing(self, keys: set) -> list:
         """Those of ``keys`` that the caller must add to ``young``; the others are there after this call."""
+        _filled.add(self)
         new = keys - self.young.keys()
         if len(self.young) + len(new) > self.limit:
             self.old, self.young, new = self.young, {}, keys

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .caches import release
+
 #: Bytes of text that are worked on at once; arrays over them take about 50 times as much.
 SLICE_BYTES = 1 << 20
 
@@ -91,8 +93,10 @@ class Texts:
 def slices(column: pa.ChunkedArray | pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """Row ranges of a binary column of about ``size`` bytes each; a longer text makes a range of its own.
 
-    Null counts as empty.
+    Null counts as empty.  Caches that tasks of other operators left in this
+    worker are freed.
     """
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")
