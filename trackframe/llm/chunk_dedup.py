@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import SALT, copied, dealt, hot_keys
 from .spans import KEY, merge_spans, packed, rewrite
 from .storage import drop_tables, materialize
 from .textops import SPACE, Texts, other_hash, prefix_hash, slices, span_hash
@@ -109,12 +110,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """Key and ``note``: the places of a document's chunks that occurred before."""
     chunks = materialize(packed(docs).select(*KEY, "__text").mapInArrow(_chunks, f"digest long, more int, {KEY[0]} long, {KEY[1]} long, place int"), "chunks")
     # Digests alone are counted first, so that places travel once and the rest works on repeated chunks only.
-    twice = chunks.groupBy(*DIGEST).count().where("count > 1").select(*DIGEST)
-    repeated = materialize(chunks.join(twice, list(DIGEST), "left_semi"), "chunks-repeated")
-    first = repeated.groupBy(*DIGEST).agg(F.min(F.struct(*KEY, "place")).alias("first"))
-    again = repeated.join(first, list(DIGEST)).where(~F.struct(*KEY, "place").eqNullSafe(F.col("first")))
+    keys = list(DIGEST)
+    twice = materialize(chunks.groupBy(*keys).count().where("count > 1"), "chunk-counts")
+    hot = hot_keys(twice, keys, chunks.count())
+    salted = [*keys, SALT]
+    repeated = dealt(chunks, hot, keys, [*KEY, "place"]).join(copied(twice.select(*keys), hot, keys), salted, "left_semi")
+    repeated = materialize(repeated, "chunks-repeated")
+    first = repeated.groupBy(*keys).agg(F.min(F.struct(*KEY, "place")).alias("first"))
+    again = repeated.join(copied(first, hot, keys), salted).where(~F.struct(*KEY, "place").eqNullSafe(F.col("first")))
     notes = materialize(again.groupBy(*KEY).agg(F.collect_set("place").alias("note")), "chunk-notes")
-    drop_tables(chunks, repeated)
+    drop_tables(chunks, twice, repeated)
     return notes
 
 

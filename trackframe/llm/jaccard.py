@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .skew import SALT, copied, dealt, hot_keys
 from .spans import KEY, WHOLE, join_key, packed, unpacked
 from .storage import drop_tables, materialize
 from .textops import Texts, mix, prefix_hash, shingle_hashes, slices, span_hash
@@ -477,11 +478,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     """
     join = JaccardJoin(docs, width, percent)
     parts = join.node_components()
-    labelled = join.nodes.join(parts, "node", "left").select(*KEY, "n", "node", F.coalesce("component", "node").alias("part"))
-    least = labelled.where("part is not null").groupBy("part").agg(F.min(KEY[0]).alias("least"))
-    out = labelled.join(least, "part", "left")
+    # Documents to sets, sets to components and back; one set or one component may hold much of the table.
+    per = join.nodes.where("node is not null").groupBy("node").agg(F.min(KEY[0]).alias("least"), F.count("*").alias("count"))
+    per = materialize(per.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "jaccard-sets-of")
+    of_part = materialize(per.groupBy("part").agg(F.min("least").alias("least"), F.count("*").alias("count")), "jaccard-parts")
+    hot = hot_keys(of_part, ["part"], per.count())
+    of_node = dealt(per.select("node", "part"), hot, ["part"], ["node"]).join(copied(of_part.select("part", "least"), hot, ["part"]), ["part", SALT]).select("node", "least")
+    hot = hot_keys(per, ["node"], join.nodes.count())
+    with_set = dealt(join.nodes.where("node is not null").select(*KEY, "n", "node"), hot, ["node"], list(KEY)).join(copied(of_node, hot, ["node"]), ["node", SALT])
+    out = with_set.select(*KEY, "n", "least").unionByName(join.nodes.where("node is null").select(*KEY, "n", F.lit(None).cast("long").alias("least")))
     out = materialize(out.select(F.col(KEY[0]).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", KEY[0]).alias("component_id")), "jaccard-components")
-    drop_tables(join.nodes, parts)
+    drop_tables(join.nodes, parts, per, of_part)
     return out
 
 
