@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+_ARC = "aggregate(sequence(2, size(x)), array(0D), (acc, i) -> array_append(acc, element_at(acc, -1) + sqrt(pow(element_at(x, i) - element_at(x, i-1), 2) + pow(element_at(y, i) - element_at(y, i-1), 2))))"
+
+
+def _place(v: str) -> str:
+    """``v`` at n places equally far along the path whose lengths up to each point are ``a``."""
+    at = "element_at(a, -1)*j/(n-1)"
+    return (
+        f"transform(sequence(0, n-1), j -> element_at(transform(array(greatest(1, least(size(a)-1, size(filter(a, c -> c <= {at}))))), k -> CASE WHEN element_at(a, k+1) <= {at} THEN element_at({v}, k+1)"
+        f" ELSE element_at({v}, k) + (element_at({v}, k+1) - element_at({v}, k)) * ({at} - element_at(a, k)) / (element_at(a, k+1) - element_at(a, k)) END), 1))"
+    )
+
+
 #: Fixed names; bodies are plain SQL, so they are inlined and stay in the JVM.
 _FUNCTIONS = {
     "tf_iou": (
@@ -15,6 +27,15 @@ _FUNCTIONS = {
     "tf_pad_edge": ("v ARRAY<DOUBLE>, n INT", "ARRAY<DOUBLE>", "CASE WHEN size(v) >= n THEN slice(v, 1, n) ELSE concat(v, array_repeat(coalesce(try_element_at(v, -1), 0D), n - size(v))) END"),
     "tf_softmax": ("v ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "transform(v, x -> exp(x - array_max(v)) / aggregate(v, 0D, (s, y) -> s + exp(y - array_max(v))))"),
     "tf_clip": ("v DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE", "greatest(least(v, high), low)"),
+    "tf_gaussian_smooth": (
+        "v ARRAY<DOUBLE>, sigma DOUBLE", "ARRAY<DOUBLE>",
+        "transform(sequence(1, size(v)), i -> aggregate(sequence(-int(floor(4*sigma+0.5)), int(floor(4*sigma+0.5))), 0D, (s, k) -> s + exp(-0.5D*(k/sigma)*(k/sigma)) * element_at(v, greatest(1, least(size(v), i+k))))"
+        " / aggregate(sequence(-int(floor(4*sigma+0.5)), int(floor(4*sigma+0.5))), 0D, (s, k) -> s + exp(-0.5D*(k/sigma)*(k/sigma))))",
+    ),
+    "tf_resample": (
+        "x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, n INT", "STRUCT<x: ARRAY<DOUBLE>, y: ARRAY<DOUBLE>>",
+        f"CASE WHEN size(x) < 2 THEN named_struct('x', array_repeat(element_at(x, 1), n), 'y', array_repeat(element_at(y, 1), n)) ELSE element_at(transform(array({_ARC}), a -> named_struct('x', {_place('x')}, 'y', {_place('y')})), 1) END",
+    ),
     "tf_center": ("p DOUBLE, s DOUBLE", "DOUBLE", "p + s / 2"),
 }
 

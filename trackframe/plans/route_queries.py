@@ -483,6 +483,19 @@ def _(f):
     return rounded(f.spark.sql("SELECT route_id, element_at(tf_softmax(slice(y_coords, 1, 5)), 1) AS p1, CAST(size(tf_pad_edge(slice(y_coords, 1, 5), 8)) AS BIGINT) AS n, tf_clip(2D, 0D, 1D) AS clipped FROM {r}", r=f.routes))
 
 
+@query("sql_path_functions", "routes", sql="""WITH w AS (SELECT list_transform(range(-10, 11), lambda k: exp(-0.5*(k/2.5::DOUBLE)*(k/2.5::DOUBLE))) w),
+  a AS (SELECT route_id, x_coords x, y_coords y, list_transform(range(1, 65), lambda j: list_sum(list_transform(range(-10, 11), lambda k: w[k+11]*y_coords[greatest(1, least(64, j+k))]))/list_sum(w)) s, list_transform(range(1, 65), lambda i: coalesce(list_sum(list_transform(range(2, i+1), lambda j: sqrt(pow(x_coords[j]-x_coords[j-1], 2)+pow(y_coords[j]-y_coords[j-1], 2)))), 0.0)) c FROM routes, w),
+  k AS (SELECT *, unnest(range(16)) j FROM a), p AS (SELECT *, c[64]*j/15 pos, greatest(1, least(63, len(list_filter(c, lambda v: v <= c[64]*j/15)))) k FROM k)
+  SELECT route_id, round(list_sum(list_transform(range(1, 65), lambda i: any_value(s)[i]*i)), 5) AS smooth, round(sum((j+1)*CASE WHEN c[k+1] <= pos THEN x[k+1] ELSE x[k]+(x[k+1]-x[k])*(pos-c[k])/(c[k+1]-c[k]) END), 5) AS along_x, round(sum((j+1)*CASE WHEN c[k+1] <= pos THEN y[k+1] ELSE y[k]+(y[k+1]-y[k])*(pos-c[k])/(c[k+1]-c[k]) END), 5) AS along_y FROM p GROUP BY 1""")
+def _(f):
+    from ..functions.sql_functions import register
+
+    register(f.spark)
+    found = f.spark.sql("SELECT route_id, tf_gaussian_smooth(y_coords, 2.5D) AS s, tf_resample(x_coords, y_coords, 16) AS p FROM {r}", r=f.routes)
+    placed = lambda c: _SUM(F.transform(c, lambda v, i: v * (i + 1)))
+    return rounded(found.select("route_id", placed("s").alias("smooth"), placed("p.x").alias("along_x"), placed("p.y").alias("along_y")), 5)
+
+
 @query("udtf_route_points", "routes", sql="SELECT route_id, count(*) AS points, round(list_sum(any_value(y_coords)), 6) AS sum_y FROM (SELECT route_id, y_coords, unnest(x_coords) FROM routes) GROUP BY 1")
 def _(f):
     from ..functions.sql_functions import register
