@@ -53,9 +53,51 @@ def test_binomial_bound_is_exact():
         assert abs(quality.binomial_at_most(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-12
 
 
-def test_cutoffs_stop_at_the_first_failure():
-    tests = {("en", "s"): [(0, 5), (0, 9), (40, 90), (0, 99)]}
-    assert quality.choose_cutoffs(tests, {"en": 4000}, 0.05, 0.05) == {("en", "s"): 1}
+def test_levels_stop_at_the_first_failure():
+    assert quality.choose_level([0, 0, 400, 0], [5, 9, 90, 99], 4000, 100, 0.05, 0.01) == 1
+    assert quality.choose_level([0, 0, 1, 2], [9, 9, 9, 9], 4000, 100, 0.05, 0.01) == 0  # the most lenient that does as well
+    assert quality.choose_level([0, 0, 90], [80, 99, 100], 4000, 100, 0.05, 0.01) == 1  # one bad document more, 90 good ones lost
+    assert quality.choose_level([0, 0], [0, 0], 4000, 100, 0.05, 0.01) is None and quality.choose_level([0], [9], 10, 9, 0.05, 0.01) is None
+
+
+def test_verdicts_equal_brute_force(spark):
+    from math import comb
+
+    r = np.random.default_rng(21)
+    known = ["".join(chr(97 + c) for c in r.integers(0, 26, 5)) for _ in range(4000)]
+    docs, labels = [], []
+    for i in range(1500):
+        lang, bad = [None, "a", "b"][i % 3], i % 10 == 0
+        words = [known[int(k)] for k in r.integers(0, 4000, int(r.integers(20, 60)))]
+        docs.append((i, " ".join(w + "$$$" * (bad and k % 2) for k, w in enumerate(words)) if i % 50 else None, lang))
+        if i % 3 != 2 or i < 90:  # too few of stratum b
+            labels.append((i, int(not bad)))
+    docs += docs[:200] * 3  # copies are no further trials
+    got = quality.quality_verdicts(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    truth, rejected_at = dict(labels), {}
+    for x in got:
+        values = {"n_words": x.n_words, "word_chars": x.word_chars, "n_symbols": x.n_symbols, "n_dup_lines": x.n_dup_lines, "n_repeat_words": x.n_repeat_words, "greatest": max}
+        above = [[eval(s.formula, values) > c for c in s.grid] for s in quality.SIGNALS]
+        rejected_at[x.doc_id] = [any(a[k] for a in above) for k in range(16)]
+        assert x.base_failed == (x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words)
+    seen = {(x.lang, x.doc_id) for x in got if not x.base_failed and x.doc_id in truth}
+    assert len({lang for lang, _ in seen}) == 3
+    level = {}
+    for lang in (None, "a", "b"):
+        most = 0.0
+        good = [i for s, i in seen if s == lang and truth[i]]
+        bad = [i for s, i in seen if s == lang and not truth[i]]
+        for k in range(16):
+            wrong = sum(rejected_at[i][k] for i in good)
+            if sum(comb(len(good), j) * 0.05**j * 0.95 ** (len(good) - j) for j in range(wrong + 1)) > 0.05 / 3:
+                break
+            worth = sum(rejected_at[i][k] for i in bad) / len(bad) - wrong / len(good)
+            if worth > most:
+                level[lang], most = k, worth
+    assert set(level) == {None, "a"}
+    for x in got:
+        assert x.kept == (not x.base_failed and not (x.lang in level and rejected_at[x.doc_id][level[x.lang]]))
+    assert all(not x.kept for x in got if x.doc_id % 10 == 0 and x.doc_id % 3 != 2) and sum(x.kept for x in got) > 1500
 
 
 def test_quality_on_empty_and_odd_labels(spark, documents):

@@ -1,29 +1,37 @@
 """Quality rules with risk-controlled cutoffs.
 
 Base counts are exact per text.  On top of a fixed base rule the method picks
-cutoffs of several signals from labelled documents: in each stratum (language)
-and for each signal, cutoffs are tried from lenient to strict, and the
-strictest is kept for which an exact binomial (Clopper-Pearson) upper bound on
-the share of good documents that it rejects stays below the signal's part of
-the allowed risk.  Trying stops at the first cutoff that fails (fixed-sequence
-testing), so each signal of a stratum spends its error level once; Bonferroni
-over strata and signals bounds the chance that any chosen cutoff breaks its
-promise.  Strata without enough labelled good documents get no cutoff.
+one of several levels from labelled documents.  A level sets a cutoff for each
+of several signals, and levels run from lenient to strict, so what one rejects
+the next rejects as well.  In each stratum (language) the levels are tried in
+this order: a level passes when an exact binomial (Clopper-Pearson) upper bound
+on the share of good documents that it rejects stays below the allowed risk.
+Trying stops at the first level that fails (fixed-sequence testing), so a
+stratum spends its error once; Bonferroni over strata bounds the chance that any
+chosen level breaks its promise.  With a risk of 0.05 and four strata at 0.05
+together, 86 good labelled documents are enough if none of them is rejected.
+Strata with fewer get no cutoff.
 
 The grids are fixed before any label is seen, so all labelled documents serve as
-holdout.  Bad documents only keep a cutoff from being chosen where it rejects
-none of them.
+holdout.  Of the levels that pass, the one is taken whose share of rejected bad
+documents exceeds that of good ones the most (the most lenient on ties); if none
+rejects a larger share of bad ones, the stratum gets no cutoff.
 
 Null text: all counts 0 and ``base_failed``.  Null language is a stratum of its
 own.  Labels with null id or quality are left out; repeated labels of a
-document count once (good only if all say so).
+document count once (good only if all say so).  Repeated rows of a labelled
+document are one trial in a stratum, rejected when any of them is.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
 from math import exp, lgamma, log, log1p
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +48,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Signal:
-    """A ratio of base counts; a document is rejected when it is above the cutoff."""
+    """A ratio of base counts; a document is rejected when it is above the cutoff of the level."""
 
     name: str
     formula: str
@@ -48,10 +56,10 @@ class Signal:
 
 
 def _grid(low: float, high: float, steps: int = 16) -> tuple[float, ...]:
-    return tuple(round(float(x), 6) for x in np.linspace(high, low, steps))
+    return tuple(round(float(x), 6) for x in np.geomspace(high, low, steps))
 
 
-#: Cutoffs run from lenient to strict.  The strictest ones still leave ordinary prose alone.
+#: Cutoffs run from lenient to strict, one for each level.  The strictest ones still leave ordinary prose alone.
 SIGNALS = (
     Signal("symbol_share", "n_symbols / greatest(word_chars, 1)", _grid(0.02, 0.5)),
     Signal("dup_line_share", "n_dup_lines / greatest(n_dup_lines + 1, n_words / 8)", _grid(0.1, 0.9)),
@@ -139,50 +147,48 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
     return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
 
 
-def choose_cutoffs(rejected: dict[tuple, list[tuple[int, int]]], good: dict, risk: float, error: float) -> dict[tuple, int]:
-    """Index of the chosen cutoff of each (stratum, signal): absent if none.
+def rejecting_level():
+    """The most lenient level at which some signal is above its cutoff; null where none is."""
+    above = lambda k: reduce(or_, (F.expr(s.formula) > s.grid[k] for s in SIGNALS))
+    return F.coalesce(*(F.when(above(k), k) for k in range(len(SIGNALS[0].grid))))
 
-    ``rejected`` holds for each cutoff, lenient to strict, how many good and how
-    many bad labelled documents it rejects; ``good`` the good ones of a stratum.
-    A cutoff passes when, if its risk were at the limit, as few rejections as
-    seen had at most the probability ``error / (strata * signals)``.
+
+def choose_level(wrong: list[int], right: list[int], good: int, bad: int, risk: float, level: float) -> int | None:
+    """The chosen level of a stratum, or None.
+
+    ``wrong`` and ``right`` say for each level how many of the ``good`` and the
+    ``bad`` labelled documents it rejects.  A level passes when, if its risk were
+    at the limit, as few of the good rejected as seen had at most the probability ``level``.
     """
-    level, part = error / max(1, len(rejected)), risk / len(SIGNALS)
-    chosen = {}
-    for key, counts in rejected.items():
-        for k, (wrong, right) in enumerate(counts):
-            if binomial_at_most(wrong, good[key[0]], part) > level:
-                break
-            if right:
-                chosen[key] = k
-    return chosen
+    passed = 0
+    while passed < len(wrong) and binomial_at_most(wrong[passed], good, risk) <= level:
+        passed += 1
+    worth = [r / max(1, bad) - w / max(1, good) for w, r in zip(wrong[:passed], right, strict=False)]
+    best = worth.index(max(worth)) if worth else None
+    return best if best is not None and right[best] and worth[best] > 0 else None
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05, label_id: str = "doc_id") -> DataFrame:
     """doc_id, lang, base counts, base_failed, kept.
 
     ``risk``: allowed share of good documents that the cutoffs of a stratum
-    reject in all; ``error``: chance that any cutoff exceeds its part of it.
-    ``label_id`` names
-    the column that labels go by.  ``kept`` is false where the base rule or a cutoff rejects.  What is
-    collected is one row of counts for each stratum.
+    reject; ``error``: chance that this share is above it in any stratum.
+    ``label_id`` names the column that labels go by.  ``kept`` is false where
+    the base rule or a cutoff rejects.  What is collected is one row of counts
+    for each stratum, label and level.
     """
-    counts = materialize(base_counts(docs), "quality-counts").withColumn("base_failed", base_failed())
-    signal = {s.name: F.expr(s.formula) for s in SIGNALS}
-    truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    truth = truth.withColumnRenamed("doc_id", "__labelled")
-    seen = counts.where(~F.col("base_failed")).join(truth, F.col(label_id) == F.col("__labelled"))
-    per = seen.groupBy("lang", "quality").agg(
-        F.count("*").alias("n"),
-        *(F.array(*(F.count_if(signal[s.name] > c) for c in s.grid)).alias(s.name) for s in SIGNALS),
-    )
-    rows = per.collect()  # two for each language
-    good = {r.lang: r.n for r in rows if r.quality >= 1}
-    of = {(r.lang, int(r.quality >= 1)): r for r in rows}
-    tests = {(lang, s.name): [(w, of[lang, 0][s.name][k] if (lang, 0) in of else 0) for k, w in enumerate(of[lang, 1][s.name])] for lang in good for s in SIGNALS}
-    chosen = choose_cutoffs(tests, good, risk, error)
-    grids = {s.name: s.grid for s in SIGNALS}
+    counts = materialize(base_counts(docs), "quality-counts").withColumns({"base_failed": base_failed(), "_level": rejecting_level()})
+    truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") >= 1).alias("_good")).withColumnRenamed("doc_id", "_labelled")
+    seen = counts.where(~F.col("base_failed")).join(truth, F.col(label_id) == F.col("_labelled"))
+    trials = seen.groupBy("lang", "_good", "_labelled").agg(F.min("_level").alias("_level"))
+    tally: dict = {}
+    for r in trials.groupBy("lang", "_good", "_level").count().collect():
+        tally.setdefault(r.lang, {True: Counter(), False: Counter()})[r._good][r._level] = r["count"]
+    levels = range(len(SIGNALS[0].grid))
     cut_off = F.lit(False)
-    for (lang, name), k in sorted(chosen.items(), key=str):
-        cut_off = cut_off | (F.col("lang").eqNullSafe(F.lit(lang)) & (signal[name] > grids[name][k]))
+    for lang, of in sorted(tally.items(), key=str):
+        rejected = {good: list(accumulate(of[good][k] for k in levels)) for good in (True, False)}
+        chosen = choose_level(rejected[True], rejected[False], of[True].total(), of[False].total(), risk, error / len(tally))
+        if chosen is not None:
+            cut_off = cut_off | (F.col("lang").eqNullSafe(F.lit(lang)) & F.coalesce(F.col("_level") <= chosen, F.lit(False)))
     return counts.withColumn("kept", ~(F.col("base_failed") | cut_off)).select("doc_id", "lang", *COUNTS, "base_failed", "kept")
