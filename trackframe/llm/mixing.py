@@ -27,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import WHOLE, quoted, unpacked
 from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one task flies.
 BLOCK = 2_000
 #: Documents of a block that take no part in its flight, so that the next round and landing have choices.
-RESERVE = 12
+RESERVE = 16
 #: Blocks that meet in one block of the next round, with two undecided and the reserved documents each.
 MERGED = BLOCK // (2 + RESERVE)
 
@@ -167,6 +168,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling
 
 def mix_repeated(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling: float = 3.0) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``; a document taken k times appears k times."""
-    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__whole"))
-    mixed = mix_sources(packed, weights, ceiling, keep=("__whole",)).where("copies > 0")
-    return mixed.select("__whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__whole.*")
+    packed = docs.select("doc_id", "source", "text", F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias(WHOLE))
+    mixed = mix_sources(packed, weights, ceiling, keep=(WHOLE,)).where("copies > 0")
+    return unpacked(mixed.select(WHOLE, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
