@@ -36,6 +36,8 @@ from .storage import drop_tables, fresh_path, materialize
 
 #: Cached words of a worker; when full the cache starts anew.
 CACHE_WORDS = 400_000
+#: Tokens for each range of ids in which blocks are written.
+RANGE_TOKENS = 24_000_000
 
 
 #: Words of these characters are lower-cased, cut and spelled in bytes here, which equals the tokenizer's own
@@ -202,8 +204,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
         docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(lambda it: _encode(it, tokenizer_path, end_id, dictionary), "doc_id long, n_tokens long, order_key long, frame binary"),
         "frames",
     )
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (frames.agg(F.sum("n_tokens")).first()[0] or 0) // RANGE_TOKENS)
     (
-        frames.repartitionByRange("doc_id", "order_key")
+        frames.repartitionByRange(ranges, "doc_id", "order_key")
         .sortWithinPartitions("doc_id", "order_key", "n_tokens", "frame")
         .withColumn("shard", F.spark_partition_id())
         .mapInArrow(lambda it: _blocks(it, digest, block_bytes), BLOCK_SCHEMA)
