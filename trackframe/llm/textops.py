@@ -99,7 +99,9 @@ def slices(column: pa.ChunkedArray | pa.Array, size: int = SLICE_BYTES) -> Itera
     release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

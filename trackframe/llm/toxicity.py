@@ -234,21 +234,25 @@ def train(texts: Texts, label: np.ndarray, epochs: int = 9, rate: float = 8e-3,
 
 
 def training_texts(labelled: DataFrame, sample: int, sample_words: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``sample`` labelled texts of at most ``sample_words`` words together."""
-    size = F.length("text") / 6 + 1
-    ranked = []
-    for toxic in (1, 0):
-        ids = labelled.where(F.col("toxic") == toxic).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2).collect()
-        rows = labelled.where((F.col("toxic") == toxic) & F.col("doc_id").isin([i.doc_id for i in ids]))
-        ranked.append(rows.select("doc_id", F.col("text").cast("binary").alias("text"), size.alias("size")).where(F.col("size") <= sample_words / 20).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2).collect())
-    texts, label, words = [], [], 0.0
+    """At most ``sample`` labelled texts of at most ``sample_words`` words together.
+
+    Sizes are looked at first, by hash of the id (several rows of an id by hash of
+    the text); a text that does not fit into what is left is passed over.
+    """
+    key = F.xxhash64("text")
+    sizes = labelled.select("doc_id", key.alias("h"), "toxic", (F.coalesce(F.length("text"), F.lit(0)) / 6 + 1).alias("size")).dropDuplicates(["doc_id", "h"])
+    ranked = [sizes.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample // 2).collect() for toxic in (1, 0)]
+    chosen: dict[tuple, int] = {}
+    words = 0.0
     for k in range(max(map(len, ranked))):
-        for toxic, rows in zip((1, 0), ranked, strict=True):
+        for rows in ranked:
             if k < len(rows) and words + rows[k]["size"] <= sample_words:
                 words += rows[k]["size"]
-                texts.append(bytes(rows[k].text))
-                label.append(toxic)
-    return texts, np.array(label)
+                chosen[rows[k].doc_id, rows[k].h] = rows[k].toxic
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame(list(chosen), "doc_id long, h long"))  # at most ``sample`` rows
+    found = labelled.select("doc_id", key.alias("h"), F.col("text").cast("binary").alias("text")).join(wanted, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    texts = {(r.doc_id, r.h): bytes(r.text or b"") for r in found.collect()}
+    return [texts[k] for k in chosen], np.array(list(chosen.values()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int = 3_000, sample_words: int = 1_000_000) -> DataFrame:
