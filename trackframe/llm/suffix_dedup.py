@@ -15,12 +15,13 @@ for about 150 of its strings.  Only suffixes at anchors are sorted:
 3. For the rest, one suffix for each distinct context fetches its bytes and its
    strings are compared with those of all suffixes that share the block: a string
    is repeated if two suffixes have it at the same place.  Blocks with very many
-   distinct contexts are compared by a shuffle of their single strings.
+   distinct contexts are compared by a shuffle of their single strings, packed.
 
 The strings that hold one anchor overlap, so what they remove of a document is
 one span.  Null text counts as empty; texts under 400 bytes lose nothing.
 Repeated rows are repeated documents: they remove each other's strings.
-Strings are compared by 64-bit hashes.
+Strings are compared by 64-bit hashes among those with the same 64-bit hash of
+the anchor block, so a clash takes equality in both.
 """
 
 from __future__ import annotations
@@ -42,9 +43,11 @@ _INDEX_BITS = 23
 #: Bytes of a text that are searched at once.
 SEGMENT = 4 << 20
 #: Distinct contexts of one anchor block that a task compares by itself.
-HOT_CONTEXTS = 50_000
+HOT_CONTEXTS = 2_000
 #: Contexts that a task holds at a time.
 HELD_CONTEXTS = 4_000
+#: Contexts of hot blocks whose strings a task packs at a time, and strings for each bucket of them.
+HELD_STRINGS, BUCKET_STRINGS = 2_000, 500_000
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -201,14 +204,78 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(pa.Table.from_batches(held))
 
 
-def _single_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extent(ctx: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, and the farthest and nearest start of their repeated strings."""
+    order = np.lexsort((back, ctx))
+    ctx, back = ctx[order], back[order]
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, int)
+    return ctx[first], back[np.append(first[1:], len(ctx))[: len(first)] - 1], back[first]
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key, and for each place in it the number of its equals."""
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, bool)
+    run = np.cumsum(new) - 1
+    return order, np.bincount(run)[run] if len(key) else run
+
+
+def _packed_strings(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Strings of contexts of hot blocks by bucket of their hash: keys, contexts (-1: known to be repeated, or not asked) and starts.
+
+    What repeats among the contexts at hand travels once, so a string sends a
+    bounded number of entries for each task however many contexts hold it.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            block, place, fate = (part.column(k).to_numpy() for k in (0, 3, 4))
+        for at in range(0, batch.num_rows, HELD_STRINGS):
+            part = batch.slice(at, HELD_STRINGS)
+            block, place, fate, ctx = (part.column(k).to_numpy() for k in (0, 3, 4, 6))
             row, back, key = _strings(block, place, part.column(5))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(1).take(take), part.column(2).take(take), pa.array(place[row]), pa.array(back), pa.array(fate[row])], names=["key", *KEY, "place", "back", "fate"])
+            order, equals = _runs(key)
+            asked = (fate[row[order]] & OPEN) > 0
+            row, back, key = row[order], back[order], key[order]
+            hit = asked & (equals > 1)
+            known = _extent(ctx[row[hit]], back[hit])
+            once = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+            who = np.where(asked & (equals == 1), ctx[row], -1)[once]
+            key, back = key[once], back[once]
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            packs = [pa.array([x[order][cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()) for x in (key, who, back.astype(np.int16))]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packs], names=["bucket", "keys", "who", "backs"])
+            if len(known[0]):
+                packs = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(known, (np.int64, np.int16, np.int16), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(known[0][0]) % buckets], pa.int32()), *packs], names=["bucket", "keys", "who", "backs"])
+
+
+def _compare_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ctx, far and near of contexts with a repeated string; rows come sorted by bucket, negative ones with what was known before."""
+
+    def flush(rows: list[list[bytes]]) -> pa.RecordBatch:
+        key, who, back = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.int64, np.int16)))
+        order, equals = _runs(key)
+        hit = order[(equals > 1) & (who[order] >= 0)]
+        return found(*_extent(who[hit], back[hit].astype(np.int64)))
+
+    def found(ctx: np.ndarray, far: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32))], names=["ctx", "far", "near"])
+
+    now, held = None, []
+    for batch in batches:
+        for k, bucket in enumerate(batch.column(0).to_pylist()):
+            parts = [batch.column(c)[k].as_py() for c in (1, 2, 3)]
+            if bucket < 0:
+                yield found(*(np.frombuffer(p, t) for p, t in zip(parts, (np.int64, np.int16, np.int16), strict=True)))
+                continue
+            if held and bucket != now:
+                yield flush(held)
+                held = []
+            now = bucket
+            held.append(parts)
+    if held:
+        yield flush(held)
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -225,18 +292,24 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     # ``docs`` may have several rows for a key; their suffixes are alike, so one row of bytes for each is fetched as often as it was found.
     wanted = fates.where(F.col("fate").bitwiseAND(OPEN | STANDS_IN) > 0).groupBy(*KEY).agg(F.collect_set(F.struct("place", "block", "fate")).alias("wanted"))
     found = texts.join(wanted, join_key(texts, wanted)).select(texts[KEY[0]], texts[KEY[1]], "__text", "wanted")
-    contexts = materialize(found.mapInArrow(_contexts, f"block long, {KEY[0]} long, {KEY[1]} long, place long, fate tinyint, bytes binary"), "suffix-contexts")
-
-    span = f"{KEY[0]} long, {KEY[1]} long, `from` long, `to` long"
-    hot = contexts.groupBy("block").count().where(F.col("count") > HOT_CONTEXTS).select("block")
-    spans = contexts.join(hot, "block", "left_anti").repartition("block").sortWithinPartitions("block").mapInArrow(_compare, span)
-    if not hot.isEmpty():
-        strings = contexts.join(hot, "block", "left_semi").mapInArrow(_single_strings, f"key long, {KEY[0]} long, {KEY[1]} long, place long, back long, fate tinyint")
-        twice = strings.groupBy("key").count().where("count > 1").select("key")
-        hit = strings.where(F.col("fate").bitwiseAND(OPEN) > 0).join(twice, "key")
-        spans = spans.unionByName(hit.groupBy(*KEY, "place").agg((F.col("place") - F.max("back")).alias("from"), (F.col("place") - F.min("back") + WIDTH).alias("to")).select(*KEY, "from", "to"))
+    contexts = found.mapInArrow(_contexts, f"block long, {KEY[0]} long, {KEY[1]} long, place long, fate tinyint, bytes binary")
+    contexts = materialize(contexts.withColumn("ctx", F.monotonically_increasing_id()), "suffix-contexts")
+
+    hot = materialize(contexts.groupBy("block").count().where(F.col("count") > HOT_CONTEXTS), "suffix-hot")
+    many = hot.agg(F.sum("count")).first()[0]
+    cold = contexts.join(hot, "block", "left_anti") if many else contexts
+    spans = cold.drop("ctx").repartition("block").sortWithinPartitions("block").mapInArrow(_compare, f"{KEY[0]} long, {KEY[1]} long, `from` long, `to` long")
+    if many:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many * REACH // BUCKET_STRINGS)
+        strings = contexts.join(hot.select("block"), "block", "left_semi").mapInArrow(lambda it: _packed_strings(it, buckets), "bucket int, keys binary, who binary, backs binary")
+        hit = strings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare_strings, "ctx long, far int, near int")
+        hit = hit.groupBy("ctx").agg(F.max("far").alias("far"), F.min("near").alias("near")).join(contexts.select("ctx", *KEY, "place"), "ctx")
+        spans = spans.unionByName(hit.select(*KEY, (F.col("place") - F.col("far")).alias("from"), (F.col("place") - F.col("near") + WIDTH).alias("to")))
     whole = fates.where(F.col("fate").bitwiseAND(WHOLE) > 0).select(*KEY, F.greatest(F.col("place") - REACH, F.lit(0)).alias("from"), (F.col("place") + WIDTH).alias("to"))
-    return spans.unionByName(whole).groupBy(*KEY).agg(F.collect_list(F.struct("from", "to")).alias("note"))
+    notes = spans.unionByName(whole).groupBy(*KEY).agg(F.collect_list(F.struct("from", "to")).alias("note"))
+    notes = materialize(notes, "suffix-notes")
+    drop_tables(fates, contexts, hot)
+    return notes
 
 
 def drop_repeated_strings(docs: DataFrame) -> DataFrame:
