@@ -48,6 +48,8 @@ HOT_CONTEXTS = 2_000
 HELD_CONTEXTS = 4_000
 #: Contexts of hot blocks whose strings a task packs at a time, and strings for each bucket of them.
 HELD_STRINGS, BUCKET_STRINGS = 2_000, 500_000
+#: Contexts of hot blocks whose findings a task merges at a time.
+TARGET_CONTEXTS = 10_000
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -250,17 +252,22 @@ def _packed_strings(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - int(known[0][0]) % buckets], pa.int32()), *packs], names=["bucket", "keys", "who", "backs"])
 
 
-def _compare_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ctx, far and near of contexts with a repeated string; rows come sorted by bucket, negative ones with what was known before."""
+def _compare_strings(batches: Iterable[pa.RecordBatch], targets: int) -> Iterator[pa.RecordBatch]:
+    """Contexts with a repeated string, and its farthest and nearest start, packed by target; rows come sorted by bucket, negative ones with what was known before."""
 
     def flush(rows: list[list[bytes]]) -> pa.RecordBatch:
         key, who, back = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.int64, np.int16)))
         order, equals = _runs(key)
         hit = order[(equals > 1) & (who[order] >= 0)]
-        return found(*_extent(who[hit], back[hit].astype(np.int64)))
+        return found(*_extent(who[hit], back[hit]))
 
     def found(ctx: np.ndarray, far: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32))], names=["ctx", "far", "near"])
+        target = (mix(ctx.view(np.uint64)) % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        cuts = np.searchsorted(target[order], np.arange(targets + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        packs = [pa.array([x[order][cuts[k] : cuts[k + 1]].astype(t).tobytes() for k in full], pa.binary()) for x, t in ((ctx, np.int64), (far, np.int16), (near, np.int16))]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *packs], names=["target", "ctx", "far", "near"])
 
     now, held = None, []
     for batch in batches:
@@ -278,6 +285,27 @@ def _compare_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield flush(held)
 
 
+def _merge_extents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ctx, far and near of each context with a repeated string; rows come sorted by target, and one target is held at a time."""
+
+    def flush(rows: list[list[bytes]]) -> pa.RecordBatch:
+        ctx, far, near = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.int64, np.int16, np.int16)))
+        who, most, _ = _extent(ctx, far)
+        least = _extent(ctx, near)[2]
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32))], names=["ctx", "far", "near"])
+
+    now, held = None, []
+    for batch in batches:
+        for k, target in enumerate(batch.column(0).to_pylist()):
+            if held and target != now:
+                yield flush(held)
+                held = []
+            now = target
+            held.append([batch.column(c)[k].as_py() for c in (1, 2, 3)])
+    if held:
+        yield flush(held)
+
+
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """Key and ``note``: pairs (from, to) of bytes that repeated strings cover, as far as each anchor shows."""
     spark = docs.sparkSession
@@ -302,8 +330,10 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     if many:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many * REACH // BUCKET_STRINGS)
         strings = contexts.join(hot.select("block"), "block", "left_semi").mapInArrow(lambda it: _packed_strings(it, buckets), "bucket int, keys binary, who binary, backs binary")
-        hit = strings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare_strings, "ctx long, far int, near int")
-        hit = hit.groupBy("ctx").agg(F.max("far").alias("far"), F.min("near").alias("near")).join(contexts.select("ctx", *KEY, "place"), "ctx")
+        targets = max(1, many // TARGET_CONTEXTS)
+        found = strings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _compare_strings(it, targets), "target int, ctx binary, far binary, near binary")
+        hit = found.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(_merge_extents, "ctx long, far int, near int")
+        hit = hit.join(contexts.select("ctx", *KEY, "place"), "ctx")
         spans = spans.unionByName(hit.select(*KEY, (F.col("place") - F.col("far")).alias("from"), (F.col("place") - F.col("near") + WIDTH).alias("to")))
     whole = fates.where(F.col("fate").bitwiseAND(WHOLE) > 0).select(*KEY, F.greatest(F.col("place") - REACH, F.lit(0)).alias("from"), (F.col("place") + WIDTH).alias("to"))
     notes = spans.unionByName(whole).groupBy(*KEY).agg(F.collect_list(F.struct("from", "to")).alias("note"))
