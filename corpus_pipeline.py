@@ -17,7 +17,7 @@ from trackframe.llm.piece_codec import piece_digest
 from trackframe.llm.quality import quality_verdicts
 from trackframe.llm.queries import table, tokenizer_path
 from trackframe.llm.spans import KEY, WHOLE, join_key, packed, unpacked
-from trackframe.llm.storage import materialize
+from trackframe.llm.storage import drop_tables, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        after = materialize(stage(spark, docs, sf_dir), name)
+        if made is not None:  # the table of the stage before, never the input
+            drop_tables(made)
+        docs = made = after
     return STAGES[-1][1](spark, docs, sf_dir)
