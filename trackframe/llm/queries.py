@@ -75,6 +75,12 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=100, top=10)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontamination_report
+
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -86,6 +92,28 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_nn_descent": op10_nn_descent,
+    "op11_decontamination": op11_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACED = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACED}')"
+
+#: Windows by equality of whole word lists; near matches by lists of places.
+OP11_SQL = f"""WITH d AS (SELECT row_number() OVER () r, doc_id, {_WORDS} w FROM documents),
+i AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') item_id, {_WORDS} w FROM benchmark),
+iw AS (SELECT item_id, least(len(w), 10) size, w[s:s + least(len(w), 10) - 1] win FROM i, unnest(range(1, len(w) - least(len(w), 10) + 2)) u(s) WHERE len(w) > 0),
+dw AS (SELECT r, s, size, w[s:s + size - 1] win FROM d, (SELECT DISTINCT size FROM iw) z, unnest(range(1, len(w) - size + 2)) u(s)),
+m AS (SELECT DISTINCT r, s, size, item_id FROM dw JOIN iw USING (size, win)),
+h AS (SELECT r, count(DISTINCT p) n_hit FROM m, unnest(range(s, s + size)) u(p) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) n_items, sha256(string_agg(DISTINCT item_id, ',' ORDER BY item_id)) items_sha256 FROM m GROUP BY r),
+p AS (SELECT r, p, w[p] word FROM d, unnest(range(1, len(w) + 1)) u(p)),
+c AS (SELECT word, count(*) n FROM p GROUP BY word),
+it AS (SELECT i.item_id, i.w, len(i.w) n, x.word, coalesce(c.n, 0) seen FROM i, unnest(list_distinct(i.w)) x(word) LEFT JOIN c ON c.word = x.word),
+rare AS (SELECT item_id, w, n, arg_min(word, (seen, word)) word, count(*) words FROM it GROUP BY item_id, w, n HAVING min(seen) > 0),
+ce AS (SELECT r, p, item_id, w, n, words FROM p JOIN rare USING (word)),
+nr AS (SELECT DISTINCT ce.r, ce.item_id FROM ce JOIN d ON d.r = ce.r WHERE len(list_distinct(list_filter(d.w[greatest(1, ce.p - ce.n):ce.p + ce.n], lambda x: list_contains(ce.w, x)))) = ce.words),
+q AS (SELECT r, count(*) n_near FROM nr GROUP BY r)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(items_sha256, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0) n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN q USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op11_decontamination": OP11_SQL}
