@@ -81,6 +81,12 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import alignment_report
+
+    return alignment_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversation_repair import damaged, repair_report
 
@@ -100,6 +106,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_nn_descent": op10_nn_descent,
     "op11_decontamination": op11_decontamination,
+    "op12_token_alignment": op12_token_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
