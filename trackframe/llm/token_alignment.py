@@ -23,6 +23,7 @@ same spans, in characters.)
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -41,7 +42,7 @@ from .storage import drop_tables, materialize
 from .token_store import _byte_spelling
 
 MARK = "▁"
-CACHE_UNITS = 300_000
+CACHE_UNITS = 600_000
 #: Units that go through a library at once.
 CHUNK = 4096
 #: Characters of texts that are worked on at once.
@@ -288,18 +289,26 @@ ROW = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 def _aligned(batches: Iterable[pa.RecordBatch], a_path: str, b_path: str, full: bool) -> Iterator[pa.RecordBatch]:
     release()
     with_bytes = aligner(a_path, b_path)
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in _runs(texts):
-            counts, groups, links, times, first = with_bytes.run(texts[a:b])
-            out = [ids.slice(a, b - a), *(pa.array(counts[:, c], pa.int64()) for c in range(4))]
-            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
-            if full:
-                yield pa.RecordBatch.from_arrays([*out, pa.array(groups)], names=[*names, "groups"])
-            else:
-                at = pa.array(first, pa.int32())
-                some = [pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]), pa.ListArray.from_arrays(at, pa.array(links, pa.int64())), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*out, *some], names=[*names, "groups_sha256", "links", "times"])
+    gc.disable()  # millions of cached strings and no cycles: collections would only walk over them
+    try:
+        for batch in batches:
+            yield from _aligned_batch(with_bytes, batch, full)
+    finally:
+        gc.enable()
+
+
+def _aligned_batch(with_bytes: Aligner, batch: pa.RecordBatch, full: bool) -> Iterator[pa.RecordBatch]:
+    ids, texts = batch.column(0), batch.column(1).to_pylist()
+    for a, b in _runs(texts):
+        counts, groups, links, times, first = with_bytes.run(texts[a:b])
+        out = [ids.slice(a, b - a), *(pa.array(counts[:, c], pa.int64()) for c in range(4))]
+        names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
+        if full:
+            yield pa.RecordBatch.from_arrays([*out, pa.array(groups)], names=[*names, "groups"])
+        else:
+            at = pa.array(first, pa.int32())
+            some = [pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]), pa.ListArray.from_arrays(at, pa.array(links, pa.int64())), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*out, *some], names=[*names, "groups_sha256", "links", "times"])
 
 
 def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
