@@ -9,7 +9,7 @@ A token is linked with every B token of its group.
 
 A space or line feed between two other characters that are no white space always
 begins a token in both, so texts are cut there into units; a worker aligns each
-distinct unit once (``CACHE_UNITS``, then anew).  A full stop or comma after a letter is
+distinct unit once (``CACHE_UNITS`` are kept; then those met in one run only are forgotten).  A full stop or comma after a letter is
 joined to nothing by either, so such a unit is made of the one without it.  Other
 vocabularies, where this does not hold, take whole texts as units.
 
@@ -30,6 +30,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +43,15 @@ from .storage import drop_tables, materialize
 from .token_store import _byte_spelling
 
 MARK = "▁"
-CACHE_UNITS = 600_000
+CACHE_UNITS = 700_000
 #: Units that go through a library at once.
 CHUNK = 4096
 #: Characters of texts that are worked on at once.
 RUN_CHARS = 1_000_000
 #: Pair counts are broadcast up to this many pairs (17 bytes each), joined by a shuffle beyond.
 BROADCAST_PAIRS = 2_000_000
-#: White space beside or between units, or of another kind: such texts are cut by a pattern.
-_ODD = re.compile("[ \n]{2}|^[ \n]|[ \n]$|[^\\S \n]|᠎")
-_CUT = re.compile("(?<=[^\\s᠎])(?=[ \n][^\\s᠎])")
+#: Where texts with other white space are cut (the vowel separator was white space once).
+_CUT = re.compile("(?<=[^\\s\u180e])(?=[ \n][^\\s\u180e])")
 
 
 def _decoded(tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -93,14 +93,35 @@ class Aligner:
         self.groups: list[str] = []
         self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links; -1: not the text's bytes
         self.first, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)  # unit k's links: links[first[k] : first[k + 1]]
+        self.used = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep only the units that were met in more than one run, or none if those are too many."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > CACHE_UNITS // 2:
+            self._reset()
+            return
+        place = np.full(len(self.groups), -1)
+        place[keep] = np.arange(len(keep))
+        to = place.tolist()
+        self.index = {k: to[i] for k, i in self.index.items() if to[i] >= 0}
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        n = np.diff(self.first)[keep]
+        self.links = self.links[np.repeat(self.first[keep] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        self.counts, self.first, self.used = self.counts[keep], np.concatenate([[0], np.cumsum(n)]), np.ones(len(keep), np.int64)
 
     def units(self, text: str) -> list:
         """Keys of a text's units: what follows the space of " word", all of "\\nword", a tuple of any other."""
         if not self.separable:
             return [(" " + text,)]
-        if _ODD.search(text) is None:
+        if self._even(text):
             return text.replace("\n", " \n").split(" ")
-        return [u[1:] if u[0] == " " and not u[1:2].isspace() and _ODD.search(u[1:]) is None else u if u[0] == "\n" and _ODD.search(u[1:]) is None else (u,) for u in _CUT.split(" " + text)]
+        return [(u,) if not self._even(u[1:]) else u[1:] if u[0] == " " and u[1] != "\n" else u if u[0] == "\n" else (u,) for u in _CUT.split(" " + text)]
+
+    @staticmethod
+    def _even(text: str) -> bool:
+        """Whether all white space is single spaces and line feeds between other characters."""
+        return "\u180e" not in text and text.replace("\n", " ").split(" ") == text.split()
 
     def _ends(self, ids: np.ndarray, spans: np.ndarray, chars: np.ndarray, size: np.ndarray, whole: np.ndarray) -> np.ndarray:
         """Byte places of token ends: of the characters' ends, or, for tokens that are not ``whole`` characters, of decoded bytes."""
@@ -138,8 +159,11 @@ class Aligner:
                 else:
                     self._learn_one(texts[k])
             return
-        cuts = np.intersect1d(a_ends, b_ends)
-        a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        ending = np.zeros((2, len(raw) + 1), bool)
+        ending[0, a_ends], ending[1, b_ends] = True, True
+        both = ending[0] & ending[1]
+        cuts, before = np.flatnonzero(both), np.cumsum(both)
+        a_group, b_group = before[a_ends - 1], before[b_ends - 1]
         n = len(cuts)
         na, nb = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
         unit_of = np.searchsorted(stops, cuts)
@@ -173,18 +197,16 @@ class Aligner:
 
     def _from_b(self, texts: list[str], a_ids: np.ndarray, a_spans: np.ndarray) -> None:
         found = self.b.encode([t[1:] if t[0] == " " else t for t in texts], return_type="offset_mapping", num_threads=1)
-        ids, ends, first, base = [], [], [0], 0
-        for t, x in zip(texts, found, strict=True):
-            own, spans = x["ids"], x["offsets"]
-            if t[0] == " ":
-                ids += own
-                ends += [base + 1 + e for _, e in spans]
-            else:  # without the space that B puts before it
-                ids += own[1:]
-                ends += [base + e for _, e in spans[1:]]
-            first.append(len(ids))
-            base += len(t)
-        self._align(texts, a_ids, a_spans, np.array(ids, np.int64), np.array(first), np.array(ends, np.int64))
+        n = np.array([len(x["ids"]) for x in found])
+        ids = np.fromiter(chain.from_iterable([x["ids"] for x in found]), np.int64, int(n.sum()))
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable([x["offsets"] for x in found])), np.int64, 2 * len(ids))
+        length, own = np.array([len(t) for t in texts]), np.array([t[0] == " " for t in texts])
+        ends = spans[1::2] + np.repeat(np.cumsum(length) - length + own, n)
+        if not own.all():  # without the space that B puts before a text that has none
+            kept = np.ones(len(ids), bool)
+            kept[(np.cumsum(n) - n)[~own]] = False
+            ids, ends, n = ids[kept], ends[kept], n - ~own
+        self._align(texts, a_ids, a_spans, ids, np.concatenate([[0], np.cumsum(n)]), ends)
 
     def learn(self, keys: list) -> None:
         """Align new units, those of one chunk as one text for A."""
@@ -233,13 +255,19 @@ class Aligner:
         split = [self.units(t) if t else [] for t in texts]
         new = set().union(*split) - self.index.keys()
         if len(self.index) + 2 * len(new) > CACHE_UNITS:
-            self._reset()
-            new = set().union(*split)
+            self._forget()
+            new = set().union(*split) - self.index.keys()
+            if len(self.index) + 2 * len(new) > CACHE_UNITS:
+                self._reset()
+                new = set().union(*split)
         self.learn(list(new)) if len(new) * 2 <= CACHE_UNITS else self._learn_all(new)
         get = self.index.__getitem__
         rows = [list(map(get, keys)) for keys in split]
-        lengths = np.array([len(r) for r in rows])
-        flat, doc = np.array([k for r in rows for k in r], np.int64), np.repeat(np.arange(len(rows)), lengths)
+        lengths = np.array([len(r) for r in rows], np.int64)
+        flat, doc = np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum())), np.repeat(np.arange(len(rows)), lengths)
+        met = np.zeros(len(self.groups), np.int64)
+        met[flat] = 1
+        self.used = np.concatenate([self.used, np.zeros(len(met) - len(self.used), np.int64)]) + met
         own = self.counts[flat]
         bad = np.bincount(doc[own[:, 0] < 0], minlength=len(rows)) > 0
         counts = np.stack([np.bincount(doc, own[:, c], len(rows)).astype(np.int64) for c in range(4)], 1)
