@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trackframe.operators import detections
 from trackframe.sources import files
-from trackframe.streaming import streams
 from trackframe.storage import drop_tables, materialize, shared_dir
+from trackframe.streaming import ordered, streams
 
 DET = "video_id bigint, track_id bigint, det_id bigint, frame_id bigint, x double, y double, width double, height double, confidence double"
 
@@ -56,20 +57,37 @@ def box(i, frame, x=0.0, video=0):
 
 
 def test_links_end_with_the_buffer(spark, tmp_path):
-    """A box comes back to a track within the buffer, and starts a new one beyond it, in a batch of its own too."""
-    rows = stream(spark, tmp_path, [[box(1, 0), box(2, 1)], [box(3, 20)], [box(4, 400)], [box(5, 2000, video=1)], [box(6, 2010)]])
+    """A box comes back to a track within the buffer and starts a new one beyond it; the last frames wait for the watermark."""
+    rows = stream(spark, tmp_path, [[box(1, 0), box(2, 1)], [box(3, 20)], [box(4, 400)], [box(5, 2000, video=1)], [box(6, 2010)], [box(7, 9000)]])
     got = {r.det_id: r.track_id for r in streams.run_once(streams.online_links(rows), "links_end").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
-def test_areas_of_a_late_frame_come_after(spark, tmp_path):
-    """A frame that arrives in a later batch is worked through after those before it: its neighbours' areas do not change."""
+def test_links_do_not_depend_on_order(spark, tmp_path):
+    """Boxes of three videos, dealt to batches up to four seconds late, link as in the batch operator; boxes beyond the watermark are dropped."""
+    boxes = [(v, 0, 1000 * v + 10 * f + k, f, 40.0 * k + 2.0 * (f % 7), 5.0 * v, 20.0, 40.0, (0.9, 0.15, 0.3)[(f + k) % 3]) for v in range(3) for f in range(0, 60, 1 + v) for k in range(4)]
+    boxes = boxes[: len(boxes) // 2 * 2]
+    shuffled = sorted(boxes, key=lambda b: b[3] + b[2] * 7919 % 100)
+    batches = [shuffled[at : at + 40] for at in range(0, len(shuffled), 40)]
+    rows = stream(spark, tmp_path, [*batches, [(v, 0, 10**6 + v, 10_000, 0.0, 0.0, 9.0, 9.0, 0.9) for v in range(3)], [box(10**6 + 9, 10_001)], [box(10**7, 0)]])
+    got = sorted(map(tuple, streams.run_once(streams.online_links(rows), "links_any_order").collect()))
+    want = sorted(map(tuple, ordered.batch_links(spark.createDataFrame(boxes, DET)).collect()))
+    assert got == want and len({t for *_, t in want}) < len(want) / 3
+
+
+def test_frames_come_in_order(spark, tmp_path):
+    rows = stream(spark, tmp_path, [[box(5, 70), box(1, 0)], [box(4, 69), box(3, 1), box(2, 1)], [box(9, 500, video=1)], [box(6, 80)], [box(8, 2000)], [box(10, 2001)], [box(7, 1500, video=1)]])
+    got = sorted((r.place, r.video_id, r.det_id) for r in streams.run_once(streams.in_frame_order(rows), "in_order").select("place", "video_id", "det_id").collect())
+    assert got == [(1, 0, 1), (1, 1, 9), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6)]  # 7 was late, 8 and 10 wait
+
+
+def test_areas_do_not_depend_on_order(spark, tmp_path):
+    """A box that arrives in a later batch takes its frame's place, so the areas equal those of the batch operator."""
     wide = lambda i, frame, w: (0, 0, i, frame, 100.0, 100.0, w, 40.0, 0.9)
-    in_order = stream(spark, tmp_path / "a", [[wide(1, 0, 20.0), wide(2, 1, 90.0), wide(3, 2, 20.0)]])
-    late = stream(spark, tmp_path / "b", [[wide(1, 0, 20.0), wide(3, 2, 20.0)], [wide(2, 1, 90.0)]])
-    widths = lambda rows, name: {r.det_id: round(r.width, 6) for r in streams.run_once(streams.steady_areas(rows), name).collect()}
-    one, two = widths(in_order, "areas_in_order"), widths(late, "areas_late")
-    assert one[1] == two[1] == 20.0 and one[2] == two[2] and one[2] < 90.0 and two[3] == 20.0
+    boxes = [wide(k, k, (20.0, 90.0, 22.0, 25.0, 70.0)[k % 5]) for k in range(60)]
+    late = stream(spark, tmp_path, [boxes[0::3], boxes[2::3], boxes[1::3], [wide(100, 5000, 20.0)]])
+    widths = lambda df: {r.det_id: round(r.width, 6) for r in df.collect()}
+    assert widths(streams.run_once(streams.steady_areas(late), "areas_late")) == widths(detections.constrain_area(spark.createDataFrame(boxes, DET)))
 
 
 def test_duplicates_in_a_later_batch_are_dropped(spark, tmp_path):

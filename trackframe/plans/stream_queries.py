@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import TrackerConfig
 from ..storage import fresh_path
 from ..streaming import streams as st
 from .box_queries import _KEEP, _STEADY
 from .catalog import query, rounded
 
 
-def _source(f, dense: bool = False) -> DataFrame:
+def _source(f) -> DataFrame:
     """The detections in files of a stream source, in the shared folder."""
     path = fresh_path(f.spark, "stream")
-    rows = f.det_dense.withColumn("track_id", F.col("det_id")) if dense else f.det
-    _columns(rows).repartitionByRange(4, "frame_id").write.parquet(path)
+    _columns(f.det).repartitionByRange(4, "frame_id").write.parquet(path)
     return st.read_detections(f.spark, path, files_a_batch=4)
 
 
@@ -49,14 +49,39 @@ def _(f):
     return _through(f, st.deduplicated(st.read_detections(f.spark, path)).select("det_id"))
 
 
-@query("st4_stream_steady_areas", "det", sql=_STEADY + " SELECT det_id, round(width, 6) AS width, round(height, 6) AS height FROM r WHERE k > 0")
+def _shuffled(f, rows: DataFrame, parts: int = 6, jitter: int = 120, fps: float = 30.0) -> DataFrame:
+    """The boxes in files that arrive one after another; a box comes up to ``jitter`` frames after later ones."""
+    path = fresh_path(f.spark, "stream")
+    due = F.col("frame_id") + F.pmod(F.xxhash64("det_id"), F.lit(jitter))
+    low, high = rows.agg(F.min(due), F.max(due)).first()
+    for k in range(parts):
+        edge = lambda i: low + (high + 1 - low) * i // parts
+        _columns(rows.where((due >= edge(k)) & (due < edge(k + 1)))).coalesce(1).orderBy(F.xxhash64("det_id", F.lit(7))).write.mode("append").parquet(path)
+    return st.read_detections(f.spark, path, fps)
+
+
+#: What the watermark has passed at the end of the input.
+_PASSED = "((us + 999)//1000)*1000 <= mark"
+
+
+@query("st4_stream_steady_areas", "det", sql=_STEADY + f", {_TIMES[5:]} SELECT det_id, round(r.width, 6) AS width, round(r.height, 6) AS height FROM r JOIN t USING (det_id), w WHERE k > 0 AND {_PASSED}")
 def _(f):
-    return rounded(_through(f, st.steady_areas(_source(f))).select("det_id", "width", "height"))
+    return rounded(_through(f, st.steady_areas(_shuffled(f, f.det))).select("det_id", "width", "height"))
+
+
+@query("st6_stream_in_frame_order", "det", sql=_TIMES + f" SELECT video_id, det_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_id, det_id) AS place FROM t, w WHERE {_PASSED}")
+def _(f):
+    return _through(f, st.in_frame_order(_shuffled(f, f.det))).select("video_id", "det_id", "place")
+
+
+def _many_videos(f) -> DataFrame:
+    """Crowded frames of several videos."""
+    return f.det_dense.withColumns({"track_id": F.col("det_id"), "video_id": F.col("det_id") % 12})
 
 
 @query("st5_stream_links")
 def _(f):
-    return _through(f, st.online_links(_source(f, dense=True)))
+    return _through(f, st.online_links(_shuffled(f, _many_videos(f), jitter=4, fps=1.0), TrackerConfig(fps=1.0)))
 
 
 def _windows_sql(size: int, slide: int) -> str:

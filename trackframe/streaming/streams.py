@@ -5,19 +5,18 @@ Frames become event time: ``event_ts`` = ``START`` + frame / fps.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import FilterConfig, TrackerConfig
-from ..functions import geometry as g
 from ..operators import detections as d
 from ..schemas import DETECTIONS
+from .ordered import in_frame_order, online_links, steady_areas
+
+__all__ = ["counts", "deduplicated", "filtered", "in_frame_order", "online_links", "read_detections", "run_once", "steady_areas", "track_lifetimes", "with_event_time", "write_batches"]
 
 
 #: Time of frame 0, in microseconds.  Not the epoch itself, which is where watermarks begin: rows there would count as late.
@@ -56,109 +55,6 @@ def deduplicated(df: DataFrame, late: str = "5 seconds") -> DataFrame:
     return df.withWatermark("event_ts", late).dropDuplicatesWithinWatermark(["video_id", "det_id"])
 
 
-def steady_areas(df: DataFrame, cfg: FilterConfig = FilterConfig(), late: str = "5 seconds", expires: str = "1 hour") -> DataFrame:
-    """ST4: the batch operator of the same aim with its state (the last areas) kept by video and grid cell.
-
-    Boxes of a micro-batch are worked through by frame and id; boxes of an
-    earlier frame that arrive in a later batch come after those before them, so
-    results equal the batch operator's when files arrive in frame order.  A cell
-    without a box for ``expires`` of event time loses its state.  A group of a
-    micro-batch is bounded by the files taken at once.
-    """
-    columns, keeps = [f.name for f in df.schema.fields], _milliseconds(expires)
-    cells = df.withWatermark("event_ts", late).withColumn("_gx", F.floor(g.center_x() / cfg.grid)).withColumn("_gy", F.floor(g.center_y() / cfg.grid))
-
-    def cell(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["frame_id", "det_id"])
-        boxes = []
-        for x, y, w, h in rows[["x", "y", "width", "height"]].itertuples(index=False):
-            x, y, w, h, recent = d.shrink(x, y, w, h, recent, cfg)
-            boxes.append((x, y, w, h))
-        rows[["x", "y", "width", "height"]] = boxes
-        state.update((recent,))
-        _expire(state, rows["event_ts"], keeps)
-        yield rows[columns]
-
-    return cells.groupBy("video_id", "_gx", "_gy").applyInPandasWithState(cell, df.schema, "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _milliseconds(span: str) -> int:
-    return int(pd.Timedelta(span).total_seconds() * 1000)
-
-
-def _expire(state: GroupState, times: pd.Series, keeps: int) -> None:
-    """Let the state end ``keeps`` milliseconds of event time after its last row (never before the watermark)."""
-    last = int(times.max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keeps)
-
-
-def _overlaps(boxes: pd.DataFrame, live: dict, floor: float) -> list[tuple[float, int, int]]:
-    """(-overlap, det_id, track) of boxes and live tracks whose intersection over union is ``floor`` or more."""
-    if boxes.empty or not live:
-        return []
-    x, y, w, h = (boxes[c].to_numpy(float)[:, None] for c in ("x", "y", "width", "height"))
-    tracks = list(live)
-    tx, ty, tw, th = np.array([live[t][:4] for t in tracks], float).T
-    common = np.maximum(np.minimum(x + w, tx + tw) - np.maximum(x, tx), 0) * np.maximum(np.minimum(y + h, ty + th) - np.maximum(y, ty), 0)
-    union = w * h + tw * th - common
-    share = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
-    ids = boxes["det_id"].to_numpy()
-    return [(-float(share[i, k]), int(ids[i]), tracks[k]) for i, k in zip(*np.nonzero((share >= floor) & (union > 0)), strict=True)]
-
-
-def online_links(df: DataFrame, cfg: TrackerConfig = TrackerConfig(), late: str = "5 seconds") -> DataFrame:
-    """ST5: det_id, track_id as frames arrive: greedy best overlap with the tracks seen in the last ``buffer_frames`` frames.
-
-    The state holds one box a live track, so it is bounded by the players in a
-    picture.  Confident boxes choose first, then doubtful ones; a confident box
-    that matches nothing starts a track named by its id.  Late boxes (a frame
-    before the last one seen) join or start tracks but move none back, so answers
-    depend on frames arriving in order.  A video's state ends when the watermark
-    is ``buffer_frames`` past its last box: no track could go on by then.
-    """
-    keeps = int(1000 * cfg.buffer_frames / cfg.fps)
-
-    def video(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        live = {t: (x, y, w, h, f) for t, x, y, w, h, f in zip(*state.get, strict=True)} if state.exists else {}
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["frame_id", "det_id"])
-        for frame, boxes in rows.groupby("frame_id", sort=True):
-            live = {t: b for t, b in live.items() if frame - b[4] <= cfg.buffer_frames}
-            taken: set = set()
-            for low, high in ((cfg.track_high, 2.0), (cfg.track_low, cfg.track_high)):
-                part = boxes[(boxes["confidence"] >= low) & (boxes["confidence"] < high)]
-                pairs = _overlaps(part, live, 1 - cfg.match_cost)
-                done = set()
-                for _, det, t in sorted(pairs):
-                    if det not in done and t not in taken:
-                        done.add(det)
-                        taken.add(t)
-                        out.append((key[0], det, t))
-                for b in part.itertuples(index=False):
-                    if b.det_id not in done and b.confidence >= cfg.new_track:
-                        out.append((key[0], b.det_id, b.det_id))
-                        taken.add(b.det_id)
-            mine = {det: t for _, det, t in out}
-            for b in boxes.itertuples(index=False):
-                t = mine.get(b.det_id)
-                if t is not None and (t not in live or live[t][4] <= frame):
-                    live[t] = (b.x, b.y, b.width, b.height, int(frame))
-        columns = list(zip(*((t, *b) for t, b in live.items()), strict=True)) or [[]] * 6
-        state.update(tuple(list(c) for c in columns))
-        _expire(state, rows["event_ts"], keeps)
-        yield pd.DataFrame(out, columns=["video_id", "det_id", "track_id"]).astype("int64")
-
-    kept = "track array<bigint>, x array<double>, y array<double>, width array<double>, height array<double>, frame array<bigint>"
-    return df.withWatermark("event_ts", late).groupBy("video_id").applyInPandasWithState(video, "video_id bigint, det_id bigint, track_id bigint", kept, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def write_batches(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """ST7: every micro-batch appended to Parquet under its number, so that a replayed batch replaces itself."""
 
