@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..config import ROUTE_TYPES
 from ..functions.hashing import uniform
 
+#: Rows that one task ranks; and how many ranges there are at most, as their sizes are broadcast (24 bytes each).
+RANGE_ROWS, MOST_RANGES = 500_000, 1_000_000
+
 
 def valid_labels(labels: DataFrame, classes: tuple[str, ...] = ROUTE_TYPES) -> DataFrame:
     """labels of known classes; those with coordinate columns must have both."""
@@ -49,12 +52,14 @@ def random_split(rows: DataFrame, shares: tuple[tuple[str, float], ...] = (("tra
     """A split of exact sizes: rows in hash order, cut at int(n * share).
 
     Ranks come in two passes (within hash ranges, plus the sizes of the ranges
-    before), so no single task sorts all rows.
+    before), so no single task sorts all rows.  Hashes are uniform, so ranges of
+    equal width are of equal size; there is one for each ``RANGE_ROWS`` rows.
+    Rows of one key share their hash and lie together.
     """
-    parts = 256
+    parts = min(MOST_RANGES, -(-rows.count() // RANGE_ROWS) or 1)
     marked = rows.withColumn("_u", uniform("split", key, seed=seed)).withColumn("_p", F.floor(F.col("_u") * parts))
     sizes = marked.groupBy("_p").agg(F.count("*").alias("_size"))
-    before = sizes.select("_p", (F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy(F.lit(1))).alias("_all"))  # 256 rows at most
+    before = sizes.select("_p", (F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy(F.lit(1))).alias("_all"))  # a row for each range
     rank = F.row_number().over(Window.partitionBy("_p").orderBy("_u", key)) - 1
     ranked = marked.withColumn("_r", rank).join(F.broadcast(before), "_p").withColumn("_r", F.col("_r") + F.col("_before"))
     split, edge = F.lit(shares[-1][0]), 0.0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import FilterConfig, MergeConfig
 from ..operators import detections as d
-from ..operators import field, linking, merge, motion, teams, tracks
+from ..operators import checks, field, linking, merge, motion, teams, tracks
 from .catalog import query, rounded
 
 _KEEP = "confidence >= 0.15 AND width*height BETWEEN 150 AND 7500 AND width/height BETWEEN 0.25 AND 1.75 AND y BETWEEN 10 AND 974"
@@ -538,6 +538,20 @@ def _(f):
     return teams.limit_skill(tracks.track_summary(f.det)).groupBy("exclusion_reason").agg(F.count("*").alias("n"))
 
 
+#: Boxes of which some are spoiled by their ids: no size, no place, a confidence beyond 1, outside the picture, a frame too late.
+_SPOILED = """SELECT det.video_id, det_id, CASE WHEN det_id % 31 = 0 THEN frame_id + 100000 ELSE frame_id END AS frame_id, CASE WHEN det_id % 37 = 0 THEN NULL WHEN det_id % 41 = 0 THEN 5000.0 ELSE x END AS x, y,
+  CASE WHEN det_id % 43 = 0 THEN 0.0 ELSE det.width END AS width, det.height, CASE WHEN det_id % 47 = 0 THEN 1.5 ELSE confidence END AS confidence, videos.width AS video_width, videos.height AS video_height, total_frames FROM det JOIN videos ON det.video_id = videos.video_id"""
+
+
+@query("x12_quarantine", "det", "videos", sql=f"""WITH p AS ({_SPOILED}), b AS (SELECT det_id, list_filter([CASE WHEN NOT coalesce(frame_id >= 0, false) THEN 'frame' END, CASE WHEN x IS NULL OR y IS NULL THEN 'place' END, CASE WHEN NOT (width > 0 AND height > 0) THEN 'size' END,
+  CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence' END, CASE WHEN NOT frame_id < total_frames THEN 'in_video' END, CASE WHEN NOT coalesce(x < video_width AND y < video_height AND x + width > 0 AND y + height > 0, false) THEN 'in_picture' END], lambda n: n IS NOT NULL) n FROM p)
+  SELECT det_id, array_to_string(n, ',') AS broken, (SELECT count(*) FROM b WHERE len(n) = 0) AS kept FROM b WHERE len(n) > 0""")
+def _(f):
+    spoiled = f.spark.sql(_SPOILED.replace("FROM det JOIN videos", "FROM {det} AS det JOIN {videos} AS videos"), det=f.det, videos=f.videos)
+    good, bad = checks.quarantine(spoiled, checks.detection_rules(videos=True))
+    return bad.select("det_id", F.array_join("broken", ",").alias("broken")).crossJoin(F.broadcast(good.agg(F.count("*").alias("kept"))))  # one row
+
+
 @query("top_movers", "det", sql="WITH fd AS (SELECT * FROM det WHERE " + _KEEP + "), " + _SUMMARY.format(t="fd")[5:] + """
   SELECT video_id, track_id, round(displacement, 4) AS displacement, row_number() OVER (PARTITION BY video_id ORDER BY displacement DESC, track_id) AS place FROM tracks QUALIFY place <= 8""")
 def _(f):

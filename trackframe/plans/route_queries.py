@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ROUTE_TYPES
@@ -13,6 +16,7 @@ from ..operators import labels as lab
 from ..operators import metrics as m
 from ..operators import routes as r
 from ..operators import synthetic as syn
+from ..storage import materialize
 from .catalog import query, rounded
 
 _SUM = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
@@ -124,12 +128,16 @@ def _(f):
     return rounded(f.det.select("det_id", g.frames_to_seconds(F.col("frame_id")).alias("seconds")))
 
 
-@query("x14_route_pixels", "routes", sql="""WITH p AS (SELECT route_id, unnest(range(1, 65)) i, list_transform(x_coords, lambda x: least(greatest(floor(x*54+5)::INT, 0), 63)) cs, list_transform(y_coords, lambda y: least(greatest(floor((1-y)*54+5)::INT, 0), 63)) rs FROM routes),
+#: Painted pixels of each route (kind 1: line, 2: start, 3: end).
+DOTS_SQL = """WITH p AS (SELECT route_id, unnest(range(1, 65)) i, list_transform(x_coords, lambda x: least(greatest(floor(x*54+5)::INT, 0), 63)) cs, list_transform(y_coords, lambda y: least(greatest(floor((1-y)*54+5)::INT, 0), 63)) rs FROM routes),
   seg AS (SELECT route_id, cs[i] ac, rs[i] ar, cs[i+1] bc, rs[i+1] br, greatest(abs(cs[i+1]-cs[i]), abs(rs[i+1]-rs[i]), 1) n FROM p WHERE i < 64), walk AS (SELECT *, unnest(range(n+1)) k FROM seg),
   line AS (SELECT route_id, round(ar+(br-ar)*k/n::DOUBLE)::INT+dr r, round(ac+(bc-ac)*k/n::DOUBLE)::INT+dc c, 1 kind FROM walk, (SELECT unnest([0, 1]) dr), (SELECT unnest([0, 1]) dc)),
   ring AS (SELECT dr, dc FROM (SELECT unnest(range(-3, 4))::INT dr), (SELECT unnest(range(-3, 4))::INT dc) WHERE dr*dr+dc*dc <= 9),
   disc AS (SELECT route_id, rs[i]+dr r, cs[i]+dc c, CASE WHEN i = 1 THEN 2 ELSE 3 END kind FROM p, ring WHERE i IN (1, 64)),
-  dots AS (SELECT route_id, r, c, max(kind) kind FROM (SELECT * FROM line UNION ALL SELECT * FROM disc) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY 1, 2, 3)
+  dots AS (SELECT route_id, r, c, max(kind) kind FROM (SELECT * FROM line UNION ALL SELECT * FROM disc) WHERE r BETWEEN 0 AND 63 AND c BETWEEN 0 AND 63 GROUP BY 1, 2, 3)"""
+
+
+@query("x14_route_pixels", "routes", sql=DOTS_SQL + """
   SELECT route_id, r, c, CASE kind WHEN 1 THEN 'line' WHEN 2 THEN 'start' ELSE 'end' END AS channel FROM dots""")
 def _(f):
     return r.route_pixels(f.routes)
@@ -455,6 +463,49 @@ for _kind in ("perceptron", "forest", "logistic", "one_vs_rest"):
     query(f"m1_train_{_kind}")(_fit_kind(_kind))
 
 
+_SPLIT_SQL = f"""WITH h AS (SELECT route_id, count(*) OVER () n, row_number() OVER (ORDER BY {uniform_sql('split', 'route_id', seed=42)}, route_id) - 1 k FROM routes),
+  s AS (SELECT route_id, CASE WHEN k < floor(n*0.8::DOUBLE) THEN 'train' WHEN k < floor(n*0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM h)"""
+
+
+def _synthetic_split(f):
+    """Generated routes of the classes of the routes table, split."""
+    return lab.random_split(syn.routes_of(_from_routes(f)).drop("params"))
+
+
+#: Share of held-out routes that each family must get right.  (Chance is a tenth.)
+_BOUNDS = {"perceptron": 0.5, "forest": 0.75, "logistic": 0.5, "one_vs_rest": 0.3, "pixels": 0.7}
+
+
+@query("m1_accuracy_bounds", "routes", sql=_SPLIT_SQL + f" SELECT model, count(*) AS held_out, true AS reached FROM s, (SELECT unnest({list(_BOUNDS)}) AS model) WHERE split <> 'train' GROUP BY model")
+def _(f):
+    """Each family, and the logistic one on pictures, against its bound on held-out generated routes."""
+    from ..operators import ml
+
+    classes, split, found = sorted(ROUTE_TYPES[:10]), materialize(_synthetic_split(f), "synthetic"), []
+    for name, bound in _BOUNDS.items():
+        kind, inputs = ("logistic", "pixels") if name == "pixels" else (name, "coordinates")
+        model = ml.train_classifier(split.where("split = 'train'"), kind, classes, inputs=inputs)
+        right = ml.predict(model, split.where("split <> 'train'"), classes, inputs=inputs).select((F.col("pred") == F.col("route_type")).cast("int").alias("ok"))
+        found.append(right.agg(F.lit(name).alias("model"), F.count("*").alias("held_out"), (F.avg("ok") >= bound).alias("reached")))
+    return reduce(DataFrame.unionByName, found)
+
+
+_GRID = [("logistic", {"maxIter": 1}), ("logistic", {"maxIter": 10}), ("logistic", {"maxIter": 40}), ("forest", {"numTrees": 5, "maxDepth": 3}), ("forest", {"numTrees": 30, "maxDepth": 8}), ("perceptron", {"maxIter": 30, "hidden": 16})]
+
+
+@query("m2_select_model", "routes", sql=_SPLIT_SQL + f""" SELECT kind, params, (SELECT count(*) FROM s WHERE split = 'val') AS n, true AS consistent, true AS better_than_first
+  FROM (SELECT unnest({[k for k, _ in _GRID]}) AS kind, unnest({[", ".join(f"{c}={p[c]}" for c in sorted(p)) for _, p in _GRID]}) AS params)""")
+def _(f):
+    """Scores of all models of a grid; the chosen one must be the first with the highest recorded accuracy, and no worse than one iteration."""
+    from ..operators import ml
+
+    _, scores = ml.search(materialize(_synthetic_split(f), "synthetic"), _GRID, sorted(ROUTE_TYPES[:10]))
+    every = Window.partitionBy(F.lit(1))  # a row for each model
+    best = F.min(F.struct((-F.col("accuracy")).alias("a"), "model")).over(every)
+    chosen = F.max(F.when(F.col("chosen"), F.col("accuracy"))).over(every)
+    return scores.select("kind", "params", "n", (F.col("chosen") == (F.col("model") == best["model"])).alias("consistent"), (chosen >= F.max(F.when(F.col("model") == "000", F.col("accuracy"))).over(every)).alias("better_than_first"))
+
+
 @query("m5_evaluate_models")
 def _(f):
     from ..operators import ml

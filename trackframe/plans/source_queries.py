@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import files
 from ..storage import fresh_path
 from .catalog import query, rounded
+from .route_queries import DOTS_SQL
 
 
 @query("s4_s5_trajectory_store", "det", sql="SELECT video_id, track_id, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_id, det_id) - 1 AS det_id, frame_id, x, y, width, height, confidence FROM det")
@@ -70,9 +71,19 @@ def _(f):
     return files.read_labels(f.spark, path).select("*", F.lit(totals.total_labels).cast("bigint").alias("total_labels"), F.lit(len(totals.classes)).cast("bigint").alias("classes"))
 
 
-@query("s14_route_images", "routes", sql="SELECT route_type, source, count(*) AS n, count(*) AS drawn FROM routes GROUP BY 1, 2")
+#: Every pixel's colour as hexadecimal digits, channel by channel.
+_IMAGES = DOTS_SQL + """, px AS (SELECT route_id, i, coalesce(kind, 0) AS kind FROM (SELECT route_id, unnest(range(4096)) i FROM routes) LEFT JOIN (SELECT route_id, r*64+c AS i, kind FROM dots) USING (route_id, i)),
+  ink AS (SELECT route_id, list(kind ORDER BY i) g FROM px GROUP BY route_id),
+  k AS (SELECT route_type, row_number() OVER (ORDER BY route_type) - 1 AS class_index FROM (SELECT DISTINCT route_type FROM routes))
+  SELECT route_id, class_index, count(*) OVER (PARTITION BY route_type, source) AS n, sha256(array_to_string(list_transform(g, lambda v: ['FF', '1E', '00', 'DC'][v+1]), '')
+    || array_to_string(list_transform(g, lambda v: ['FF', '64', 'D2', '1E'][v+1]), '') || array_to_string(list_transform(g, lambda v: ['FF', 'FF', '00', '1E'][v+1]), '')) AS image_sha256
+  FROM ink JOIN routes USING (route_id) JOIN k USING (route_type)"""
+
+
+@query("s14_route_images", "routes", sql=_IMAGES)
 def _(f):
     path = fresh_path(f.spark, "images")
     files.write_images(f.routes, path)
-    drawn = f.spark.read.parquet(f"{path}/pixels").where("channel = 'end'").select("route_id").distinct().join(f.routes.select("route_id", "route_type", "source"), "route_id")
-    return f.spark.read.parquet(f"{path}/summary").join(drawn.groupBy("route_type", "source").agg(F.count("*").alias("drawn")), ["route_type", "source"])
+    images = f.spark.read.parquet(f"{path}/images").select("route_id", F.col("class_index").cast("bigint").alias("class_index"), F.sha2(F.hex("image"), 256).alias("image_sha256"))
+    counts = f.spark.read.parquet(f"{path}/summary")
+    return images.join(f.routes.select("route_id", "route_type", "source"), "route_id").join(counts, ["route_type", "source"]).select("route_id", "class_index", "n", "image_sha256")

@@ -139,10 +139,12 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_images(routes: DataFrame, path: str, size: int = 64) -> None:
-    """Pictures of routes as sparse pixels, and counts by class and source."""
-    from ..operators.routes import route_pixels
+    """A dense picture of each route with its class index, and counts by class and source."""
+    from ..operators.images import route_images
 
-    route_pixels(routes, size).write.mode("overwrite").parquet(f"{path}/pixels")
+    classes = routes.select("route_type").distinct().withColumn("class_index", F.row_number().over(Window.orderBy("route_type")) - 1)  # a row for each class
+    labelled = routes.select("route_id", "route_type").join(F.broadcast(classes), "route_type")
+    route_images(routes, size).join(labelled, "route_id").write.mode("overwrite").parquet(f"{path}/images")
     routes.groupBy("route_type", "source").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/summary")
 
 
