@@ -91,7 +91,8 @@ def suppress_overlaps(df: DataFrame, threshold: float = 0.45, mode: str = "domin
     ``dominance``: a box goes if any overlapping box is larger (ties: has the
     lower id).  ``greedy`` scans boxes by id: the scanned box drops smaller
     overlapping ones, and dies when it meets a larger one, whose box goes on
-    with the scan.  A task of the greedy mode holds one frame.
+    with the scan.  Overlaps come from the blocked join, so a task of the greedy
+    mode holds the overlapping pairs of one frame, not all its pairs of boxes.
     """
     if mode == "dominance":
         pairs = overlap_pairs(df, threshold)
@@ -101,31 +102,36 @@ def suppress_overlaps(df: DataFrame, threshold: float = 0.45, mode: str = "domin
         raise ValueError("mode must be dominance or greedy")
 
     def frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("det_id").reset_index(drop=True)
-        boxes = pdf[list(_BOX)].to_numpy(float)
-        gone = [False] * len(pdf)
-
-        def overlap(p, q) -> float:
-            wide = min(p[0] + p[2], q[0] + q[2]) - max(p[0], q[0])
-            high = min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1])
-            common = max(wide, 0.0) * max(high, 0.0)
-            union = p[2] * p[3] + q[2] * q[3] - common
-            return common / union if union > 0 else 0.0
-
-        for i in range(len(boxes)):
-            if gone[i]:
+        near: dict[int, list[int]] = {}
+        area: dict[int, float] = {}
+        for p, q, size_p, size_q in pdf[["det_a", "det_b", "area_a", "area_b"]].itertuples(index=False):
+            near.setdefault(p, []).append(q)
+            near.setdefault(q, []).append(p)
+            area[p], area[q] = size_p, size_q
+        near = {i: sorted(others) for i, others in near.items()}
+        gone: set[int] = set()
+        for i in sorted(near):
+            if i in gone:
                 continue
-            held = boxes[i]
-            for j in range(i + 1, len(boxes)):
-                if gone[j] or overlap(held, boxes[j]) <= threshold:
-                    continue
-                if boxes[j][2] * boxes[j][3] > held[2] * held[3]:
-                    gone[i], held = True, boxes[j]
-                else:
-                    gone[j] = True
-        return pdf[[not x for x in gone]]
-
-    return df.groupBy("video_id", "frame_id").applyInPandas(frame, df.schema)
+            held = at = i
+            while held is not None:
+                larger = None
+                for j in near[held]:
+                    if j <= at or j in gone:
+                        continue
+                    if area[j] > area[held]:
+                        larger = j
+                        break
+                    gone.add(j)
+                if larger is not None:
+                    gone.add(i)
+                    at = larger
+                held = larger
+        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "frame_id": pdf["frame_id"].iloc[0], "det_id": sorted(gone)})
+
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("video_id", "frame_id", "det_id"))
+    gone = overlap_pairs(df, threshold).groupBy("video_id", "frame_id").applyInPandas(frame, schema)
+    return df.join(gone, ["video_id", "frame_id", "det_id"], "left_anti").select(*df.columns)
 
 
 def constrain_area(df: DataFrame, cfg: FilterConfig = FilterConfig()) -> DataFrame:

@@ -105,7 +105,19 @@ def _(f):
     return d.suppress_overlaps(f.det_dense, 0.35).select("det_id")
 
 
-@query("j2_suppress_greedy")
+#: Steps of the scan of each frame: ``i`` scans with box ``h`` from ``h`` on; the first larger box carries it on, smaller ones before that are gone.
+_GREEDY = _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, adj AS (SELECT frame_id, det_a h, area_a ah, {'j': det_b, 'a': area_b} s FROM pairs UNION ALL SELECT frame_id, det_b, area_b, {'j': det_a, 'a': area_a} FROM pairs),
+  near AS (SELECT frame_id, h, any_value(ah) ah, list(s) js FROM adj GROUP BY 1, 2), ids AS (SELECT frame_id, list(h) ids FROM near GROUP BY 1),
+  r AS (SELECT frame_id, list_min(ids) i, list_min(ids) h, []::BIGINT[] gone FROM ids
+   UNION ALL SELECT frame_id, CASE WHEN c IS NULL THEN list_min(list_filter(ids, lambda x: x > i AND NOT list_contains(after, x))) ELSE i END,
+     CASE WHEN c IS NULL THEN list_min(list_filter(ids, lambda x: x > i AND NOT list_contains(after, x))) ELSE c END, after
+   FROM (SELECT frame_id, ids, i, c, list_concat(gone, list_concat(list_transform(list_filter(cand, lambda s: c IS NULL OR s.j < c), lambda s: s.j), CASE WHEN c IS NULL THEN [] ELSE [i] END)) AS after
+    FROM (SELECT *, list_min(list_transform(list_filter(cand, lambda s: s.a > ah), lambda s: s.j)) c
+     FROM (SELECT r.*, ids, ah, list_filter(js, lambda s: s.j > r.h AND NOT list_contains(r.gone, s.j)) cand FROM r JOIN near ON near.frame_id = r.frame_id AND near.h = r.h JOIN ids ON ids.frame_id = r.frame_id)))),
+  dead AS (SELECT DISTINCT unnest(gone) AS det_id FROM r WHERE i IS NULL)"""
+
+
+@query("j2_suppress_greedy", "det_dense", sql=_GREEDY + " SELECT det_id FROM det_dense WHERE det_id NOT IN (SELECT det_id FROM dead)")
 def _(f):
     return d.suppress_overlaps(f.det_dense, 0.35, mode="greedy").select("det_id")
 
