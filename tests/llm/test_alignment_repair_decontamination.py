@@ -283,3 +283,26 @@ def test_repair_of_nothing(spark):
     assert {tuple(r) for r in repair.repair_report(empty, ids).collect()} == {(i, 0, 0, 0, 0, 0, 0, "", sha("")) for i in (1, None)}
     long = spark.createDataFrame([(1, 1, "user", "w " * 400_000 + "."), (1, 1, "user", "w " * 400_000 + "."), (1, 2, "assistant", "Yes.")], empty.schema)
     assert [tuple(r)[1:8] for r in repair.repair_report(long, ids.limit(1)).collect()] == [(0, 0, 1, 0, 1, 4, "KDK")]
+
+
+# --- nearest neighbours beyond one bucket -------------------------------------------------------------------------
+
+
+def test_neighbours_over_buckets(spark):
+    """More vectors than a bucket holds, in clusters, with columns of clashing names: searched and compared, against all distances."""
+    from trackframe.llm import nn_descent
+
+    r = np.random.default_rng(12)
+    centres = r.standard_normal((40, 16)) * 4
+    x = (centres[r.integers(0, 40, 2600)] + r.standard_normal((2600, 16))).astype(np.float32)
+    x[5] = x[4]
+    table = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").selectExpr("*", "1 AS node", "2 AS id", "'q' AS query", "3 AS rank")
+    far = np.sqrt(((x[::100, None].astype(np.float64) - x[None].astype(np.float64)) ** 2).sum(-1))
+    far[np.arange(26), np.arange(26) * 100] = np.inf
+    want = {(100 * q, int(k)) for q in range(26) for k in np.lexsort((np.arange(2600), far[q]))[:10]}
+    exact = {(q.query_id, q.vec_id) for q in nn_descent.nearest(table, exact=True).collect()}
+    assert exact == want
+    found = nn_descent.nearest(table).collect()
+    assert len(found) == 260 and len({(q.query_id, q.vec_id) for q in found} & want) >= 0.98 * 260
+    assert all(abs(q.score - far[q.query_id // 100, q.vec_id]) < 1e-9 for q in found)
+    assert nn_descent.beam_width(20_000) == nn_descent.BEAM < nn_descent.beam_width(100_000)

@@ -10,7 +10,8 @@ old neighbours are not compared again.  It ends when few lists change.
 A query is a row of the table, so its own list is where its search starts.  In
 each round its nearest unexpanded vectors are expanded along the graph in both
 directions; the distances of what they lead to are computed where the vectors
-are, and the nearest ``BEAM`` are kept.
+are, and the nearest ``BEAM`` are kept.  It ends when all of every beam is
+expanded, however many rounds that takes.
 
 Vectors live in buckets (by hash, about ``BUCKET`` vectors); all that vectors
 tell each other is packed by bucket and moved by Spark shuffles, so no task
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,13 @@ from .storage import drop_tables, materialize
 from .textops import mix
 
 K, SAMPLE, TREES, LEAF = 32, 12, 6, 128
-ITERATIONS, ENOUGH = 10, 0.004
-BEAM, EXPAND, ROUNDS = 200, 48, 5
+#: Descent ends when less than this share of the list entries changed (lists only get better, so it ends).
+ENOUGH = 0.002
+EXPAND = 48
+#: Least width of a beam, and what it gains with each doubling of the table beyond ``WIDE`` vectors.
+BEAM, WIDER, WIDE = 200, 100, 20_000
+#: Vectors of a block, where all are compared.
+BLOCK = 4096
 BUCKET = 2048
 BLOB = "bucket int, kind string, data binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("data", pa.binary())])
@@ -49,6 +56,8 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 def packed(kind: str, bucket: np.ndarray, **columns: np.ndarray) -> list[tuple]:
     """Rows for a shuffle: the columns' entries by bucket."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     return [(int(bucket[order[s]]), kind, pickle.dumps({k: v[order[s:e]] for k, v in columns.items()}, 5)) for s, e in zip(cuts, [*cuts[1:], len(order)], strict=True)]
@@ -289,17 +298,20 @@ class Graph:
         return (c or 0) / max(1, n or 0)
 
     def descend(self) -> "Graph":
-        for turn in range(ITERATIONS):
+        for turn in count():
             if self.iterate(turn) < ENOUGH:
-                break
-        return self
+                return self
 
 
 def by_bucket_raw(rows: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(work, BLOB)
 
 
-def search(graph: Graph, queries: DataFrame, keep: int) -> DataFrame:
+def beam_width(count: int) -> int:
+    return BEAM + round(WIDER * max(0.0, float(np.log2(max(1, count) / WIDE))))
+
+
+def search(graph: Graph, queries: DataFrame, keep: int, beam_size: int = BEAM) -> DataFrame:
     """(query node, node) of the ``keep`` nearest nodes that greedy search finds for each query node, itself left out."""
     buckets = graph.buckets
 
@@ -332,8 +344,8 @@ def search(graph: Graph, queries: DataFrame, keep: int) -> DataFrame:
             return []
         s, q = kinds["node"], np.unique(kinds["query"]["q"])
         at = np.searchsorted(s["id"], q)
-        pad = ((0, 0), (0, BEAM - K))
-        beam = {"q": q, "vec": s["vec"][at], "ids": np.pad(s["nb"][at], pad, constant_values=-1), "dist": np.pad(s["nd"][at], pad, constant_values=np.inf), "done": np.zeros((len(q), BEAM), bool)}
+        pad = ((0, 0), (0, beam_size - K))
+        beam = {"q": q, "vec": s["vec"][at], "ids": np.pad(s["nb"][at], pad, constant_values=-1), "dist": np.pad(s["nd"][at], pad, constant_values=np.inf), "done": np.zeros((len(q), beam_size), bool)}
         return [(int(bucket_of(q[:1], buckets)[0]), "beam", pickle.dumps(beam, 5))]
 
     beams = materialize(by_bucket(linked.unionByName(queries.mapInArrow(ask, BLOB)), begin), "nn-beams")
@@ -405,10 +417,16 @@ def search(graph: Graph, queries: DataFrame, keep: int) -> DataFrame:
             f = kinds["found"]
             owner, other = np.concatenate([owner, np.searchsorted(beam["q"], f["to"])]), np.concatenate([other, f["other"]])
             dist, fresh = np.concatenate([dist, f["dist"]]), np.concatenate([fresh, np.ones(len(f["to"]), bool)])
-        ids, ds, new = best_lists(len(beam["q"]), BEAM, owner, other, dist, fresh)
+        ids, ds, new = best_lists(len(beam["q"]), beam_size, owner, other, dist, fresh)
         return [(int(bucket_of(beam["q"][:1], buckets)[0]), "beam", pickle.dumps({"q": beam["q"], "vec": beam["vec"], "ids": ids, "dist": ds, "done": ~new}, 5))]
 
-    for _ in range(ROUNDS):
+    def unexpanded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = sum(int(((beam["ids"] >= 0) & ~beam["done"]).sum()) for beam in map(pickle.loads, batch.column("data").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    # What has left a beam is too far to come back, so this ends.
+    while (beams.mapInArrow(unexpanded, "n long").agg(F.sum("n")).first()[0] or 0) > 0:
         visits = each_row(beams, expand)
         measures = by_bucket_raw(linked.unionByName(visits), lead)
         found = by_bucket_raw(linked.unionByName(measures), measure)
@@ -426,6 +444,43 @@ def search(graph: Graph, queries: DataFrame, keep: int) -> DataFrame:
     return beams.mapInArrow(answers, "query_node long, node long")
 
 
+def compared(nodes: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """The same pairs without a graph: blocks of query vectors meet blocks of all vectors, and each keeps its ``keep`` nearest.
+
+    Exact up to single precision; the work is queries times vectors, so it is
+    the way for tables where no recall may be lost.
+    """
+    rows = nodes.select("node", "vector", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-nodes.count() // BLOCK)))).cast("int").alias("block"))
+    wanted = rows.join(queries, "node", "left_semi")
+
+    def pack(table: pa.Table) -> pa.Table:
+        vectors = np.stack([np.asarray(v, np.float32) for v in table.column("vector").to_pylist()])
+        data = pickle.dumps({"id": table.column("node").to_numpy(), "vec": vectors}, 5)
+        return pa.table({"data": pa.array([data], pa.binary())})
+
+    few = max(1, -(-wanted.count() // BLOCK))
+    blocks = rows.groupBy("block").applyInArrow(pack, "data binary")
+    asked = wanted.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(few)).cast("int")).groupBy("block").applyInArrow(pack, "data binary").withColumnRenamed("data", "asked")
+    met = blocks.crossJoin(asked)  # a stated query set against all rows, block by block
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, query in zip(batch.column("data").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                s, q = pickle.loads(data), pickle.loads(query)
+                dist = (q["vec"] ** 2).sum(1)[:, None] - 2 * (q["vec"] @ s["vec"].T) + (s["vec"] ** 2).sum(1)
+                dist[q["id"][:, None] == s["id"]] = np.inf
+                best = np.argpartition(dist, min(keep, dist.shape[1]) - 1, 1)[:, :keep]
+                far = np.take_along_axis(dist, best, 1)
+                row, col = np.nonzero(np.isfinite(far))
+                yield pa.RecordBatch.from_arrays([pa.array(q["id"][row]), pa.array(s["id"][best[row, col]]), pa.array(far[row, col].astype(np.float64))], names=["query_node", "node", "dist"])
+
+    from pyspark.sql import Window
+
+    found = met.mapInArrow(near, "query_node long, node long, dist double")
+    rank = F.row_number().over(Window.partitionBy("query_node").orderBy("dist", "node"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= keep).select("query_node", "node")
+
+
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, vector`` of the rows that take part; see the module's text."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & F.col("vector").isNotNull())
@@ -434,8 +489,8 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("vector") == length[0].d) if length else rows
 
 
-def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, top: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``top`` nearest found for each row whose id is divisible by ``every``."""
+def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, top: int = 10, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``top`` nearest found for each row whose id is divisible by ``every``; with ``exact`` all rows are compared."""
     rows = materialize(usable(table, id_col, vector_col), "nn-rows")
     dim = rows.select(F.size("vector").alias("d")).first()
     members = F.slice(F.array_sort(F.collect_set("id")), 1, top + 1)
@@ -447,10 +502,10 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     schema = "query_id long, rank int, vec_id long, score double"
     if dim is None:
         return rows.sparkSession.createDataFrame([], schema)
-    count = nodes.count()
-    graph = Graph(nodes.select("node", F.col("vector").cast("array<float>").alias("vector")), dim.d, count).descend()
+    single = nodes.select("node", F.col("vector").cast("array<float>").alias("vector"))
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.abs(F.xxhash64("vector") % F.lit(1 << 62)).alias("query_node")).distinct()
-    found = search(graph, queries.select(F.col("query_node").alias("node")).distinct(), 4 * top)
+    asked, size = queries.select(F.col("query_node").alias("node")).distinct(), nodes.count()
+    found = compared(single, asked, 4 * top) if exact else search(Graph(single, dim.d, size).descend(), asked, 4 * top, beam_width(size))
     pairs = found.union(queries.select("query_node", F.col("query_node").alias("node"))).distinct()
     near = queries.join(pairs, "query_node").join(nodes.select("node", "vector", "ids"), "node")
     gap = F.zip_with("query", "vector", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
