@@ -155,3 +155,19 @@ def test_split_ranks_are_exact_in_any_ranges(spark, monkeypatch):
     many = {(r.route_id, r.split) for r in labels.random_split(rows).collect()}
     assert one == many and sorted(sum(s == n for _, s in one) for n in ("train", "val", "test")) == [500, 500, 4000]
     assert labels.random_split(rows.limit(0)).count() == 0
+
+
+def test_sql_functions_equal_the_columns(spark):
+    """Paths of up to 200 points, of no length, and of one point; softmax of large scores."""
+    from trackframe.functions import arrays, sql_functions
+
+    sql_functions.register(spark)
+    r = np.random.default_rng(9)
+    walk = lambda n: [float(v) for v in np.cumsum(r.standard_normal(n))]
+    rows = [(k, walk(n), walk(n)) for k, n in enumerate((2, 3, 63, 64, 65, 66, 129, 130, 200))] + [(90, [1.0, 1.0, 1.0], [2.0, 2.0, 2.0]), (91, [1.0, 1.0, 2.0, 2.0], [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y array<double>")
+    made = spark.sql("SELECT id, tf_resample(x, y, 50) AS s, tf_softmax(x) AS p, x, y FROM {d}", d=df)
+    for q in made.withColumns({"r": arrays.resample(F.col("x"), F.col("y"), 50), "q": arrays.softmax(F.col("x"))}).collect():
+        assert len(q.s.x) == 50 and np.allclose(q.s.x, q.r.x) and np.allclose(q.s.y, q.r.y) and np.allclose(q.p, q.q)
+    one = spark.sql("SELECT tf_resample(array(3D), array(4D), 4) AS s, tf_softmax(array(1000D, 1000D)) AS p").first()
+    assert one.s.x == [3.0] * 4 and one.s.y == [4.0] * 4 and one.p == [0.5, 0.5]

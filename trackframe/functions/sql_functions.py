@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-_ARC = "aggregate(sequence(2, size(x)), array(0D), (acc, i) -> array_append(acc, element_at(acc, -1) + sqrt(pow(element_at(x, i) - element_at(x, i-1), 2) + pow(element_at(y, i) - element_at(y, i-1), 2))))"
 
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` computed once under ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def _place(v: str) -> str:
-    """``v`` at n places equally far along the path whose lengths up to each point are ``a``."""
-    at = "element_at(a, -1)*j/(n-1)"
-    return (
-        f"transform(sequence(0, n-1), j -> element_at(transform(array(greatest(1, least(size(a)-1, size(filter(a, c -> c <= {at}))))), k -> CASE WHEN element_at(a, k+1) <= {at} THEN element_at({v}, k+1)"
-        f" ELSE element_at({v}, k) + (element_at({v}, k+1) - element_at({v}, k)) * ({at} - element_at(a, k)) / (element_at(a, k+1) - element_at(a, k)) END), 1))"
-    )
+
+#: Path lengths up to each point: running sums of blocks of 64 steps, so that an append copies a block at most.
+_STEPS = "transform(sequence(1, size(x) - 1), i -> sqrt(pow(element_at(x, i+1) - element_at(x, i), 2) + pow(element_at(y, i+1) - element_at(y, i), 2)))"
+_SUMS = "aggregate({values}, array(0D), (acc, v) -> array_append(acc, element_at(acc, -1) + v))"
+_BLOCKS = "transform(sequence(0, greatest(0, (size(d) - 1) div 64)), b -> slice(d, b*64 + 1, 64))"
+_ARC = _let(_STEPS, "d", _let(_BLOCKS, "blocks", _let(_SUMS.format(values="transform(blocks, b -> aggregate(b, 0D, (s, v) -> s + v))"), "bases",
+    "concat(array(0D), flatten(zip_with(blocks, slice(bases, 1, size(blocks)), (b, base) -> slice(transform(" + _SUMS.format(values="b") + ", v -> v + base), 2, size(b)))))")))
+#: Places before each point; then every segment yields the places that lie on it, so the work grows with points plus places.
+_BEFORE = "transform(a, c -> CASE WHEN element_at(a, -1) <= 0 THEN 0 ELSE least(int(ceil(c*(n-1)/element_at(a, -1))), n-1) END)"
+
+
+def _along(v: str) -> str:
+    on = f"element_at({v}, i) + (element_at({v}, i+1) - element_at({v}, i)) * (element_at(a, -1)*j/(n-1) - element_at(a, i)) / (element_at(a, i+1) - element_at(a, i))"
+    each = f"CASE WHEN element_at(before, i+1) > element_at(before, i) THEN transform(sequence(element_at(before, i), element_at(before, i+1) - 1), j -> {on}) ELSE CAST(array() AS ARRAY<DOUBLE>) END"
+    return f"CASE WHEN element_at(a, -1) <= 0 THEN array_repeat(element_at({v}, 1), n) ELSE concat(flatten(transform(sequence(1, size(a) - 1), i -> {each})), array(element_at({v}, -1))) END"
 
 
 #: Fixed names; bodies are plain SQL, so they are inlined and stay in the JVM.
@@ -25,7 +35,7 @@ _FUNCTIONS = {
         " / (aw*ah + bw*bh - greatest(least(ax+aw,bx+bw)-greatest(ax,bx),0D)*greatest(least(ay+ah,bs+bh)-greatest(ay,bs),0D)) ELSE 0D END",
     ),
     "tf_pad_edge": ("v ARRAY<DOUBLE>, n INT", "ARRAY<DOUBLE>", "CASE WHEN size(v) >= n THEN slice(v, 1, n) ELSE concat(v, array_repeat(coalesce(try_element_at(v, -1), 0D), n - size(v))) END"),
-    "tf_softmax": ("v ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "transform(v, x -> exp(x - array_max(v)) / aggregate(v, 0D, (s, y) -> s + exp(y - array_max(v))))"),
+    "tf_softmax": ("v ARRAY<DOUBLE>", "ARRAY<DOUBLE>", _let(_let("array_max(v)", "top", "transform(v, x -> exp(x - top))"), "r", _let("aggregate(r, 0D, (s, q) -> s + q)", "t", "transform(r, q -> q / t)"))),
     "tf_clip": ("v DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE", "greatest(least(v, high), low)"),
     "tf_gaussian_smooth": (
         "v ARRAY<DOUBLE>, sigma DOUBLE", "ARRAY<DOUBLE>",
@@ -34,7 +44,8 @@ _FUNCTIONS = {
     ),
     "tf_resample": (
         "x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, n INT", "STRUCT<x: ARRAY<DOUBLE>, y: ARRAY<DOUBLE>>",
-        f"CASE WHEN size(x) < 2 THEN named_struct('x', array_repeat(element_at(x, 1), n), 'y', array_repeat(element_at(y, 1), n)) ELSE element_at(transform(array({_ARC}), a -> named_struct('x', {_place('x')}, 'y', {_place('y')})), 1) END",
+        "CASE WHEN size(x) < 2 THEN named_struct('x', array_repeat(element_at(x, 1), n), 'y', array_repeat(element_at(y, 1), n)) ELSE "
+        + _let(_ARC, "a", _let(_BEFORE, "before", f"named_struct('x', {_along('x')}, 'y', {_along('y')})")) + " END",
     ),
     "tf_center": ("p DOUBLE, s DOUBLE", "DOUBLE", "p + s / 2"),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import FilterConfig, TrackerConfig
 from ..functions import geometry as g
-from ..storage import materialize
+from ..storage import drop_tables, materialize
 from .detections import blocked
 
 _BOX = ("x", "y", "width", "height")
@@ -57,6 +57,7 @@ def assign_track_ids(df: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> Dat
         up = point.select("video_id", F.col("det_id").alias("root"), F.col("root").alias("up"))
         after = materialize(point.join(up, ["video_id", "root"]).select("video_id", "det_id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "chain")
         done = after.where("moved").isEmpty()
+        drop_tables(point)
         point = after.drop("moved")
         if done:
             break

@@ -511,6 +511,18 @@ def _(f):
     return teams.pick(_with_teams(f)[0], team="offense").select("video_id", "track_id")
 
 
+@query("f10_one_track", "det", sql=_TEAMS + " SELECT video_id, track_id, team FROM t WHERE track_id = 7 OR track_id = 12 AND team = 'defense'")
+def _(f):
+    """A track by its id, in any team and in one."""
+    found = _with_teams(f)[0]
+    return teams.pick(found, track_id=7).unionByName(teams.pick(found, track_id=12, team="defense")).select("video_id", "track_id", "team")
+
+
+@query("f10_skill_only", "det", sql=_SKILL + " SELECT video_id, track_id, reason FROM k WHERE reason IN ('route runner', 'backfield near bottom', 'backfield near top')")
+def _(f):
+    return teams.pick(teams.classify_skill(_with_teams(f)[0]), skill_only=True).select("video_id", "track_id", "reason")
+
+
 @query("a14_classify_skill", "det", sql=_SKILL + " SELECT video_id, track_id, reason, reason IN ('route runner', 'backfield near bottom', 'backfield near top') AS is_skill FROM k")
 def _(f):
     return teams.classify_skill(_with_teams(f)[0]).select("video_id", "track_id", "reason", "is_skill")

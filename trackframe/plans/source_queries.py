@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import files
@@ -38,13 +39,32 @@ def _(f):
     return out.unionByName(read("extraction_statistics").select(F.lit("statistics").alias("part"), F.lit("tracks").alias("name"), F.col("tracks").alias("n")))
 
 
-@query("s9_limited_tracks", "det", sql="SELECT video_id, count(*) AS n, sum(track_id)::BIGINT AS ids, 2 AS stats FROM (SELECT DISTINCT video_id, track_id FROM det) GROUP BY 1")
+@query("s9_limited_tracks", "det", sql="""WITH t AS (SELECT video_id, track_id, count(*) c, max(frame_id) f FROM det GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY c DESC, track_id) <= 5 AS kept FROM t)
+  SELECT video_id, count(*) FILTER (kept) AS n, sum(track_id) FILTER (kept)::BIGINT AS ids, count(*) AS original, count(*) FILTER (NOT kept) AS dropped, min(c) FILTER (kept) AS least FROM k GROUP BY 1""")
 def _(f):
-    tracks, path = f.det.select("video_id", "track_id").distinct(), fresh_path(f.spark, "tracks")
-    target = files.write_limited(tracks, f.spark.range(2), path, in_place=True)
-    stats = f.spark.read.parquet(f"{target}/stats").count()
-    back = f.spark.read.parquet(f"{path}_limited/tracks")
-    return back.groupBy(F.col("video_id").cast("bigint").alias("video_id")).agg(F.count("*").alias("n"), F.sum("track_id").alias("ids"), F.lit(stats).alias("stats"))
+    """The five longest tracks of each video and what the limit did, through the sink and back."""
+    path = fresh_path(f.spark, "tracks")
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("c"), "track_id"))
+    ranked = f.det.groupBy("video_id", "track_id").agg(F.count("*").alias("c")).withColumn("kept", rank <= 5)
+    stats = ranked.groupBy("video_id").agg(F.count("*").alias("original"), F.count_if(~F.col("kept")).alias("dropped"), F.min(F.when(F.col("kept"), F.col("c"))).alias("least"))
+    target = files.write_limited(ranked.where("kept").drop("kept", "c"), stats, path, in_place=True)
+    back = f.spark.read.parquet(f"{path}_limited/tracks").groupBy(F.col("video_id").cast("bigint").alias("video_id")).agg(F.count("*").alias("n"), F.sum("track_id").alias("ids"))
+    return back.join(f.spark.read.parquet(f"{target}/stats"), "video_id")
+
+
+@query("s1_s2_trajectory_files", "det", sql="""SELECT 'good' AS kind, count(DISTINCT (video_id, track_id)) AS tracks, count(*) AS boxes, sum(frame_id)::BIGINT AS frames FROM det UNION ALL SELECT 'bad', (SELECT count(DISTINCT video_id) FROM det), 0, 0""")
+def _(f):
+    """Files of trajectories, and beside those of each video one that is no JSON: the good are read, the bad are set aside by name."""
+    path = fresh_path(f.spark, "files")
+    files.write_trajectories(f.det, path)
+    f.det.select("video_id", F.lit("{spoiled").alias("value")).distinct().write.partitionBy("video_id").mode("append").text(path)
+    rows = files.read_trajectory_files(f.spark, path, glob="part-*")
+    good, bad = files.split_corrupt(rows)
+    boxes = files.flat_detections(files.read_trajectories(f.spark, path, glob="part-*").select("video_name", "track_id", "detections"))
+    counted = boxes.agg(F.count("*").alias("boxes"), F.sum("frame_id").alias("frames"))
+    tracks = good.agg(F.sum(F.size("trajectories")).cast("bigint").alias("tracks"))
+    one = tracks.crossJoin(F.broadcast(counted)).select(F.lit("good").alias("kind"), "tracks", "boxes", "frames")  # one row each
+    return one.unionByName(bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("tracks"), F.lit(0).cast("bigint").alias("boxes"), F.lit(0).cast("bigint").alias("frames")))
 
 
 @query("s10_route_store", "routes", sql="SELECT route_id, route_type, 70 AS n, round(list_sum(y_coords) + 6*y_coords[64], 6) AS total FROM routes")
