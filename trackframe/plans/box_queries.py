@@ -595,15 +595,19 @@ def _(f):
     return out.groupBy("video_id", "track_id").agg(F.count("*").alias("n"))
 
 
-@query("e2_tracks_to_skill", "det", sql=_SKILL + """, sk AS (SELECT * FROM k WHERE reason IN ('route runner', 'backfield near bottom', 'backfield near top')), r AS (SELECT *, displacement >= 50 far, row_number() OVER (PARTITION BY video_id, displacement >= 50 ORDER BY displacement DESC, track_id) p FROM sk)
-  SELECT video_id, track_id, reason, far AND p <= 8 AS kept FROM r""")
+#: Skill players by displacement, the far ones first.
+_KEPT = _SKILL + """, sk AS (SELECT * FROM k WHERE reason IN ('route runner', 'backfield near bottom', 'backfield near top')), r AS (SELECT *, displacement >= 50 far, row_number() OVER (PARTITION BY video_id, displacement >= 50 ORDER BY displacement DESC, track_id) p FROM sk)"""
+
+
+@query("e2_tracks_to_skill", "det", sql=_KEPT + " SELECT video_id, track_id, reason, far AND p <= 8 AS kept FROM r")
 def _(f):
     from .pipelines import tracks_to_skill
 
     return tracks_to_skill(f.det, f.videos, "clustering").limited.select("video_id", "track_id", "reason", "kept")
 
 
-@query("e3_skill_routes")
+@query("e3_skill_routes", "det", sql=_KEPT + """, n AS (SELECT video_id, track_id, count(*) c, arg_min(nx, (frame_id, det_id)) x1, arg_max(nx, (frame_id, det_id)) x64 FROM (SELECT *, greatest(least((x+width/2)/1920, 1.0), 0.0) nx FROM det) GROUP BY 1, 2)
+  SELECT video_id, track_id, c AS original_num_detections, round(x1, 4) AS x1, round(x64, 4) AS x64 FROM r JOIN n USING (video_id, track_id) WHERE far AND p <= 8 AND c >= 10""")
 def _(f):
     from .pipelines import skill_routes
 
