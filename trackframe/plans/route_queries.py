@@ -472,8 +472,9 @@ def _synthetic_split(f):
     return lab.random_split(syn.routes_of(_from_routes(f)).drop("params"))
 
 
-#: Share of held-out routes that each family must get right.  (Chance is a tenth.)
-_BOUNDS = {"perceptron": 0.5, "forest": 0.75, "logistic": 0.5, "one_vs_rest": 0.3, "pixels": 0.7}
+#: Share of held-out routes that each family must get right (chance is a tenth): three standard errors of 100 held-out
+#: routes (0.14) below the least accuracy measured with 4 and 8 partitions: 0.70, 0.80, 0.65, 0.41 and about 0.70.
+_BOUNDS = {"perceptron": 0.55, "forest": 0.65, "logistic": 0.5, "one_vs_rest": 0.25, "pixels": 0.55}
 
 
 @query("m1_accuracy_bounds", "routes", sql=_SPLIT_SQL + f" SELECT model, count(*) AS held_out, true AS reached FROM s, (SELECT unnest({list(_BOUNDS)}) AS model) WHERE split <> 'train' GROUP BY model")
