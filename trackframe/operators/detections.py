@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,15 +75,48 @@ def blocked(a: DataFrame, b: DataFrame, keys: list[str], cell: float | None) ->
     return spread(a, "a").join(spread(b, "b"), [*keys, "_cx", "_cy"]).where(corner("x") & corner("y")).drop("_cx", "_cy")
 
 
+#: Equal boxes of a frame are compared as one; a row holds so many of their ids.
+COPIES_A_ROW = 256
+
+
+def _classes(df: DataFrame) -> DataFrame:
+    """Equal boxes of a frame as rows of at most ``COPIES_A_ROW`` ids (``ids``, ascending), numbered by ``part``."""
+    same = ["video_id", "frame_id", *_BOX]
+    place = F.row_number().over(Window.partitionBy(*same).orderBy("det_id")) - 1
+    rows = df.select("det_id", *same).withColumn("part", F.floor(place / COPIES_A_ROW))
+    return rows.groupBy(*same, "part").agg(F.sort_array(F.collect_list("det_id")).alias("ids"))
+
+
 def overlap_pairs(df: DataFrame, threshold: float, cell: float | None = FilterConfig.overlap_cell) -> DataFrame:
     """Pairs of boxes (det_a < det_b) of one frame with an intersection over union above ``threshold``, which must not be negative.
 
     Boxes are blocked by grid cell; ``cell=None`` compares all boxes of a frame.
+    Equal boxes are compared once and their pairs made afterwards.
     """
-    side = lambda p: [F.col("video_id"), F.col("frame_id"), F.col("det_id").alias(f"det_{p}"), *(F.col(c).alias(f"{p}_{c}") for c in _BOX)]
-    pairs = blocked(df.select(*side("a")), df.select(*side("b")), ["video_id", "frame_id"], cell).where(F.col("det_a") < F.col("det_b"))
-    scored = pairs.withColumn("iou", g.iou("a_", "b_")).where(F.col("iou") > threshold)
-    return scored.select("video_id", "frame_id", "det_a", "det_b", (F.col("a_width") * F.col("a_height")).alias("area_a"), (F.col("b_width") * F.col("b_height")).alias("area_b"), "iou")
+    classes = _classes(df)
+    side = lambda p: [F.col("video_id"), F.col("frame_id"), F.col("part").alias(f"{p}_part"), F.col("ids").alias(f"{p}_ids"), *(F.col(c).alias(f"{p}_{c}") for c in _BOX)]
+    key = lambda p: F.struct(F.element_at(f"{p}_ids", 1), *(F.col(f"{p}_{c}") for c in _BOX), F.col(f"{p}_part"))
+    pairs = blocked(classes.select(*side("a")), classes.select(*side("b")), ["video_id", "frame_id"], cell)
+    scored = pairs.withColumn("iou", g.iou("a_", "b_")).where(F.col("iou") > threshold).withColumn("_own", key("a") == key("b")).where(key("a") <= key("b"))
+    areas = {"_p": F.col("a_width") * F.col("a_height"), "_q": F.col("b_width") * F.col("b_height")}
+    each = scored.withColumns(areas).withColumn("p", F.explode("a_ids")).withColumn("q", F.explode("b_ids")).where(F.when(F.col("_own"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q")))
+    first = F.col("p") < F.col("q")
+    area = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
+    return each.select("video_id", "frame_id", F.least("p", "q").alias("det_a"), F.greatest("p", "q").alias("det_b"), area("_p", "_q").alias("area_a"), area("_q", "_p").alias("area_b"), "iou")
+
+
+def _dominated(df: DataFrame, threshold: float) -> DataFrame:
+    """Boxes that a larger one overlaps, or an equally large one of a lower id; equal boxes are compared as one and pairs are not kept."""
+    same = ["video_id", "frame_id", *_BOX]
+    classes = df.groupBy(*same).agg(F.min("det_id").alias("least"))
+    side = lambda p: [F.col("video_id"), F.col("frame_id"), F.col("least").alias(f"{p}_least"), *(F.col(c).alias(f"{p}_{c}") for c in _BOX)]
+    pairs = blocked(classes.select(*side("a")), classes.select(*side("b")), ["video_id", "frame_id"], FilterConfig.overlap_cell).where(g.iou("a_", "b_") > threshold)
+    area = lambda p: F.col(f"{p}_width") * F.col(f"{p}_height")
+    pairs = pairs.where(area("b") >= area("a"))
+    fate = pairs.groupBy("video_id", "frame_id", *(F.col(f"a_{c}").alias(c) for c in _BOX)).agg(
+        F.max((area("b") > area("a")).cast("int")).alias("_larger"), F.min("b_least").alias("_least"))
+    # Without a larger one, all that overlap here are equally large, this class among them.
+    return df.select("det_id", *same).join(fate, same).where((F.col("_larger") == 1) | (F.col("det_id") > F.col("_least"))).select("video_id", "frame_id", "det_id")
 
 
 def suppress_overlaps(df: DataFrame, threshold: float = 0.45, mode: str = "dominance") -> DataFrame:
@@ -91,46 +125,44 @@ def suppress_overlaps(df: DataFrame, threshold: float = 0.45, mode: str = "domin
     ``dominance``: a box goes if any overlapping box is larger (ties: has the
     lower id).  ``greedy`` scans boxes by id: the scanned box drops smaller
     overlapping ones, and dies when it meets a larger one, whose box goes on
-    with the scan.  Overlaps come from the blocked join, so a task of the greedy
-    mode holds the overlapping pairs of one frame, not all its pairs of boxes.
+    with the scan.  A task of the greedy mode holds the boxes of one frame and
+    finds the overlaps of a box when it scans; no pairs are kept.
     """
     if mode == "dominance":
-        pairs = overlap_pairs(df, threshold)
-        loser = F.when(F.col("area_b") > F.col("area_a"), F.col("det_a")).otherwise(F.col("det_b"))
-        return df.join(pairs.select("video_id", "frame_id", loser.alias("det_id")).distinct(), ["video_id", "frame_id", "det_id"], "left_anti").select(*df.columns)
+        return df.join(_dominated(df, threshold).distinct(), ["video_id", "frame_id", "det_id"], "left_anti").select(*df.columns)
     if mode != "greedy":
         raise ValueError("mode must be dominance or greedy")
 
     def frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        area: dict[int, float] = {}
-        for p, q, size_p, size_q in pdf[["det_a", "det_b", "area_a", "area_b"]].itertuples(index=False):
-            near.setdefault(p, []).append(q)
-            near.setdefault(q, []).append(p)
-            area[p], area[q] = size_p, size_q
-        near = {i: sorted(others) for i, others in near.items()}
-        gone: set[int] = set()
-        for i in sorted(near):
-            if i in gone:
+        pdf = pdf.sort_values("x", kind="stable")
+        ids = pdf["det_id"].to_numpy()
+        x, y, w, h = (pdf[c].to_numpy(float) for c in _BOX)
+        right, low, area, widest = x + w, y + h, w * h, w.max(initial=0.0)
+        gone = np.zeros(len(ids), bool)
+        for i in np.argsort(ids, kind="stable"):
+            if gone[i]:
                 continue
-            held = at = i
+            held, at = i, ids[i]
             while held is not None:
-                larger = None
-                for j in near[held]:
-                    if j <= at or j in gone:
-                        continue
-                    if area[j] > area[held]:
-                        larger = j
-                        break
-                    gone.add(j)
-                if larger is not None:
-                    gone.add(i)
-                    at = larger
-                held = larger
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "frame_id": pdf["frame_id"].iloc[0], "det_id": sorted(gone)})
+                # Boxes whose left side is so far left or right don't reach the held one.
+                a, b = np.searchsorted(x, x[held] - widest - 1), np.searchsorted(x, right[held] + 1)
+                open_ = a + np.flatnonzero((ids[a:b] > at) & ~gone[a:b])
+                common = np.maximum(np.minimum(right[open_], right[held]) - np.maximum(x[open_], x[held]), 0.0) * np.maximum(np.minimum(low[open_], low[held]) - np.maximum(y[open_], y[held]), 0.0)
+                union = area[open_] + area[held] - common
+                near = open_[np.divide(common, union, out=np.zeros_like(common), where=union > 0) > threshold]
+                larger = near[area[near] > area[held]]
+                if not len(larger):
+                    gone[near] = True
+                    held = None
+                else:
+                    held = larger[np.argmin(ids[larger])]
+                    at = ids[held]
+                    gone[near[ids[near] < at]] = True
+                    gone[i] = True
+        return pdf.loc[gone, ["video_id", "frame_id", "det_id"]]
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("video_id", "frame_id", "det_id"))
-    gone = overlap_pairs(df, threshold).groupBy("video_id", "frame_id").applyInPandas(frame, schema)
+    gone = df.select("video_id", "frame_id", "det_id", *_BOX).dropna().groupBy("video_id", "frame_id").applyInPandas(frame, schema)
     return df.join(gone, ["video_id", "frame_id", "det_id"], "left_anti").select(*df.columns)
 
 
