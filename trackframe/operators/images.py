@@ -14,25 +14,30 @@ from .routes import route_pixels
 #: Colours (red, green, blue) of the background, the line, the start and the end.
 COLOURS = np.array([(255, 255, 255), (30, 100, 255), (0, 210, 0), (220, 30, 30)], np.uint8)
 KINDS = ("line", "start", "end")
+#: Pictures of a batch that leaves a task.
+PAINTED_AT_ONCE = 256
+
+
+def paint(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Pictures of routes whose painted cells are listed, ``PAINTED_AT_ONCE`` at a time."""
+    for batch in (whole.slice(at, PAINTED_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, PAINTED_AT_ONCE)):
+        cells = batch.column(1)
+        grid = np.zeros((batch.num_rows, size * size), np.int8)
+        at = np.asarray(cells.flatten())
+        grid[np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(cells.offsets))), at // 4] = at % 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([COLOURS[g].T.tobytes() for g in grid], pa.binary())], names=["route_id", "image"])
 
 
 def route_images(routes: DataFrame, size: int = 64) -> DataFrame:
     """route_id and ``image``: 3 x size x size bytes, channel by channel, rows from the top.
 
-    Only painted pixels are shuffled, at most size * size for a route.
+    Only painted pixels are shuffled, at most size * size for a route.  A task
+    holds ``PAINTED_AT_ONCE`` pictures, however many rows come in a batch.
     """
     kind = F.element_at(F.create_map(*(x for k, name in enumerate(KINDS) for x in (F.lit(name), F.lit(k + 1)))), F.col("channel"))
     painted = route_pixels(routes, size).groupBy("route_id").agg(F.collect_list((F.col("r") * size + F.col("c")) * 4 + kind).alias("painted"))
 
-    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column(1)
-            grid = np.zeros((batch.num_rows, size * size), np.int8)
-            at = np.asarray(cells.flatten())
-            grid[np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(cells.offsets))), at // 4] = at % 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([COLOURS[g].T.tobytes() for g in grid], pa.binary())], names=["route_id", "image"])
-
-    return painted.mapInArrow(paint, "route_id bigint, image binary")
+    return painted.mapInArrow(lambda batches: paint(batches, size), "route_id bigint, image binary")
 
 
 def edge_filters(directions: int = 8, width: int = 7) -> np.ndarray:
