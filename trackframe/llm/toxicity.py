@@ -233,14 +233,16 @@ def train(texts: Texts, label: np.ndarray, epochs: int = 9, rate: float = 8e-3,
     return weights
 
 
-def training_texts(labelled: DataFrame, sample: int, sample_words: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``sample`` labelled texts of at most ``sample_words`` words together.
+def training_texts(labelled: DataFrame, sample: int, sample_words: int, truth: DataFrame | None = None) -> tuple[list[bytes], np.ndarray]:
+    """At most ``sample`` labelled texts of at most ``sample_words`` words together; labels come from ``truth``, if given.
 
     Sizes are looked at first, by hash of the id (several rows of an id by hash of
-    the text); a text that does not fit into what is left is passed over.
+    the text); a text that does not fit into what is left is passed over.  Texts
+    are not shuffled: sizes meet the labels, and the chosen ids are broadcast.
     """
     key = F.xxhash64("text")
-    sizes = labelled.select("doc_id", key.alias("h"), "toxic", (F.coalesce(F.length("text"), F.lit(0)) / 6 + 1).alias("size")).dropDuplicates(["doc_id", "h"])
+    sizes = labelled.select("doc_id", key.alias("h"), (F.coalesce(F.length("text"), F.lit(0)) / 6 + 1).alias("size"), *(["toxic"] if truth is None else []))
+    sizes = (sizes if truth is None else sizes.join(truth, "doc_id")).dropDuplicates(["doc_id", "h"])
     ranked = [sizes.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample // 2).collect() for toxic in (1, 0)]
     chosen: dict[tuple, int] = {}
     words = 0.0
@@ -260,8 +262,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, s
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == held_out_fold).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    labelled = rows.where(~F.col("held_out")).join(truth, "doc_id").select("doc_id", "text", "toxic")
-    texts, label = training_texts(labelled, sample, sample_words)
+    texts, label = training_texts(rows.where(~F.col("held_out")).select("doc_id", "text"), sample, sample_words, truth)
     if len(set(label.tolist())) < 2:
         share = float(label.mean()) if len(label) else 0.0
         return rows.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
