@@ -129,7 +129,12 @@ def generate_dataset(spark: SparkSession, counts: tuple[int, ...] = PRESET_COUNT
 
 
 def routes_of(ids: DataFrame, seed: int = 42) -> DataFrame:
-    """The routes of given (route_id, route_type) rows."""
-    rows = control_points(route_params(ids, seed), seed)
+    """The routes of given (route_id, route_type) rows; further columns stay, last.
+
+    A row of some bytes makes much work, so rows are spread first: a small file would be one task.
+    """
+    tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = control_points(route_params(ids.repartition(tasks, "route_id"), seed), seed)
     even = rows.withColumns({"x": a.gaussian_smooth_by(a.interp_uniform(F.col("ctrl_x"), POINTS), F.col("sigma")), "y": a.gaussian_smooth_by(a.interp_uniform(F.col("ctrl_y"), POINTS), F.col("sigma"))})
-    return finish(even, seed).select("route_id", "route_type", "x_coords", "y_coords", F.struct("start_x", "start_y", "depth", "width").alias("params"))
+    more = [c for c in ids.columns if c not in ("route_id", "route_type")]
+    return finish(even, seed).select("route_id", "route_type", "x_coords", "y_coords", F.struct("start_x", "start_y", "depth", "width").alias("params"), *more)

@@ -468,8 +468,8 @@ _SPLIT_SQL = f"""WITH h AS (SELECT route_id, count(*) OVER () n, row_number() OV
 
 
 def _synthetic_split(f):
-    """Generated routes of the classes of the routes table, split."""
-    return lab.random_split(syn.routes_of(_from_routes(f)).drop("params"))
+    """Generated routes of the classes of the routes table, split before they are made, so that ids are ranked and not routes."""
+    return syn.routes_of(lab.random_split(_from_routes(f))).drop("params")
 
 
 #: Share of held-out routes that each family must get right (chance is a tenth): three standard errors of 100 held-out
