@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MotionConfig
+from ..storage import drop_tables, materialize
 
 def frames():
     return Window.partitionBy("video_id").orderBy("frame_id")
@@ -37,24 +38,31 @@ def fit_frame_motion(matches: DataFrame, cfg: MotionConfig = MotionConfig(), tri
     Each round refits on the points whose residual is at most the median of
     the round before or the inlier limit; the last fit is on inliers.  A frame
     passes if it has enough points and inliers, and scale and shift are sane;
-    others get the identity (``ok`` false).
+    others get the identity (``ok`` false).  Fits are small and read several
+    times, so each round writes its own; points are read anew and not shuffled
+    unless there are very many frames.
     """
     keys = ["video_id", "frame_id"]
-    points, fit = matches, _fit(matches, "")
+    first = fit = materialize(_fit(matches, ""), "motion-fit")
     error = F.sqrt(F.expr("pow(cx - (a*px - b*py + tx), 2) + pow(cy - (b*px + a*py + ty), 2)"))
+    used = []
     for _ in range(trims):
         seen = matches.join(fit.drop("n"), keys).withColumn("error", error)
-        middle = seen.groupBy(*keys).agg(F.percentile("error", F.lit(0.5)).alias("middle"))
+        middle = materialize(seen.groupBy(*keys).agg(F.percentile("error", F.lit(0.5)).alias("middle")), "motion-middle")
         points = seen.join(middle, keys).where(F.col("error") <= F.greatest("middle", F.lit(cfg.inlier_pixels))).select(*matches.columns)
-        fit = _fit(points, "")
+        used += [fit, middle]
+        fit = materialize(_fit(points, ""), "motion-fit")
     last = matches.join(fit.drop("n"), keys).withColumn("error", error)
     good = last.where(F.col("error") <= cfg.inlier_pixels).select(*matches.columns)
-    counts = matches.groupBy(*keys).agg(F.count("*").alias("points"))
+    counts = first.select(*keys, F.col("n").alias("points"))
     out = counts.join(_fit(good, "_in"), keys, "left").withColumns({"scale": F.expr("sqrt(a*a+b*b)"), "theta": F.expr("atan2(b, a)"), "inliers": F.coalesce("n_in", F.lit(0))})
     ok = (F.col("points") >= cfg.min_points) & (F.col("inliers") >= 2) & (F.col("inliers") / F.col("points") >= cfg.min_inliers) & F.col("scale").between(cfg.scale.low, cfg.scale.high) & (F.sqrt(F.expr("tx*tx+ty*ty")) <= cfg.max_shift)
     ok = F.coalesce(ok, F.lit(False))
     value = lambda c, other: F.when(F.col("ok"), F.col(c)).otherwise(other)
-    return out.withColumn("ok", ok).select(*keys, "points", F.col("inliers").cast("bigint").alias("inliers"), "ok", value("tx", 0.0).alias("dx"), value("ty", 0.0).alias("dy"), value("theta", 0.0).alias("theta"), F.ln(value("scale", 1.0)).alias("log_s"))
+    out = out.withColumn("ok", ok).select(*keys, "points", F.col("inliers").cast("bigint").alias("inliers"), "ok", value("tx", 0.0).alias("dx"), value("ty", 0.0).alias("dy"), value("theta", 0.0).alias("theta"), F.ln(value("scale", 1.0)).alias("log_s"))
+    out = materialize(out, "motion")
+    drop_tables(*used, fit)
+    return out
 
 
 def smooth_motion(motion: DataFrame, cfg: MotionConfig = MotionConfig()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from ..config import PipelineConfig
 from ..operators import detections as d
 from ..operators import field, linking, merge, motion, routes, teams, tracks
-from ..storage import materialize
+from ..storage import drop_tables, materialize
 
 
 def detections_to_tracks(raw: DataFrame, matches: DataFrame | None = None, segments: DataFrame | None = None, cfg: PipelineConfig = PipelineConfig(), link: bool = True) -> DataFrame:
@@ -18,9 +18,11 @@ def detections_to_tracks(raw: DataFrame, matches: DataFrame | None = None, segme
     Without camera matches or line segments those steps are left out; with
     ``link`` false the input has ``track_id`` already.
     """
-    kept = d.zone_filter(d.filter_detections(raw, cfg.filter), cfg.filter)
     # Each of the next steps reads its input several times, so it is written once instead of made again.
-    kept = materialize(d.constrain_area(d.suppress_overlaps(kept, cfg.filter.overlap_iou), cfg.filter), "steady")
+    kept = materialize(d.zone_filter(d.filter_detections(raw, cfg.filter), cfg.filter), "kept")
+    steady = materialize(d.constrain_area(d.suppress_overlaps(kept, cfg.filter.overlap_iou), cfg.filter), "steady")
+    drop_tables(kept)
+    kept = steady
     linked = linking.assign_track_ids(kept, cfg.tracker) if link else d.ghost_filter(kept, cfg.tracker)
     out = materialize(tracks.fill_gaps(tracks.one_per_frame(linked), cfg.tracker.max_gap), "filled")
     out = merge.merge_tracks(out, cfg.merge).drop("orig_track_id")
