@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FilterConfig, TrackerConfig
 from ..functions import geometry as g
 from ..functions.arrays import let
+from ..storage import materialize
+from . import overlaps
 
 
 def bbox_geometry(df: DataFrame) -> DataFrame:
@@ -67,18 +70,43 @@ def sample_every_n(df: DataFrame, n: int = 10, most: int = 500) -> DataFrame:
 _BOX = ("x", "y", "width", "height")
 
 
-def blocked(a: DataFrame, b: DataFrame, keys: list[str], cell: float | None) -> DataFrame:
-    """Boxes of ``a`` (columns a_x, ...) and ``b`` (b_x, ...) that agree in ``keys`` and may overlap.
+#: A tile in which boxes meet is so many grid cells wide and high; so many boxes are compared with the others of a tile in one group.
+TILE, BOXES_A_GROUP = 4, 65_536
 
-    With ``cell``, boxes are blocked by grid cell, so a crowded frame does not
-    compare all its boxes: a pair meets in the cell of its intersection's corner.
+
+def blocked(a: DataFrame, b: DataFrame | None, keys: list[str], cell: float | None) -> DataFrame:
+    """Boxes (``id``, x, y, width, height, ...) dealt to the tiles of the picture that they touch, ``a`` marked ``_own``.
+
+    Two boxes that overlap and agree in ``keys`` meet in a tile, among others in
+    that of their intersection's corner.  A tile with many boxes of ``a`` is dealt
+    to several groups (``_part``), all boxes of ``b`` to each.  Without ``b`` boxes of
+    ``a`` meet each other: each is ``_own`` in one group and sent to all.  Without
+    ``cell`` a frame is one tile.  Boxes without size or place overlap nothing and are left out.
     """
-    if not cell:
-        return a.join(b, keys)
-    across = lambda c, w: F.explode(F.sequence(F.floor(F.col(c) / cell), F.floor((F.col(c) + F.col(w)) / cell)))
-    spread = lambda df, p: df.withColumn("_cx", across(f"{p}_x", f"{p}_width")).withColumn("_cy", across(f"{p}_y", f"{p}_height"))
-    corner = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / cell) == F.col(f"_c{c}")
-    return spread(a, "a").join(spread(b, "b"), [*keys, "_cx", "_cy"]).where(corner("x") & corner("y")).drop("_cx", "_cy")
+    across = lambda c, w: F.explode(F.sequence(F.floor(F.col(c) / (TILE * cell)), F.floor((F.col(c) + F.col(w)) / (TILE * cell)))) if cell else F.lit(0).cast("bigint")
+    sound = " AND ".join([*(f"{k} IS NOT NULL" for k in [*keys, "id"]), "abs(x) < double('infinity')", "abs(y) < double('infinity')", "width > 0 AND x + width < double('infinity')", "height > 0 AND y + height < double('infinity')"])
+    spread = lambda df: df.where(sound).withColumn("_cx", across("x", "width")).withColumn("_cy", across("y", "height"))
+    place = [*keys, "_cx", "_cy"]
+    a = spread(a)
+    full = a.groupBy(*place).agg(F.ceil(F.count("*") / BOXES_A_GROUP).alias("_groups")).where("_groups > 1")
+    dealt = lambda df: df.join(F.broadcast(full), place, "left").withColumn("_groups", F.coalesce("_groups", F.lit(1).cast("bigint")))  # noqa: E731  # at most a row for each BOXES_A_GROUP boxes
+    every, turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)), F.pmod(F.xxhash64("id"), F.col("_groups"))
+    if b is None:
+        return dealt(a).withColumn("_part", every).withColumn("_own", F.col("_part") == turn).drop("_groups")
+    rows = dealt(a).withColumn("_part", turn).withColumn("_own", F.lit(True))
+    return rows.unionByName(dealt(spread(b)).withColumn("_part", every).withColumn("_own", F.lit(False))).drop("_groups")
+
+
+def meet(rows: DataFrame, keys: list[str], group: Callable[..., Iterator[pa.RecordBatch]], schema: str, *args) -> DataFrame:
+    """``group(batches, keys, *args)`` on each group of boxes that :func:`blocked` has made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from group(batches, keys, *args)
+
+    place = [*keys, "_cx", "_cy", "_part"]
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place)  # few bytes, much work: not to be coalesced
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return dealt.groupBy(*place).applyInArrow(run, f"{types}, {schema}")
 
 
 #: Equal boxes of a frame are compared as one; a row holds so many of their ids.
@@ -89,40 +117,34 @@ def _classes(df: DataFrame) -> DataFrame:
     """Equal boxes of a frame as rows of at most ``COPIES_A_ROW`` ids (``ids``, ascending), numbered by ``part``."""
     same = ["video_id", "frame_id", *_BOX]
     place = F.row_number().over(Window.partitionBy(*same).orderBy("det_id")) - 1
-    rows = df.select("det_id", *same).withColumn("part", F.floor(place / COPIES_A_ROW))
+    rows = df.select("det_id", *same).where("det_id IS NOT NULL").withColumn("part", F.floor(place / COPIES_A_ROW))
     return rows.groupBy(*same, "part").agg(F.sort_array(F.collect_list("det_id")).alias("ids"))
 
 
-def overlap_pairs(df: DataFrame, threshold: float, cell: float | None = FilterConfig.overlap_cell) -> DataFrame:
+def overlap_pairs(df: DataFrame, threshold: float, cell: float | None = FilterConfig.overlap_cell, digits: int | None = None, areas: bool = True) -> DataFrame:
     """Pairs of boxes (det_a < det_b) of one frame with an intersection over union above ``threshold``, which must not be negative.
 
-    Boxes are blocked by grid cell; ``cell=None`` compares all boxes of a frame.
-    Equal boxes are compared once and their pairs made afterwards.
+    Boxes meet in tiles of some grid cells; with ``cell=None`` all boxes of a frame
+    meet.  Equal boxes are compared once and their pairs made afterwards, inside the
+    tile, and leave it in batches: boxes are shuffled, pairs are not.  ``digits`` rounds
+    the overlap where it is made, once for all copies; ``areas`` adds area_a and area_b.
     """
-    classes = _classes(df)
-    side = lambda p: [F.col("video_id"), F.col("frame_id"), F.col("part").alias(f"{p}_part"), F.col("ids").alias(f"{p}_ids"), *(F.col(c).alias(f"{p}_{c}") for c in _BOX)]
-    key = lambda p: F.struct(F.element_at(f"{p}_ids", 1), *(F.col(f"{p}_{c}") for c in _BOX), F.col(f"{p}_part"))
-    pairs = blocked(classes.select(*side("a")), classes.select(*side("b")), ["video_id", "frame_id"], cell)
-    scored = pairs.withColumn("iou", g.iou("a_", "b_")).where(F.col("iou") > threshold).withColumn("_own", key("a") == key("b")).where(key("a") <= key("b"))
-    areas = {"_p": F.col("a_width") * F.col("a_height"), "_q": F.col("b_width") * F.col("b_height")}
-    each = scored.withColumns(areas).withColumn("p", F.explode("a_ids")).withColumn("q", F.explode("b_ids")).where(F.when(F.col("_own"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q")))
-    first = F.col("p") < F.col("q")
-    area = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
-    return each.select("video_id", "frame_id", F.least("p", "q").alias("det_a"), F.greatest("p", "q").alias("det_b"), area("_p", "_q").alias("area_a"), area("_q", "_p").alias("area_b"), "iou")
+    keys = ["video_id", "frame_id"]
+    classes = materialize(_classes(df).withColumn("id", F.monotonically_increasing_id()), "boxes")
+    schema = f"det_a bigint, det_b bigint, {'area_a double, area_b double, ' if areas else ''}iou double"
+    return meet(blocked(classes.drop("part"), None, keys, cell), keys, overlaps.pairs_of_tile, schema, threshold, cell and TILE * cell, digits, areas)
 
 
 def _dominated(df: DataFrame, threshold: float) -> DataFrame:
     """Boxes that a larger one overlaps, or an equally large one of a lower id; equal boxes are compared as one and pairs are not kept."""
-    same = ["video_id", "frame_id", *_BOX]
-    classes = df.groupBy(*same).agg(F.min("det_id").alias("least"))
-    side = lambda p: [F.col("video_id"), F.col("frame_id"), F.col("least").alias(f"{p}_least"), *(F.col(c).alias(f"{p}_{c}") for c in _BOX)]
-    pairs = blocked(classes.select(*side("a")), classes.select(*side("b")), ["video_id", "frame_id"], FilterConfig.overlap_cell).where(g.iou("a_", "b_") > threshold)
-    area = lambda p: F.col(f"{p}_width") * F.col(f"{p}_height")
-    pairs = pairs.where(area("b") >= area("a"))
-    fate = pairs.groupBy("video_id", "frame_id", *(F.col(f"a_{c}").alias(c) for c in _BOX)).agg(
-        F.max((area("b") > area("a")).cast("int")).alias("_larger"), F.min("b_least").alias("_least"))
+    keys = ["video_id", "frame_id"]
+    same = [*keys, *_BOX]
+    classes = materialize(df.where("det_id IS NOT NULL").groupBy(*same).agg(F.min("det_id").alias("id")), "boxes")
+    tiles = meet(blocked(classes, None, keys, FilterConfig.overlap_cell), keys, overlaps.larger_of_tile, "id bigint, larger boolean, least bigint", threshold)
+    fate = tiles.groupBy(*keys, "id").agg(F.max("larger").alias("_larger"), F.min("least").alias("_least"))
     # Without a larger one, all that overlap here are equally large, this class among them.
-    return df.select("det_id", *same).join(fate, same).where((F.col("_larger") == 1) | (F.col("det_id") > F.col("_least"))).select("video_id", "frame_id", "det_id")
+    fate = classes.join(fate, [*keys, "id"]).drop("id")
+    return df.select("det_id", *same).join(fate, same).where(F.col("_larger") | (F.col("det_id") > F.col("_least"))).select("video_id", "frame_id", "det_id")
 
 
 def suppress_overlaps(df: DataFrame, threshold: float = 0.45, mode: str = "dominance") -> DataFrame:

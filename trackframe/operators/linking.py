@@ -2,42 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FilterConfig, TrackerConfig
-from ..functions import geometry as g
 from ..storage import drop_tables, materialize
-from .detections import blocked
+from . import overlaps
+from .detections import blocked, meet
 
 _BOX = ("x", "y", "width", "height")
 
 
 def link_detections(df: DataFrame, floor: float = 0.25, cell: float = FilterConfig.overlap_cell) -> DataFrame:
-    """Pairs (det_a in frame t, det_b in t + 1) that are each other's best overlap, of at least ``floor``; ties to the lower id.
+    """Pairs (det_a in frame t, det_b in t + 1) that are each other's best overlap, of at least ``floor`` (above 0); ties to the lower id.
 
-    Boxes are blocked by grid cell, and of equal boxes of a frame only the lowest
-    id can be linked.  Pairs are made twice and never shuffled: first for the best
-    overlap of each box, then for the few pairs that reach it, which are ranked.
+    Of equal boxes of a frame only the lowest id can be linked.  Boxes meet in
+    tiles, where the best of each is found by bounds, most promising first; what
+    is shuffled is a row a box and tile, and no pairs.
     """
     keys = ["video_id", "frame_id"]
-    boxes = df.groupBy(*keys, *_BOX).agg(F.min("det_id").alias("det_id"))
-
-    def sides(a: DataFrame, b: DataFrame) -> DataFrame:
-        one = a.select("video_id", (F.col("frame_id") + 1).alias("frame_id"), F.col("det_id").alias("det_a"), *(F.col(c).alias(f"a_{c}") for c in a.columns if c not in (*keys, "det_id")))
-        other = b.select(*keys, F.col("det_id").alias("det_b"), *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in (*keys, "det_id")))
-        return blocked(one, other, keys, cell).withColumn("iou", g.iou("a_", "b_"))
-
-    ends = F.array(F.struct(F.lit("a").alias("side"), F.col("det_a").alias("id")), F.struct(F.lit("b").alias("side"), F.col("det_b").alias("id")))
-    most = sides(boxes, boxes).where(F.col("iou") >= floor).select(*keys, "iou", F.explode(ends).alias("e")).groupBy(*keys, "e.side", "e.id").agg(F.max("iou").alias("most"))
-    most = materialize(most, "best-overlaps")
-    own = most.where("side = 'a'").select("video_id", (F.col("frame_id") - 1).alias("frame_id"), F.col("id").alias("det_id"), "most")
-    last = most.where("side = 'b'").select(*keys, F.col("id").alias("det_id"), "most")
-    # One use of the overlap in the join's condition: with more, the compiled loop gets too long to be made machine code.
-    pairs = sides(boxes.join(own, [*keys, "det_id"]), boxes.join(last, [*keys, "det_id"])).where(F.col("iou").isin(F.col("a_most"), F.col("b_most")))
-    best = lambda one, other: F.row_number().over(Window.partitionBy(*keys, one).orderBy(F.desc("iou"), other))
-    ranked = pairs.withColumns({"_ra": best("det_a", "det_b"), "_rb": best("det_b", "det_a")})
-    return ranked.where("_ra = 1 and _rb = 1").select("video_id", "frame_id", "det_a", "det_b", "iou")
+    boxes = materialize(df.where("det_id IS NOT NULL").groupBy(*keys, *_BOX).agg(F.min("det_id").alias("id")), "boxes")
+    before = boxes.withColumn("frame_id", F.col("frame_id") + 1)
+    found = meet(blocked(before, boxes, keys, cell), keys, overlaps.best_of_tile, "first boolean, id bigint, iou double, other bigint", floor)
+    best = found.groupBy(*keys, "first", "id").agg(F.min(F.struct((-F.col("iou")).alias("less"), "other")).alias("best"))
+    end = lambda own: F.when(F.col("first") == F.lit(own), F.col("id")).otherwise(F.col("best.other"))
+    both = best.select(*keys, end(True).alias("det_a"), end(False).alias("det_b"), (-F.col("best.less")).alias("iou")).groupBy(*keys, "det_a", "det_b")
+    return both.agg(F.count("*").alias("n"), F.max("iou").alias("iou")).where("n = 2").select(*keys, "det_a", "det_b", "iou")
 
 
 def two_pass_links(df: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> DataFrame:
