@@ -88,17 +88,17 @@ _PAIRS = """WITH p AS (SELECT a.video_id, a.frame_id, a.det_id det_a, b.det_id d
 
 @query("j1_overlap_pairs", "det_dense", sql=_PAIRS + " SELECT frame_id, det_a, det_b, round(iou, 6) AS iou FROM pairs")
 def _(f):
-    return rounded(d.overlap_pairs(f.det_dense, 0.35).select("frame_id", "det_a", "det_b", "iou"))
+    return d.overlap_pairs(f.det_dense, 0.35, digits=6, areas=False).select("frame_id", "det_a", "det_b", "iou")
 
 
 @query("j1_overlap_pairs_blocked", "det_dense", sql=_PAIRS + " SELECT frame_id, det_a, det_b, round(iou, 6) AS iou FROM pairs")
 def _(f):
-    return rounded(d.overlap_pairs(f.det_dense, 0.35, cell=25.0).select("frame_id", "det_a", "det_b", "iou"))
+    return d.overlap_pairs(f.det_dense, 0.35, cell=25.0, digits=6, areas=False).select("frame_id", "det_a", "det_b", "iou")
 
 
 @query("j1_overlap_pairs_unblocked", "det_dense", sql=_PAIRS + " SELECT frame_id, det_a, det_b, round(iou, 6) AS iou FROM pairs")
 def _(f):
-    return rounded(d.overlap_pairs(f.det_dense, 0.35, cell=None).select("frame_id", "det_a", "det_b", "iou"))
+    return d.overlap_pairs(f.det_dense, 0.35, cell=None, digits=6, areas=False).select("frame_id", "det_a", "det_b", "iou")
 
 
 @query("j2_suppress_dominance", "det_dense", sql=_PAIRS + " SELECT det_id FROM det_dense WHERE det_id NOT IN (SELECT CASE WHEN area_b > area_a THEN det_a ELSE det_b END FROM pairs)")
