@@ -48,20 +48,22 @@ def two_pass_links(df: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> DataF
 def assign_track_ids(df: DataFrame, cfg: TrackerConfig = TrackerConfig()) -> DataFrame:
     """``track_id`` of each box: the id of its chain's first box.
 
-    Each box points to its predecessor; pointers double each round, so a chain
-    of n boxes takes log2(n) joins.  Chains whose first box is not confident
-    enough for a new track are dropped.
+    Each linked box points to its predecessor; pointers double each round, so a
+    chain of n boxes takes log2(n) joins, of linked boxes only.  Chains whose first
+    box is not confident enough for a new track are dropped.
     """
-    links = two_pass_links(df, cfg).select("video_id", F.col("det_b").alias("det_id"), F.col("det_a").alias("before"))
-    point = df.where(F.col("confidence") >= cfg.track_low).select("video_id", "det_id").join(links, ["video_id", "det_id"], "left")
-    point = materialize(point.select("video_id", "det_id", F.coalesce("before", "det_id").alias("root")), "chain")
+    links = two_pass_links(df, cfg).select("video_id", F.col("det_b").alias("det_id"), F.col("det_a").alias("root"))
+    point = materialize(links, "chain")
     while True:
         up = point.select("video_id", F.col("det_id").alias("root"), F.col("root").alias("up"))
-        after = materialize(point.join(up, ["video_id", "root"]).select("video_id", "det_id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "chain")
+        after = materialize(point.join(up, ["video_id", "root"], "left").select("video_id", "det_id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "chain")
         done = after.where("moved").isEmpty()
         drop_tables(point)
         point = after.drop("moved")
         if done:
             break
     starts = df.where(F.col("confidence") >= cfg.new_track).select("video_id", F.col("det_id").alias("root"))
-    return df.join(point.join(starts, ["video_id", "root"], "left_semi"), ["video_id", "det_id"]).withColumn("track_id", F.col("root")).drop("root")
+    begun = point.join(starts.withColumn("_begun", F.lit(True)).distinct(), ["video_id", "root"], "left")
+    alone = F.col("root").isNull() & (F.col("confidence") >= max(cfg.new_track, cfg.track_low)) & F.col("video_id").isNotNull() & F.col("det_id").isNotNull()
+    rows = df.join(begun, ["video_id", "det_id"], "left").where(alone | F.col("_begun"))
+    return rows.withColumn("track_id", F.coalesce("root", "det_id")).drop("root", "_begun")
