@@ -161,6 +161,13 @@ def pairs(boxes: Boxes, own: np.ndarray, threshold: float) -> Iterator[tuple[np.
         yield i[later], j[later], made[p[later], q[later]]
 
 
+def above(a: Boxes, b: Boxes, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Overlaps of ``least`` (above 0) or more between two sets of boxes, with the ids of both."""
+    for rows, leaf, made in _meeting(a, b, a.needs(least), _anything(a, b), b.leaves):
+        p, q = np.nonzero(made >= least)
+        yield made[p, q], a.ids.reshape(-1)[rows[p]], b.ids[leaf[p], q]
+
+
 def _columns(batches: Iterator[pa.RecordBatch], *names: str) -> tuple[pa.Table, list[np.ndarray]]:
     rows = pa.Table.from_batches(batches)
     return rows, [rows.column(c).to_numpy() for c in names]

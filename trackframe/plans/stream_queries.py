@@ -56,7 +56,8 @@ def _shuffled(f, rows: DataFrame, parts: int = 6, jitter: int = 120, fps: float
     low, high = rows.agg(F.min(due), F.max(due)).first()
     for k in range(parts):
         edge = lambda i: low + (high + 1 - low) * i // parts
-        _columns(rows.where((due >= edge(k)) & (due < edge(k + 1)))).coalesce(1).orderBy(F.xxhash64("det_id", F.lit(7))).write.mode("append").parquet(path)
+        # One file, whatever its size: of several the first would move the watermark past boxes of the others.
+        _columns(rows.where((due >= edge(k)) & (due < edge(k + 1)))).repartition(1).sortWithinPartitions(F.xxhash64("det_id", F.lit(7))).write.mode("append").parquet(path)
     return st.read_detections(f.spark, path, fps)
 
 
